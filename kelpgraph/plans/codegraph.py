@@ -38,7 +38,7 @@ class CodeGraph:
 
     @cached_property
     def unknown(self) -> DataFrame:
-        return self.calls.where("type = 'unknown'")
+        return self.calls.where("type = 'unknown'").select("caller", "caller_class", "callee")
 
     @cached_property
     def nodes(self) -> DataFrame:

@@ -91,8 +91,10 @@ def scan_paths(spark, sf_dir):
 def _states(spark, sf_dir):
     """Two states of a file table: per user and event type the last event of the first and of the second half of the time."""
     events = table(spark, sf_dir, "events")
-    mid = events.agg(F.expr("timestamp_micros(div(min(unix_micros(ts)) + max(unix_micros(ts)), 2))").alias("mid"))
-    rows = events.join(mid).select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("path"), "props", "ts", "event_id", (F.col("ts") >= F.col("mid")).alias("later"))
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    events = events.withColumn("us", micros)
+    mid = events.agg(F.floor((F.min("us") + F.max("us")) / 2).alias("mid"))
+    rows = events.join(mid).select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("path"), "props", "ts", "event_id", (F.col("us") >= F.col("mid")).alias("later"))
     state = lambda later: sinks.last_wins(rows.where(F.col("later") == later).select("path", "props", F.struct("ts", "event_id").alias("o")), ["path"], "o").select("path", F.sha2("props", 256).alias("sha256"))
     return state(True), state(False)
 
