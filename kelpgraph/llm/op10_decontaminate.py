@@ -44,7 +44,7 @@ def _shingled(table: DataFrame, width: int) -> DataFrame:
 
 
 def _hashed(table: DataFrame, width: int) -> DataFrame:
-    """Replace ``text`` by ``h``, the hashes alone."""
+    """Replace ``text`` by ``h``, the hashes alone. (Exploded with explode_outer: the plain one adds a filter that computes them twice.)"""
     return table.withColumn("h", _each(words(ascii_lower(F.col("text"))), width, lambda x: F.xxhash64(F.lit(width), *x))).drop("text")
 
 
@@ -85,7 +85,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, threshold: f
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("dk"), "text")
     found = None
     for n in sizes:
-        hit = _hashed(keyed, n).select("doc_id", "dk", F.explode("h").alias("h")).join(hint(sketch.where(F.col("width") == n).select("item_id", "h")), "h").select("doc_id", "dk", "item_id").distinct()
+        hit = _hashed(keyed, n).select("doc_id", "dk", F.explode_outer("h").alias("h")).where("h is not null").join(hint(sketch.where(F.col("width") == n).select("item_id", "h")), "h").select("doc_id", "dk", "item_id").distinct()
         found = hit if found is None else found.union(hit)
     if found is None:
         found = keyed.select("doc_id", "dk").join(items.select("item_id").limit(0), F.lit(True))
@@ -98,7 +98,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, threshold: f
     whole = F.broadcast if shingles.count() <= BROADCAST_ROWS else (lambda table: table)
     shared = None
     for n in sizes:
-        have = _shingled(again, n).select("doc_id", "dk", F.explode("s").alias("s")).select("doc_id", "dk", "s.h", "s.x")
+        have = _shingled(again, n).select("doc_id", "dk", F.explode_outer("s").alias("s")).where("s is not null").select("doc_id", "dk", "s.h", "s.x")
         both = have.join(whole(shingles.where(F.col("width") == n).select("item_id", "h", "x")), ["h", "x"]).select("doc_id", "dk", "item_id", "h").distinct()
         shared = both if shared is None else shared.union(both)
     if shared is None:
