@@ -8,7 +8,7 @@ The only sums over documents that a Newton step needs are the sizes by source,
 so these are aggregated once, with map-side combining, and the iterations run on
 the rows of the source table. Rates are then rounded into whole copies: every
 document gets floor(r), and a threshold on a content hash, found by a radix
-select over two digits, gives one copy more to as many words as are missing.
+select, gives one copy more to as many words as are missing.
 
 DataFrame functions only.
 """
@@ -24,7 +24,8 @@ from .common import WORD, save
 WEIGHTS = (5, 2, 1)
 MOST = 3
 NEWTON_STEPS = 60
-DIGITS = 4
+#: Hash digits that the radix select settles, and how many in one step: 16^STEP bins a source.
+DIGITS, STEP = 6, 2
 #: Sources up to which their table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -78,15 +79,18 @@ def plan(keyed: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     table = table.withColumn("base", F.least(F.lit(most), F.floor("rate")).cast("long"))
     table = save(table.withColumn("missing", F.when(F.col("base") < most, F.col("target") - F.col("base") * F.col("source_size")).otherwise(0.0)), "op5-sources")
 
-    digit = F.substring("__u", 1, DIGITS)
-    bins = keyed.groupBy("__sk", digit.alias("bin")).agg(F.sum("__size").alias("words"))
+    # Radix select: of each source's bins of one more digit, the one in which the missing words end.
     upto = Window.partitionBy("__sk").orderBy("bin")
-    bins = bins.withColumn("after", F.sum("words").over(upto)).join(table.select("__sk", "missing"), "__sk")
-    cut = save(bins.where("after > missing and after - words <= missing").select("__sk", "bin", (F.col("after") - F.col("words")).alias("before"), "missing"), "op5-cuts")
-    inside = keyed.withColumn("bin", digit).join(cut, ["__sk", "bin"]).groupBy("__sk", "bin", "__u").agg(F.sum("__size").alias("words"), F.first("before").alias("before"), F.first("missing").alias("missing"))
+    cut = table.select("__sk", "missing", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    for n in range(STEP, DIGITS + 1, STEP):
+        inside = keyed.select("__sk", "__size", F.substring("__u", 1, n - STEP).alias("prefix"), F.substring("__u", 1, n).alias("bin")).join(cut, ["__sk", "prefix"])
+        bins = inside.groupBy("__sk", "missing", "before", "bin").agg(F.sum("__size").alias("words")).withColumn("after", F.col("before") + F.sum("words").over(upto))
+        chosen = bins.where("after > missing and after - words <= missing").select("__sk", "missing", F.col("bin").alias("prefix"), (F.col("after") - F.col("words")).alias("before"))
+        cut = save(chosen, f"op5-cuts{n}")
+    inside = keyed.withColumn("prefix", F.substring("__u", 1, DIGITS)).join(cut, ["__sk", "prefix"]).groupBy("__sk", "__u").agg(F.sum("__size").alias("words"), F.first("before").alias("before"), F.first("missing").alias("missing"))
     at = F.col("before") + F.sum("words").over(Window.partitionBy("__sk").orderBy("__u")) - F.col("words") / 2
     last = inside.withColumn("at", at).where("at <= missing").groupBy("__sk").agg(F.max("__u").alias("last"))
-    cut = cut.select("__sk", "bin").join(last, "__sk", "left")
+    cut = cut.select("__sk", F.col("prefix").alias("bin")).join(last, "__sk", "left")
     # No cut bin: nothing is missing (base is exact or at the most), or all of it is.
     full = F.col("missing") >= F.col("source_size")
     table = table.join(cut, "__sk", "left").withColumn("bin", F.coalesce("bin", F.when(full, "z").otherwise("")))
