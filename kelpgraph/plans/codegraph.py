@@ -48,7 +48,7 @@ class CodeGraph:
 
 def from_tables(spark: SparkSession, sf_dir: str) -> CodeGraph:
     part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    number = F.substring("name", 7, 9).cast("int")
+    number = F.substring("name", 7, 9).try_cast("int")  # the optimizer may evaluate it on other names
     names = F.array(*map(F.lit, ("controller", "service", "facade", "biz", "dal", "model", "util", "misc")))
     classes = part.select(F.col("p_brand").alias("name")).distinct().withColumn("b", number).withColumn("layer", F.get(names, F.col("b") % 8))
     path = F.concat(F.lit("/src/main/java/com/acme/d"), (F.col("b") % 5).cast("string"), F.lit("/"), "layer", F.lit("/B"), F.col("b").cast("string"), F.lit(".java"))

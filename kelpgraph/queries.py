@@ -721,3 +721,71 @@ def labelled_documents(spark, sf_dir):
 def unlabelled_documents(spark, sf_dir):
     """Anti join."""
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+# --- extraction and incremental runs -----------------------------------------
+def _parsed(g: CodeGraph) -> dict[str, DataFrame]:
+    from .operators.extract import parse
+    from .plans.sources_of_graph import write
+    from .sources.tables import save
+
+    return parse(save(write(g), "sources"))
+
+
+_J = "regexp_replace({0}, '[^A-Za-z0-9_]', '', 'g')"
+
+
+@query("SELECT DISTINCT name, " + _J.format("class_name") + " AS class_name, param_count FROM cg_method")
+def extract_methods(g: CodeGraph):
+    """Methods read back from Java sources that Spark writes from the graph."""
+    return _parsed(g)["methods"].select("name", "class_name", "param_count").distinct()
+
+
+@query(", ar AS (SELECT class_name, name, list(param_count) AS l FROM cg_method GROUP BY ALL) SELECT DISTINCT caller, " + _J.format("caller_class") + " AS caller_class, callee, " + _J.format("callee_class") + " AS callee_class, arg_count, type FROM cg_raw LEFT JOIN ar ON ar.class_name = callee_class AND ar.name = callee WHERE type = 'external' OR list_contains(l, arg_count) OR len(l) = 1")
+def extract_calls(g: CodeGraph):
+    """Call sites read back from the same sources."""
+    return _parsed(g)["calls"].select("caller", "caller_class", "callee", "callee_class", "arg_count", "type").distinct()
+
+
+@query("SELECT file_path AS path, " + _J.format("name") + " AS class_name, is_mapper, NOT is_mapper AS is_service FROM cg_class")
+def extract_annotations(g: CodeGraph):
+    """P7, F1."""
+    from .operators.extract import annotated_classes
+    from .plans.sources_of_graph import write
+
+    return annotated_classes(write(g))
+
+
+@query("SELECT DISTINCT file_path AS path, 'f' || " + _J.format("callee_class") + " AS field, " + _J.format("callee_class") + " AS type FROM cg_raw JOIN cg_class ON name = caller_class WHERE type = 'external' AND callee_class <> 'Unknown'")
+def extract_injected(g: CodeGraph):
+    """P5, P6, P13."""
+    from .operators.extract import injected_fields
+    from .plans.sources_of_graph import write
+
+    return injected_fields(write(g))
+
+
+@query("SELECT file_path AS path, 'java.util.List' AS name, 'List' AS simple FROM cg_class")
+def extract_imports(g: CodeGraph):
+    """P3, P4."""
+    from .operators.extract import imports
+    from .plans.sources_of_graph import write
+
+    return imports(write(g))
+
+
+@query("SELECT * FROM cg_calls")
+def incremental_relink(g: CodeGraph):
+    """The edge table after the classes of one layer were read again equals a full run."""
+    from .streaming.incremental import relink
+
+    return relink(g.calls, g.raw_calls, g.methods, g.classes.where("layer = 'util'").select(F.col("name").alias("class_name")))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents", graph=False)
+def stream_hashes(spark, sf_dir):
+    """The hash table of S2 kept by a file stream."""
+    from .streaming.incremental import stream_hashes as run
+
+    # A pattern, since a file stream takes a plain path for a folder.
+    return run(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/documents.parque[t]", "doc_id", "text")
