@@ -58,9 +58,10 @@ def annotated_classes(files: DataFrame) -> DataFrame:
 
 def injected_fields(files: DataFrame) -> DataFrame:
     """Rows (path, field, type) of fields with an injection annotation, which may stand on lines of its own."""
-    pattern = F.lit(rf"@(?:{'|'.join(fixed.INJECTION_ANNOTATIONS)})\b[^;{{]*?([A-Z]\w*(?:<[^>]+>)?)\s+([a-z_]\w*)\s*[;=]")
-    both = F.arrays_zip(F.regexp_extract_all("content", pattern, F.lit(2)).alias("f"), F.regexp_extract_all("content", pattern, F.lit(1)).alias("t"))
-    return files.select("path", F.explode(both).alias("x")).select("path", F.col("x.f").alias("field"), F.substring_index("x.t", "<", 1).alias("type"))
+    pattern = F.lit(rf"@(?:{'|'.join(fixed.INJECTION_ANNOTATIONS)})\b[^;{{]*?([A-Z]\w*)\s+([a-z_]\w*)\s*[;=]")
+    code = files.select("path", cleaned(F.col("content")).alias("code"))
+    both = F.arrays_zip(F.regexp_extract_all("code", pattern, F.lit(2)).alias("f"), F.regexp_extract_all("code", pattern, F.lit(1)).alias("t"))
+    return code.select("path", F.explode(both).alias("x")).select("path", F.col("x.f").alias("field"), F.col("x.t").alias("type"))
 
 
 def tokens(files: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def scan(spark: SparkSession, path: str, suffix: str = ".java") -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
     parts = F.split("path", "/")
     kept = files.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, fixed.EXCLUDED_DIRS))))
-    return kept.select("path", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("sha256"))
+    return kept.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha2("content", 256).alias("sha256"))
 
 
 def kept_paths(paths: DataFrame, column: str, suffix: str) -> DataFrame:

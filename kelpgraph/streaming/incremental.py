@@ -50,4 +50,4 @@ def relink(stored: DataFrame, raw: DataFrame, methods: DataFrame, changed: DataF
     affected = touched.union(raw.join(gone, "caller_class", "left_semi").select("caller_class", "caller")).distinct()
     kept = stored.join(affected, ["caller_class", "caller"], "left_anti")
     fresh = linking.edges(linking.link(raw.join(affected, ["caller_class", "caller"], "left_semi"), methods))
-    return kept.unionByName(fresh)
+    return kept.unionByName(fresh).select(*stored.columns)
