@@ -46,8 +46,12 @@ def _signed(x: int) -> int:
 
 
 def _segments(n: int) -> list[tuple[int, int]]:
-    """(shift, bits) of segments of about log2(n) bits, which hold one code in a value on average."""
-    m = max(2, min(8, round(BITS / max(1.0, log2(max(2, n))))))
+    """(shift, bits) of segments of about log2(n) - 3 bits: a value holds eight codes on average.
+
+    Looking a value up costs several times as much as verifying a code; at eight
+    codes a value both kinds of work are about equal.
+    """
+    m = max(2, min(8, round(BITS / max(1.0, log2(max(2, n)) - 3))))
     edge = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(edge, edge[1:])]
 
