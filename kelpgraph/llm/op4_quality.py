@@ -168,7 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Attention | None:
     texts = [p.encode()[:PASSAGE] for r in drawn for p in r["parts"]]
     owner = np.repeat(np.arange(len(drawn)), [len(r["parts"]) for r in drawn])
     size = np.fromiter(map(len, texts), np.int64, len(texts))
-    x = encode(np.frombuffer(b"".join(texts), np.uint8), np.repeat(np.arange(len(texts)), size), len(texts))
+    x = np.concatenate([encode(np.frombuffer(b"".join(texts[i : i + 1000]), np.uint8), np.repeat(np.arange(len(size[i : i + 1000])), size[i : i + 1000]), len(size[i : i + 1000])) for i in range(0, len(texts), 1000)])
     model = Attention(x.shape[1])
     model.fit(x, owner, y)
     return model
