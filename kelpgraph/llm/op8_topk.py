@@ -77,7 +77,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     part = lambda c, j: F.shiftrightunsigned(c, segments[j][0]).bitwiseAND(F.lit((1 << segments[j][1]) - 1).cast("long"))
     index = save(codes.select("code", F.col("ids")[0].alias("first_id"), F.size("ids").alias("n_ids"), F.posexplode(F.array(*(part("code", j) for j in range(len(segments))))).alias("seg", "value")), "op8-index")
 
-    best = None
+    finished: list[DataFrame] = []
+    now = None
     open_queries = asked.select("q").distinct()
     for radius in range(max(bits for _, bits in segments) + 1):
         masks = [(j, sum(1 << i for i in c)) for j, (_, bits) in enumerate(segments) for c in combinations(range(bits), radius)]
@@ -85,16 +86,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         parts = open_queries.select("q", F.posexplode(F.array(*(part("q", j) for j in range(len(segments))))).alias("seg", "own"))
         probes = parts.join(flips, "seg").select("q", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         met = probes.join(index, ["seg", "value"]).select("q", "code", "first_id", "n_ids", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("d"))
-        met = met if best is None else met.union(best.join(open_queries, "q", "left_semi"))
+        if now is not None:
+            met = met.union(now.join(open_queries, "q", "left_semi"))
         order = Window.partitionBy("q").orderBy("d", "first_id")
-        top = met.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
-        now = save(top, f"op8-radius{radius}")
+        now = save(met.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n"), f"op8-radius{radius}")
         within = len(segments) * (radius + 1) - 1
-        done = now.where(F.col("d") <= within).groupBy("q").agg(F.sum("n_ids").alias("have")).where(F.col("have") >= want)
-        best = now if best is None else save(now.union(best.join(open_queries, "q", "left_anti")), f"op8-best{radius}")
+        done = now.where(F.col("d") <= within).groupBy("q").agg(F.sum("n_ids").alias("have")).where(F.col("have") >= want).select("q")
+        finished.append(now.join(done, "q", "left_semi"))
         open_queries = save(open_queries.join(done, "q", "left_anti"), f"op8-open{radius}")
         if not open_queries.limit(1).count():
             break
+    best = now.join(open_queries, "q", "left_semi")  # radii that cover everything: the few vectors there are
+    for part_done in finished:
+        best = best.union(part_done)
     listed = best.join(codes, "code").select("q", "d", F.explode("ids").alias("vec_id"))
     rank = Window.partitionBy("q").orderBy("d", "vec_id", "copy")
     listed = listed.withColumn("copy", F.row_number().over(Window.partitionBy("q", "d", "vec_id").orderBy(F.lit(1))))
