@@ -640,7 +640,10 @@ def mermaid_layer_tree(g: CodeGraph):
     return trees.mermaid_layers(g.classes)
 
 
-@query(None)
+_NM = "regexp_replace({0}, '[^A-Za-z0-9_]', '_', 'g')"
+
+
+@query(_LAYERED + ", pl AS (SELECT name, layer, dense_rank() OVER (ORDER BY priority, layer) AS n FROM cg_layered WHERE layer <> 'other'), line AS (SELECT 0 AS k, n AS x, '' AS y, 'package \"' || layer || '\" {' || chr(10) || string_agg('  class ' || " + _NM.format("name") + ", chr(10) ORDER BY name) || chr(10) || '}' AS line FROM pl GROUP BY n, layer UNION ALL SELECT 1, a.n, " + _NM.format("a.name") + " || ' --> ' || " + _NM.format("b.name") + ", " + _NM.format("a.name") + " || ' --> ' || " + _NM.format("b.name") + " FROM pl a JOIN pl b ON b.n = a.n + 1) SELECT '@startuml' || chr(10) || string_agg(line, chr(10) ORDER BY k, x, y, line) || chr(10) || '@enduml' AS text FROM line")
 def plantuml_layer_tree(g: CodeGraph):
     """K16, H6, H7."""
     return trees.plantuml_layers(g.classes)
@@ -697,7 +700,7 @@ def chunks(g: CodeGraph):
     return vectors.chunks(g.nodes, g.classes, g.calls)
 
 
-@query(None)
+@query(f", dn AS (WITH {_levels(2, False)[2:]}), up AS (WITH {_levels(2, True)[2:]}), near AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY depth, node) AS r FROM (SELECT origin, depth, node FROM dn UNION SELECT origin, depth, node FROM up)){_FIRST} SELECT src.origin AS query_id, '# ' || src.origin || coalesce(chr(10) || string_agg('  ' || depth || ' ' || node, chr(10) ORDER BY r), '') AS context, src.origin AS refs FROM src LEFT JOIN near ON near.origin = src.origin AND r <= 30 GROUP BY src.origin")
 def rag_context(g: CodeGraph):
     """Question context of the first method of each controller, two hops both ways."""
     first, e = _first(g), traverse.keyed(g.known)
