@@ -28,21 +28,13 @@ BITS = 64
 
 def sign_code(embedding: str) -> Column:
     """Bit i is set if the elements i, i + 64, ... sum to more than zero; null for null or empty vectors."""
-    bit = lambda i: F.aggregate(F.filter(F.col(embedding), lambda _, at: at % BITS == i), F.lit(0.0), lambda x, y: x + F.coalesce(y.cast("double"), F.lit(0.0))) > 0
-    plain = lambda i: F.coalesce(F.get(F.col(embedding), i).cast("double"), F.lit(0.0)) > 0
-    total = lambda test: _or([F.when(test(i), F.lit(_signed(1 << i))).otherwise(F.lit(0)).cast("long") for i in range(BITS)])
-    return F.when(F.size(embedding) > BITS, total(bit)).when(F.size(embedding) > 0, total(plain))
-
-
-def _or(parts: list[Column]) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.bitwiseOR(p)
-    return out
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    e = F.col(embedding)
+    number = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    folded = lambda i: F.aggregate(F.filter(e, lambda _, at: at % BITS == i), F.lit(0.0), lambda s, x: s + number(x))
+    value = lambda i: F.when(F.size(e) > BITS, folded(i)).otherwise(number(F.get(e, i)))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    bits = F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), none, lambda code, i: code.bitwiseOR(F.when(value(i) > 0, F.call_function("shiftleft", one, i)).otherwise(none)))
+    return F.when(F.size(e) > 0, bits)
 
 
 def _segments(n: int) -> list[tuple[int, int]]:
