@@ -28,7 +28,7 @@ from .components import connected_components
 
 RADIUS = 2
 BALL = 1 + 64 + 64 * 63 // 2
-VARIANTS = 4_000_000
+VARIANTS = 2_000_000
 
 
 def _fingerprint(text: bytes, size: int) -> int:
