@@ -98,11 +98,12 @@ def plan(keyed: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 
 def mixed(keyed: DataFrame, table: DataFrame) -> DataFrame:
-    """``keyed`` with the columns of its source's plan and ``copies``."""
+    """``keyed`` with the columns of its source's plan and the copies, all named with two underscores."""
     small = table.count() <= BROADCAST_SOURCES
+    table = table.select("__sk", *(F.col(c).alias(f"__{c}") for c in table.columns if c != "__sk"))
     digit = F.substring("__u", 1, DIGITS)
-    extra = (digit < F.col("bin")) | ((digit == F.col("bin")) & (F.col("__u") <= F.col("last")))
-    return keyed.join(F.broadcast(table) if small else table, "__sk").withColumn("copies", F.when(F.col("__size") > 0, F.col("base") + extra.cast("long")).otherwise(0))
+    extra = (digit < F.col("__bin")) | ((digit == F.col("__bin")) & (F.col("__u") <= F.col("__last")))
+    return keyed.join(F.broadcast(table) if small else table, "__sk").withColumn("__copies", F.when(F.col("__size") > 0, F.col("__base") + extra.cast("long")).otherwise(0))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -115,13 +116,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """
     keyed = save(with_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).drop("text"), "op5-sizes")
     out = mixed(keyed, plan(keyed, weights, most))
-    return out.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).alias("taken"), "copies")
+    return out.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target")), (F.col("__copies") * F.col("__size")).alias("taken"), F.col("__copies").alias("copies"))
 
 
 def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mixture itself: every row of ``docs`` as many times as it has copies, numbered in the column copy."""
+    """The mixture itself: every row of ``docs`` as many times as it has copies, numbered in the column copy (one of that name is replaced)."""
     sized = save(with_keys(docs.select("doc_id", "source", "text")).drop("text"), "op5-sizes")
-    inner = docs.drop("copy", "copies")
-    keyed = with_keys(inner)
-    out = mixed(keyed, plan(sized, weights, most)).where("copies > 0")
-    return out.select(*(F.col(c) for c in inner.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    inner = docs.drop("copy")
+    out = mixed(with_keys(inner), plan(sized, weights, most)).where("__copies > 0")
+    return out.select(*(F.col(c) for c in inner.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("copy"))
