@@ -170,19 +170,26 @@ def classify(found: list[tuple[str, bool, int, int]]) -> list[bool]:
             label.append(True)
         else:
             label.append(None if article or stops >= STOP_LOW else False)
-    before, after = list(label), list(label)
-    for own, order in ((before, range(len(found))), (after, range(len(found) - 1, -1, -1))):
-        last: dict[int, bool] = {}
+    # For each block its nearest decided neighbours on either side, as (distance, label).
+    before: list[tuple[int, bool] | None] = [None] * len(found)
+    after: list[tuple[int, bool] | None] = [None] * len(found)
+    for near, order in ((before, range(len(found))), (after, range(len(found) - 1, -1, -1))):
+        last: dict[int, tuple[int, bool]] = {}
         for i in order:
+            article = found[i][3]
             if label[i] is None:
-                own[i] = last.get(found[i][3])
-            elif not (found[i][3] and found[i][1]):  # what an article marks as no part of it says nothing of the rest
-                last[found[i][3]] = bool(label[i])
+                if article in last:
+                    near[i] = (abs(i - last[article][0]), last[article][1])
+            elif not (article and found[i][1]):  # what an article marks as no part of it says nothing of the rest
+                last[article] = (i, bool(label[i]))
     out = []
     for i, x in enumerate(label):
         if x is None:
-            near = {before[i], after[i]} - {None}
-            x = near == {True} or not near and found[i][3] > 0 or near == {True, False} and found[i][3] > 0
+            sides = [s for s in (before[i], after[i]) if s]
+            if found[i][3]:
+                x = not sides or any(s[1] for s in sides)
+            else:  # of two as near the one before counts
+                x = bool(sides) and min(sides, key=lambda s: s[0])[1]
         out.append(x)
     return out
 
