@@ -562,7 +562,15 @@ def chain_evaluation(spark, sf_dir):
 SQL["chain_evaluation"] = f"WITH {CG}{_CHAIN} SELECT name, count(*) AS total_hops, count(*) FILTER (hit) AS matched_hops, bool_and(hit) AS full_hit, CAST(min(pos) FILTER (NOT hit) AS INT) AS first_break, CASE WHEN NOT bool_and(hit) THEN 'missing_call' END AS reason FROM judged GROUP BY name"
 
 
-@query(None)
+_BONUS = "CASE " + " ".join(f"WHEN regexp_matches(lower(callee_class), '{'|'.join(m)}') THEN {b}" for m, b in fixed.ROLE_BONUS) + " ELSE 0 END"
+_S = _ENTRY + f", st AS (SELECT *, own + {_BONUS} AS score FROM (SELECT caller_class, caller, callee_class, callee, max(CASE WHEN type = 'internal' THEN 3 ELSE 2 END) AS own FROM cg_known GROUP BY ALL)), w0 AS (SELECT concat_ws('_', 'auto', class_name, name) AS name, entry_score, [class_name || '.' || name] AS hops, class_name AS c, name AS m, 0 AS ts FROM entry)"
+for _i in range(1, 5):
+    _S += f", w{_i} AS (SELECT w.name, entry_score, list_append(hops, callee_class || '.' || callee) AS hops, callee_class AS c, callee AS m, ts + own AS ts FROM w{_i - 1} w JOIN st ON caller_class = c AND caller = m WHERE NOT list_contains(hops, callee_class || '.' || callee) QUALIFY row_number() OVER (PARTITION BY w.name ORDER BY score DESC, callee_class, callee) = 1)"
+_S += ", longest AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM w{i}" for i in range(1, 5)) + ") QUALIFY row_number() OVER (PARTITION BY name ORDER BY len(hops) DESC) = 1), once AS (SELECT hops, max((entry_score, ts, name)) AS r FROM longest GROUP BY hops), flat AS (SELECT r[3] AS name, hops, r[1] AS entry_score, r[2] AS type_score FROM once)"
+_S += ", few AS (SELECT * FROM flat QUALIFY row_number() OVER (PARTITION BY hops[2:4] ORDER BY len(hops) DESC, type_score DESC, entry_score DESC, name) <= 2) SELECT name, array_to_string(hops, ' > ') AS hops, entry_score, type_score FROM few ORDER BY len(hops) DESC, type_score DESC, entry_score DESC, name LIMIT 10"
+
+
+@query(_S)
 def suggested_chains(g: CodeGraph):
     """G9, G10, W5, W6."""
     found = entries.entries(g.nodes, g.classes, g.calls)
