@@ -59,6 +59,7 @@ def suggest(entries: DataFrame, known: DataFrame, max_hops: int = 5, per_prefix:
     """
     score = F.when(F.col("type") == "internal", 3).otherwise(2)
     steps = known.groupBy("caller_class", "caller", "callee_class", "callee").agg(F.max(score).alias("own")).withColumn("score", F.col("own") + naming.role_bonus(F.col("callee_class")))
+    steps = save(steps, "steps")
     node = lambda c, m: F.struct(F.col(c).alias("class"), F.col(m).alias("method"))
     walk = entries.select(F.concat_ws("_", F.lit("auto"), "class_name", "name").alias("name"), "entry_score", F.array(node("class_name", "name")).alias("hops"), F.lit(0).alias("type_score"))
     ended = None

@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, naming
+from ..sources.tables import save
 from . import chains as chain_ops
 from . import degrees, entries as entry_ops, taxonomy, traverse
 
 
 def metrics(classes: DataFrame, nodes: DataFrame, calls: DataFrame, chains: DataFrame, max_depth: int = fixed.DEPTH) -> DataFrame:
     """Q1: the 16 metrics as rows (metric, value); a ratio with nothing to divide by is 0."""
+    # Every part below reads these; they are derived once.
+    calls, nodes, chains = save(calls, "report-calls"), save(nodes, "report-nodes"), save(chains, "report-chains")
     known, unknown = calls.where("type <> 'unknown'"), calls.where("type = 'unknown'")
-    found = entry_ops.entries(nodes, classes, calls)
+    found = save(entry_ops.entries(nodes, classes, calls), "report-entries")
     key = naming.method_key(F.col("class_name"), F.col("name"))
-    reached = traverse.reachable(traverse.keyed(known), found.select(key.alias("node")), max_depth)
+    reached = save(traverse.reachable(traverse.keyed(known), found.select(key.alias("node")), max_depth), "report-reached")
     judged = chain_ops.evaluate(chains, known, nodes)
     critical = chains.select(F.explode("hops").alias("h")).select(naming.method_key(F.col("h.class"), F.col("h.method")).alias("node")).distinct()
     count = lambda table, name: table.agg(F.count("*").alias(name))

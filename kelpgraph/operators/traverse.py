@@ -32,7 +32,7 @@ def reach(edges: DataFrame, sources: DataFrame, max_depth: int | None = None, up
     are those of the last edge (``up``: the first one), the least if several are as
     short. The origin itself is met only where it lies on a cycle.
     """
-    steps = edges.select(F.col("d" if up else "s").alias("node"), F.col("s" if up else "d").alias("next"), "type").distinct()
+    steps = save(edges.select(F.col("d" if up else "s").alias("node"), F.col("s" if up else "d").alias("next"), "type").distinct(), "steps")  # read at every level
     frontier = sources.select("origin", "node").distinct()
     met: DataFrame | None = None
     for depth in range(1, clamp(max_depth) + 1):
@@ -56,7 +56,7 @@ def reachable(edges: DataFrame, sources: DataFrame, max_depth: int | None = None
 
 def shortest_path(edges: DataFrame, starts: DataFrame, end: str, max_depth: int | None = None) -> DataFrame:
     """Per origin the nodes of one shortest path to ``end``, the least in order of its nodes; start = end is one node."""
-    steps = edges.select(F.col("s").alias("node"), F.col("d").alias("next")).distinct()
+    steps = save(edges.select(F.col("s").alias("node"), F.col("d").alias("next")).distinct(), "steps")
     paths = starts.select("origin", "node", F.array("node").alias("path"))
     done = paths.where(F.col("node") == end).select("origin", "path")
     frontier, seen = paths.where(F.col("node") != end), paths.select("origin", "node")
@@ -80,6 +80,7 @@ def call_tree(edges: DataFrame, roots: DataFrame, max_depth: int = 3, fan_out: i
     """
     rank = Window.partitionBy("s").orderBy("d", "type")
     steps = edges.groupBy("s", "d").agg(F.min("type").alias("type")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= fan_out).select(F.col("s").alias("node"), F.col("d").alias("next"), "type")
+    steps = save(steps, "steps")
     level = roots.select("root", F.array("root").alias("path"), F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("truncated"))
     out = level
     for depth in range(1, max_depth + 1):
