@@ -53,9 +53,9 @@ DEPTH, HARD_DEPTH = 10, 20
 RESULTS, FAN_OUT, TREE_NODES = 1000, 100, 1000
 ENTRY_POOL, ENTRY_SCORE, ENTRY_LIMIT = 1000, 8, 200
 
-#: Threshold gate: (metric, comparison, bound, mandatory).
+#: Threshold gate: (metric, comparison, bound, mandatory). The hop hit rate is the retention by another name.
 GATE = (
     ("broken_chain_rate", "<=", 0.35, True), ("business_broken_chain_rate", "<=", 0.02, True), ("reachability_rate", ">=", 0.75, True),
-    ("key_chain_hit_rate", ">=", 1.0, True), ("critical_chain_retention", ">=", 1.0, True), ("critical_hop_dropout", "<=", 0.1, True),
+    ("key_chain_hit_rate", ">=", 1.0, True), ("key_chain_hop_hit_rate", ">=", 1.0, True), ("critical_chain_retention", ">=", 1.0, True), ("critical_hop_dropout", "<=", 0.1, True),
     ("util_unknown_ratio", "<=", 0.85, True), ("critical_chain_coverage", ">=", 0.0, True), ("critical_definition_presence", ">=", 0.0, True),
 )

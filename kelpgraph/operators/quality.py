@@ -69,11 +69,16 @@ def top_changes(changed: DataFrame, top: int = 5) -> DataFrame:
     return changed.orderBy(F.desc(F.abs("delta")), "metric").limit(top)
 
 
-def gate(report: DataFrame) -> DataFrame:
-    """Every threshold with the metric's value and whether it holds; a missing metric fails."""
-    bounds = report.sparkSession.createDataFrame(list(fixed.GATE), "metric string, op string, bound double, mandatory boolean")
+def gate(report: DataFrame, optional: dict[str, float] | None = None) -> DataFrame:
+    """Every threshold with the metric's value and whether it holds; a missing metric fails.
+
+    ``optional`` adds upper bounds on further metrics.
+    """
+    rows = [*fixed.GATE, *((m, "<=", b, False) for m, b in (optional or {}).items())]
+    bounds = report.sparkSession.createDataFrame(rows, "metric string, op string, bound double, mandatory boolean")
+    hops = report.where("metric = 'critical_chain_retention'").select(F.lit("key_chain_hop_hit_rate").alias("metric"), "value")
     ok = F.when(F.col("op") == "<=", F.col("value") <= F.col("bound")).otherwise(F.col("value") >= F.col("bound"))
-    return bounds.join(report, "metric", "left").select("metric", "op", "bound", "mandatory", "value", F.coalesce(ok, F.lit(False)).alias("passed"))
+    return bounds.join(report.select("metric", "value").union(hops), "metric", "left").select("metric", "op", "bound", "mandatory", "value", F.coalesce(ok, F.lit(False)).alias("passed"))
 
 
 def hints(report: DataFrame) -> DataFrame:

