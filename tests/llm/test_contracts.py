@@ -279,6 +279,18 @@ def test_redaction(spark):
     assert got == {1: ("é [EMAIL], [IP] end", 19), 2: (None, None), 3: ("clean", 5), 4: ("", 0)}
 
 
+def test_wider_formats_of_every_kind(spark):
+    from kelpgraph.llm.op6_pii import find_pii
+
+    there = {0: ("email", "jo.doe (at) host (dot) com"), 1: ("ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), 2: ("card", "4111.1111.1111.1111"), 3: ("phone", "(415) 555-2671"), 4: ("email", "bob.k @ mail.example.org")}
+    near = {10: "met @ noon. Then left", 11: "version 1.2.3 or 300.1.1.1", 12: "code 4111.1111.1111.1112", 13: "on 555-1234", 14: "root@localhost", 15: "at 10:20:30:40:50:60:70:80"}
+    rows = [(i, f"see {t} there") for i, (_, t) in there.items()] + list(near.items())
+    for docs in (rows, rows + [(r.doc_id + 1000, r.text) for r in documents(spark).collect()]):
+        got = {r.doc_id: r.spans for r in find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert {i: got[i] for i in there} == {i: f"{k}:4:{4 + len(t)}" for i, (k, t) in there.items()}
+        assert all(got[i] == "" for i in near)
+
+
 # --- 8: search ------------------------------------------------------------------------
 def test_search_with_one_very_common_vector(spark):
     from kelpgraph.llm.op8_topk import search
