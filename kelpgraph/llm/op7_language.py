@@ -10,6 +10,10 @@ of which the last three are multiplied beforehand.
 
 A text is cut into passages of ``PASSAGE`` bytes, since presence saturates in long
 texts, and all its passages count in proportion to their letters.
+
+The classifiers only compare languages. Whether a text belongs to the one they
+choose is read from its n-grams: the share of the language's passages that hold
+one, averaged over the text's n-grams, against a cut for passages of that size.
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ LANDMARKS = 256
 PER_LANGUAGE = 300
 IN_ALL = 60_000
 RIDGE = 1e-3
-#: A text that every one-versus-rest classifier puts this clearly on the side of the rest has no learned language.
-REJECT = 0.25
+#: Passage sizes at which belonging is calibrated, and the pieces of a language that it takes.
+SIZES = (8, 16, 32, 64, 128, 256, 512, 1000)
+PIECES = 10
 
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 #: Everything but letters is white space; bytes beyond ASCII count as letters.
@@ -83,6 +88,37 @@ def fit(passages: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]
     return names, (base.T @ root @ weights).astype(np.float32)
 
 
+def belonging(passages: list[bytes], langs: list[str], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The share of each language's passages that hold an n-gram (WIDTH x languages), and the least mean share that counts as belonging (SIZES x languages).
+
+    Half of the passages give the shares, the others the cuts: halfway between the
+    median of the language's own pieces and that of pieces whose language is left
+    out (of shuffled ones if it's the only one), but below 99 % of its own. A
+    language with too little text for that has the cut 0.
+    """
+    parts = [[p for p, x in zip(passages, langs, strict=True) if x == name] for name in names]
+    share = np.stack([_presence([t[:PASSAGE] for t in p[::2]])[0].mean(axis=0) for p in parts], axis=1)
+    mean = lambda texts: (r := _presence(texts)[0]) @ share / np.maximum(1, r.sum(axis=1, keepdims=True))
+    cuts = np.zeros((len(SIZES), len(names)))
+    for k, n in enumerate(SIZES):
+        own, other = {}, []
+        for i, p in enumerate(parts):
+            text = b"".join(p[1::2])
+            pieces = [text[at : at + n] for at in range(0, len(text) - n + 1, max(n, len(text) // 200))]
+            if len(pieces) < PIECES:
+                continue
+            value = mean(pieces)
+            own[i] = value[:, i]
+            if len(names) > 1:
+                other.append(np.delete(value, i, axis=1).max(axis=1))
+            else:
+                rng = np.random.default_rng(7)
+                other.append(mean([rng.permutation(np.frombuffer(t, np.uint8)).tobytes() for t in pieces])[:, 0])
+        for i, value in own.items():
+            cuts[k, i] = min((np.median(value) + np.median(np.concatenate(other))) / 2, np.quantile(value, 0.01))
+    return share.astype(np.float32), cuts
+
+
 def sample(docs: DataFrame) -> list:
     """At most PER_LANGUAGE passages of each language (fewer if languages are very many), chosen by hash."""
     known = docs.select(F.col("doc_id"), "lang", F.coalesce("text", F.lit("")).alias("text")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).where(F.col("text").rlike(r"\p{L}"))
@@ -103,27 +139,33 @@ def sample(docs: DataFrame) -> list:
     return out
 
 
-def score(docs: DataFrame, names: list[str], matrix: np.ndarray) -> DataFrame:
-    """``docs`` with __lang and __score, for all rows and whole texts."""
+def score(docs: DataFrame, names: list[str], matrix: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """``docs`` with __lang and __score, for all rows and whole texts; __near says by how much a text belongs (0 or more: it does), 0 without ``known``."""
     place = docs.columns.index("text")
-    schema = docs.select("*", F.lit("").alias("__lang"), F.lit(0.0).alias("__score")).schema
+    schema = docs.select("*", F.lit("").alias("__lang"), F.lit(0.0).alias("__score"), F.lit(0.0).alias("__near")).schema
 
     def rows(batches):
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            pred, sure = ["und"] * len(texts), [0.0] * len(texts)
+            pred, sure, near = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             todo = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t)) and names]
-            total = np.zeros((len(texts), len(names)))
+            total, over = np.zeros((len(texts), len(names))), np.zeros((len(texts), len(names)))
             weight = np.zeros(len(texts))
             for piece, own in _pieces(texts, todo):
                 seen, owner, size = _presence(piece)
                 value = _unit(seen) @ matrix
                 np.add.at(total, own[owner], value * size[:, None])
                 np.add.at(weight, own[owner], size)
+                if known is not None:
+                    share, cuts = known
+                    held = seen @ share / np.maximum(1, seen.sum(axis=1, keepdims=True))
+                    least = np.stack([np.interp(np.log2(np.maximum(1, size)), np.log2(SIZES), cuts[:, i]) for i in range(len(names))], axis=1)
+                    np.add.at(over, own[owner], (held - least) * size[:, None])
             mean = total / np.maximum(1, weight)[:, None]
             for i in todo:
-                pred[i], sure[i] = names[int(mean[i].argmax())], float(np.clip((1 + mean[i].max()) / 2, 0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(sure, pa.float64())], names=[*batch.schema.names, "__lang", "__score"])
+                best = int(mean[i].argmax())
+                pred[i], sure[i], near[i] = names[best], float(np.clip((1 + mean[i].max()) / 2, 0, 1)), float(over[i, best] / max(1, weight[i]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(sure, pa.float64()), pa.array(near, pa.float64())], names=[*batch.schema.names, "__lang", "__score", "__near"])
 
     return docs.mapInArrow(rows, schema)
 
@@ -144,11 +186,14 @@ def _pieces(texts: list[str], todo: list[int], most: int = 500_000):
         yield piece, np.array(own)
 
 
-def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame) -> tuple[list[str], np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """What ``fit`` and ``belonging`` give."""
     known = sample(docs)
     if not known:
-        return [], np.zeros((WIDTH, 0), np.float32)
-    return fit([_normal(r["passage"]) for r in known], [r["lang"] for r in known])
+        return [], np.zeros((WIDTH, 0), np.float32), (np.zeros((WIDTH, 0), np.float32), np.zeros((len(SIZES), 0)))
+    passages, langs = [_normal(r["passage"]) for r in known], [r["lang"] for r in known]
+    names, matrix = fit(passages, langs)
+    return names, matrix, belonging(passages, langs, names)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -160,12 +205,12 @@ def identify(docs: DataFrame) -> DataFrame:
     table has no rows.
     """
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return score(ready, *learn(docs)).select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return score(ready, *learn(docs)[:2]).select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, least: float = REJECT) -> DataFrame:
-    """The rows of ``docs`` whose language can be told: not ``und``, and a score of ``least`` or more.
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose language can be told: not ``und``, and belonging to the language chosen.
 
     With no labelled row at all, every row is ``und`` and goes.
     """
-    return score(docs, *learn(docs)).where((F.col("__lang") != "und") & (F.col("__score") >= least)).drop("__lang", "__score")
+    return score(docs, *learn(docs)).where((F.col("__lang") != "und") & (F.col("__near") >= 0)).drop("__lang", "__score", "__near")

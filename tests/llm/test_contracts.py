@@ -200,6 +200,24 @@ def test_language_of_odd_rows(spark):
     assert keep_identified(odd(spark)).columns == odd(spark).columns
 
 
+def test_foreign_texts_and_gibberish_go(spark):
+    from kelpgraph.llm.op7_language import keep_identified
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(1)
+    noise = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 3000))
+    alien = ["kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan " * 3, "все люди рождаются свободными и равными в своем достоинстве и правах", noise, noise[:200]]
+    planted = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(alien)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in keep_identified(docs.union(planted)).collect()}
+    ids = [r.doc_id for r in docs.collect()]
+    assert not any(i < 0 for i in kept) and np.mean([i in kept for i in ids]) > 0.99
+    # a language that nothing is labelled as
+    spanish = {r.doc_id for r in docs.where("lang = 'es'").collect()}
+    kept = {r.doc_id for r in keep_identified(docs.withColumn("lang", F.expr("nullif(lang, 'es')"))).collect()}
+    assert np.mean([i in kept for i in spanish]) < 0.1 and np.mean([i in kept for i in ids if i not in spanish]) > 0.99
+
+
 def test_kernel_is_the_number_of_common_grams():
     from kelpgraph.llm import op7_language as m
 
