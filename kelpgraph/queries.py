@@ -481,7 +481,7 @@ def upstream(g: CodeGraph):
 def reachable_methods(g: CodeGraph):
     """What any entry reaches."""
     found = entries.entries(g.nodes, g.classes, g.calls)
-    return traverse.reachable(traverse.keyed(g.known), found.select(naming.method_key(F.col("class_name"), F.col("name")).alias("node")), 4)
+    return traverse.reachable(traverse.keyed(g.known), found.select(naming.method_key(F.col("class_name"), F.col("name")).alias("node")))
 
 
 _R = _ENTRY + ", x0 AS (SELECT concat_ws('.', class_name, name) AS node FROM entry)"
@@ -580,7 +580,7 @@ def suggested_chains(g: CodeGraph):
 # --- quality -----------------------------------------------------------------
 def _report(spark, sf_dir) -> DataFrame:
     g = from_tables(spark, sf_dir)
-    return quality.metrics(g.classes, g.nodes, g.calls, _order_chains(spark, sf_dir), 4)
+    return quality.metrics(g.classes, g.nodes, g.calls, _order_chains(spark, sf_dir))
 
 
 _METRICS = f"""{_R.replace('WITH', '')}{_CATEGORY}{_IN}{_CHAIN}, bad AS ({_BAD}), per AS (SELECT name, bool_and(hit) AS full, count(*) AS hops, count(*) FILTER (hit) AS ok FROM judged GROUP BY name),

@@ -198,3 +198,19 @@ def test_top_k_and_context(spark):
     q = spark.createDataFrame([(9, [0.9, 0.0], "a")], "query_id long, q array<float>, layer string")
     assert [r.vec_id for r in vectors.top_k(v, q, 2).orderBy("rank").collect()] == [2, 1]
     assert {r.vec_id for r in vectors.top_k(v, q, 5, same="layer").collect()} == {1, 2}
+
+
+def test_reachability_goes_down_to_the_default_depth(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from kelpgraph import queries
+
+    n = 8
+    classes = spark.createDataFrame([(f"C{i}", f"/src/{'controller' if i == 0 else 'misc'}/C{i}.java", "x", False) for i in range(n)], "name string, file_path string, layer string, is_mapper boolean")
+    nodes = spark.createDataFrame([(f"m{i}", f"C{i}") for i in range(n)], "name string, class_name string")
+    calls = spark.createDataFrame([(f"m{i}", f"C{i}", f"m{i + 1}", f"C{i + 1}", 0, "external") for i in range(n - 1)], "caller string, caller_class string, callee string, callee_class string, arg_count int, type string")
+    monkeypatch.setattr(queries, "from_tables", lambda spark, sf_dir: SimpleNamespace(classes=classes, nodes=nodes, calls=calls, known=calls))
+    sf = "/root/testdata/sf0.001"
+    assert {r.node for r in queries.Q["reachable_methods"](spark, sf).collect()} == {f"C{i}.m{i}" for i in range(n)}
+    assert {r.metric: r.value for r in queries.Q["quality_metrics"](spark, sf).collect()}["reachability_rate"] == 1
+    assert {r.metric: r.passed for r in queries.Q["threshold_gate"](spark, sf).collect()}["reachability_rate"]
