@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import naming
 from . import degrees
 
-#: Rows of queries up to which they are broadcast to the vectors.
+#: Rows of queries that are broadcast to the vectors at once, on average.
 BROADCAST_QUERIES = 10_000
 
 
@@ -23,17 +24,21 @@ def distance(a: Column, b: Column) -> Column:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = None) -> DataFrame:
     """V1, V2: the k nearest vectors (vec_id, embedding) of each query (query_id, q); ``same`` filters by an equal column first.
 
-    A stated, counted query set meets all vectors where they lie; each task keeps
-    its k best a query before the shuffle.
+    Queries meet all vectors where they lie, in broadcast blocks chosen by the
+    hash of their id; each task keeps its k best a query before the shuffle.
     """
     on = [same] if same else []
     queries = queries.select("query_id", "q", *on)
-    few = queries.count() <= BROADCAST_QUERIES
-    asked = F.broadcast(queries) if few else queries
-    pairs = vectors.join(asked, on) if on else vectors.join(asked)
-    scored = pairs.select("query_id", "vec_id", distance(F.col("embedding"), F.col("q")).alias("d"))
+    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
     rank = Window.partitionBy("query_id").orderBy("d", "vec_id")
-    return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+
+    def nearest(block: int) -> DataFrame:
+        asked = F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block))
+        pairs = vectors.join(asked, on) if on else vectors.join(asked)
+        scored = pairs.select("query_id", "vec_id", distance(F.col("embedding"), F.col("q")).alias("d"))
+        return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+
+    return reduce(DataFrame.unionByName, map(nearest, range(blocks)))
 
 
 def chunks(nodes: DataFrame, classes: DataFrame, calls: DataFrame, summarise: Callable[[Column, Column], Column] | None = None) -> DataFrame:

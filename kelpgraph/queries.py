@@ -702,6 +702,25 @@ def vector_topk_filtered(spark, sf_dir):
     return vectors.top_k(v, q, 5, same="label").select("query_id", "vec_id", F.round("d", 4).alias("d"), "rank")
 
 
+def _every_query(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+
+
+@query(graph=False)
+def vector_topk_every(spark, sf_dir):
+    """V1, V6: the five nearest vectors of every vector whose id is divisible by 20, among all."""
+    v, q = _every_query(spark, sf_dir)
+    return vectors.top_k(v, q, 5).select("query_id", "vec_id", F.round("d", 4).alias("d"), "rank")
+
+
+@query(graph=False)
+def vector_topk_filtered_every(spark, sf_dir):
+    """The same queries among vectors of the same label only."""
+    v, q = _every_query(spark, sf_dir)
+    return vectors.top_k(v, q, 5, same="label").select("query_id", "vec_id", F.round("d", 4).alias("d"), "rank")
+
+
 @query(_LAYERED + _OUT + _IN + " SELECT concat_ws('::', l.file_path, o.class_name, o.name) AS id, 'Method ' || o.name || ' of ' || o.class_name AS summary, l.file_path, o.name AS method_name, o.class_name, l.layer, out_degree AS call_count, in_degree AS callers_count FROM outd o JOIN ind i ON i.name = o.name AND i.class_name = o.class_name JOIN cg_layered l ON l.name = o.class_name")
 def chunks(g: CodeGraph):
     """V3-V5, D11, F17, J18."""

@@ -214,3 +214,23 @@ def test_reachability_goes_down_to_the_default_depth(spark, monkeypatch):
     assert {r.node for r in queries.Q["reachable_methods"](spark, sf).collect()} == {f"C{i}.m{i}" for i in range(n)}
     assert {r.metric: r.value for r in queries.Q["quality_metrics"](spark, sf).collect()}["reachability_rate"] == 1
     assert {r.metric: r.passed for r in queries.Q["threshold_gate"](spark, sf).collect()}["reachability_rate"]
+
+
+def test_every_vector_query_is_answered(spark, monkeypatch):
+    from kelpgraph import queries
+
+    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", 10)  # several blocks
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    for name, same in (("vector_topk_every", False), ("vector_topk_filtered_every", True)):
+        want = {}
+        for q in rows:
+            if q.vec_id % 20 == 0:
+                found = sorted((sum((float(a) - float(b)) ** 2 for a, b in zip(v.embedding, q.embedding, strict=True)), v.vec_id) for v in rows if not same or v.label == q.label)
+                want[q.vec_id] = [i for _, i in found[:5]]
+        got = {}
+        df = queries.Q[name](spark, sf)
+        assert "BroadcastNestedLoopJoin" in df._jdf.queryExecution().toString() or same
+        for r in df.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == want and len(want) > 10
