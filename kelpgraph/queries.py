@@ -477,6 +477,25 @@ def upstream(g: CodeGraph):
     return traverse.reach(traverse.keyed(g.known), _first(g), 3, up=True)
 
 
+def _all(g: CodeGraph) -> DataFrame:
+    """Every method key of the classes in the layer controller."""
+    key = naming.method_key(F.col("class_name"), F.col("name"))
+    ctl = g.classes.where("layer = 'controller'").select(F.col("name").alias("class_name"))
+    return g.nodes.join(ctl, "class_name").select(key.alias("origin"), key.alias("node")).distinct()
+
+
+@query()
+def downstream_every(g: CodeGraph):
+    """What every method of each controller reaches, to the default depth."""
+    return traverse.reach(traverse.keyed(g.known), _all(g))
+
+
+@query()
+def upstream_every(g: CodeGraph):
+    """What reaches every method of each controller, to the default depth."""
+    return traverse.reach(traverse.keyed(g.known), _all(g), up=True)
+
+
 @query(_ENTRY + ", RECURSIVE_MARK AS (SELECT 1) SELECT 1")
 def reachable_methods(g: CodeGraph):
     """What any entry reaches."""
@@ -507,6 +526,12 @@ def data_flow_path(g: CodeGraph):
     return traverse.shortest_path(traverse.keyed(g.known), _first(g), _goal(g), 4).select("origin", F.array_join("path", " > ").alias("path"))
 
 
+@query()
+def data_flow_path_every(g: CodeGraph):
+    """A shortest path from every method of each controller to the last method of all, to the default depth."""
+    return traverse.shortest_path(traverse.keyed(g.known), _all(g), _goal(g)).select("origin", F.array_join("path", " > ").alias("path"))
+
+
 _T = _FIRST + ", step AS (SELECT * FROM (SELECT s, d, min(type) AS type, row_number() OVER (PARTITION BY s ORDER BY d, min(type)) AS r FROM (SELECT concat_ws('.', caller_class, caller) AS s, concat_ws('.', callee_class, callee) AS d, type FROM cg_known) GROUP BY s, d) WHERE r <= 8), t0 AS (SELECT origin AS root, [origin] AS path, origin AS node, 0 AS depth, NULL::VARCHAR AS type, NULL::VARCHAR AS truncated FROM src)"
 for _i in range(1, 4):
     _T += f", t{_i} AS (SELECT root, list_append(path, d) AS path, d AS node, {_i} AS depth, step.type, CASE WHEN list_contains(path, d) THEN 'cycle' WHEN {_i} = 3 THEN 'max_depth' END AS truncated FROM t{_i - 1} JOIN step ON s = node WHERE truncated IS NULL)"

@@ -234,3 +234,21 @@ def test_every_vector_query_is_answered(spark, monkeypatch):
         for r in df.orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.vec_id)
         assert got == want and len(want) > 10
+
+
+def test_traversals_from_every_method_to_the_default_depth(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from kelpgraph import queries
+
+    names = ["A.z", *(f"B{i}.m" for i in range(6))]  # A.a comes first and calls nothing
+    classes = spark.createDataFrame([("A", "controller")], "name string, layer string")
+    nodes = spark.createDataFrame([("a", "A")] + [tuple(x.split(".")[::-1]) for x in names], "name string, class_name string")
+    calls = spark.createDataFrame([(*a.split("."), *b.split("."), "external") for a, b in zip(names, names[1:], strict=False)], "caller_class string, caller string, callee_class string, callee string, type string")
+    back = calls.selectExpr("callee_class caller_class", "callee caller", "caller_class callee_class", "caller callee", "type")
+    graph = lambda known: lambda spark, sf_dir: SimpleNamespace(classes=classes, nodes=nodes, known=known)
+    monkeypatch.setattr(queries, "from_tables", graph(calls))
+    assert {(r.origin, r.node, r.depth) for r in queries.Q["downstream_every"](spark, "").collect()} == {("A.z", x, i) for i, x in enumerate(names) if i}
+    assert [(r.origin, r.path) for r in queries.Q["data_flow_path_every"](spark, "").collect()] == [("A.z", " > ".join(names))]
+    monkeypatch.setattr(queries, "from_tables", graph(back))
+    assert {(r.origin, r.node, r.depth) for r in queries.Q["upstream_every"](spark, "").collect()} == {("A.z", x, i) for i, x in enumerate(names) if i}
