@@ -309,6 +309,18 @@ def test_wider_formats_of_every_kind(spark):
         assert all(got[i] == "" for i in near)
 
 
+def test_added_spans_in_chains_of_overlaps(spark):
+    from kelpgraph.llm.op6_pii import _merged
+
+    span = "array<struct<start:int,end:int>>"
+    extra = [("phone", 0, 10, 0.7), ("phone", 5, 20, 0.8), ("phone", 15, 30, 0.9), ("card", 40, 50, 0.6), ("card", 45, 65, 0.9)]
+    df = spark.createDataFrame([([(60, 70)], extra)], f"e {span}, x array<struct<kind:string,start:int,end:int,p:double>>")
+    none = F.array().cast(span)
+    got = df.select(_merged([F.col("e"), none, none, none], F.col("x")).alias("m")).first().m
+    # 15-30 beats 5-20, so that 0-10 stays; 45-65 crosses the base span, so that 40-50 stays
+    assert sorted((r.kind, r.start, r.end) for r in got) == [("card", 40, 50), ("email", 60, 70), ("phone", 0, 10), ("phone", 15, 30)]
+
+
 # --- 8: search ------------------------------------------------------------------------
 def test_search_with_one_very_common_vector(spark):
     from kelpgraph.llm.op8_topk import search
