@@ -14,12 +14,14 @@ to stitch documents across block boundaries.
 from __future__ import annotations
 
 import base64
+import os.path
+import re
 import uuid
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +35,8 @@ BLOCK = 1 << 16
 GROUP = 1024
 #: The split pattern that this vocabulary was made with; a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space (of the split pattern's kind) that the pattern's recursion shouldn't see.
+_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 @lru_cache(2)
@@ -44,18 +48,37 @@ def _encoder(path: str):
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(encoder, text: str) -> list[int]:
+    """The tokens of ``text``; long runs of white space are cut out where the pattern cuts them anyway.
+
+    The pattern makes one piece of a run but for its last character, or of the whole
+    run at the end of the text, so both sides can be encoded apart.
+    """
+    out: list[int] = []
+    at = 0
+    for run in _BLANK.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoder.encode_ordinary(text[at : run.start()])
+        out += encoder._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + encoder.encode_ordinary(text[at:] if at else text)
+
+
 def tokenize(docs: DataFrame, tokenizer: str = TOKENIZER, eod: int = END_OF_DOCUMENT, width: int = WIDTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Write ``docs`` as flat token streams, one a partition: (blocks, manifest).
 
     blocks: file, block, payload (``block`` identifiers, the last one fewer).
     manifest: file, first, ids: the doc_ids in order, ``first`` being the position
     of the first of them; it says whose documents these are, not where they lie.
-    Null texts are empty documents.
+    Null texts are empty documents. Spark sends the vocabulary file ``tokenizer``,
+    which only the driver needs to have, to the executors.
     """
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    vocabulary = os.path.basename(tokenizer)
     kind = np.dtype(f"<u{width}")
 
     def rows(batches):
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(SparkFiles.get(vocabulary))
         file, at, first = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
         n = 0
@@ -71,7 +94,7 @@ def tokenize(docs: DataFrame, tokenizer: str = TOKENIZER, eod: int = END_OF_DOCU
             ids = batch.column(0).to_pylist()
             payloads = []
             for text in batch.column(1).to_pylist():
-                held.append(np.array([*encoder.encode_ordinary(text or ""), eod], kind))
+                held.append(np.array([*encode(encoder, text or ""), eod], kind))
                 n += len(held[-1])
                 if n >= block:
                     flat = np.concatenate(held)
@@ -160,7 +183,8 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, eod: int = END_OF_
     """One row per row of ``docs`` (doc_id, text): doc_id and n_tokens, by way of flat token files.
 
     Null and empty texts have 0 tokens; other columns are ignored; repeated rows
-    are counted each; an empty table has no rows.
+    are counted each; an empty table has no rows. Texts are bounded by a task's
+    memory alone, whatever they repeat.
     """
     blocks, manifest = tokenize(docs, tokenizer, eod)
     counted = separator_scan(blocks, eod)
