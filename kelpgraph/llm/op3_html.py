@@ -1,20 +1,28 @@
 """Operator 3: main-text extraction from HTML by two-pass block rules.
 
 The markup is cut into blocks. The first pass classifies each block on its own by
-stop-word density, length and link density, and by what its elements declare
-(navigation, footers, adverts and the like are never content). Short blocks and
+stop-word density, length and link density; what is no running text by its element
+(navigation, footers, forms and the like) is never content. Short blocks and
 blocks of few stop words stay undecided. In the second pass an undecided block
 takes the label of its nearest decided neighbours; inside an article element only
 neighbours of the same article count, so that a headline isn't drawn to the
 advert before it.
 
-Texts pass through the tasks page by page; a page is bounded by its own size.
+Class and id names are only a hint: what they mark (sidebars, comments, notices)
+is left out as long as the density rule finds the text elsewhere. A page whose
+text all lies below marked elements had a layout that was named after one of its
+parts, and the mark of the element around that text is dropped.
+
+Every scan is linear in the page. Texts pass through the tasks page by page; a
+page is bounded by its own size.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,89 +59,122 @@ MARKED = frozenset(
     "signup login share sharing social related recommended comment comments commentlist disqus reply replies respond widget pagination pager copyright".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S)
+#: Class names that begin so speak of what a layout has or lacks, not of what the element is.
+MODIFIERS = frozenset("has with no not without".split())
+
+#: Possessive throughout; a quote opens a value only after an equals sign.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*+)(?P<rest>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)(?P<shut>>|\Z)|(?P<text>[^<]+|<)", re.S)
 _ATTR = re.compile(r"([A-Za-z_:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _declared(tag: str, rest: str, inside: bool) -> bool:
+def _declared(tag: str, rest: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is outside by what it is, and whether its class or id marks it so."""
     if tag in OUTSIDE or (tag == "header" and not inside):
-        return True
+        return True, False
+    marked = False
     if not rest or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
     for m in _ATTR.finditer(rest):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not MARKED.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
+        if name in ("class", "id"):
+            for own in value.split():
+                parts = re.split(r"[^a-z0-9]+", own)
+                marked = marked or (parts[0] not in MODIFIERS and not MARKED.isdisjoint(parts))
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return True, False
+    return False, marked
+
+
+class Block(NamedTuple):
+    text: str
+    outside: bool
+    linked: int
+    article: int
+    mark: int
 
 
 class _Blocks:
-    """The blocks of one page: (text, declared outside, link characters, article number)."""
+    """The blocks of one page; marks are numbered from 1, 0 is none; an element's mark is its innermost one."""
 
     def __init__(self) -> None:
-        self.found: list[tuple[str, bool, int, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, outside, article
+        self.found: list[Block] = []
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, outside, article, mark
+        self.count: Counter[str] = Counter()
+        self.around = [0]  # the mark around each mark
+        self.wrapper: set[int] = set()  # marks that an article or main element lies in
         self.parts: list[str] = []
         self.linked = 0
         self.in_link = 0
         self.articles = 0
 
-    def state(self) -> tuple[bool, int]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
+    def state(self) -> tuple[bool, int, int]:
+        return self.open[-1][1:] if self.open else (False, 0, 0)
 
     def end_block(self) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split()) if self.parts else ""
         if text:
-            outside, article = self.state()
-            self.found.append((text, outside, self.linked, article))
+            outside, article, mark = self.state()
+            self.found.append(Block(text, outside, self.linked, article, mark))
         self.parts, self.linked = [], 0
 
+    def close_to(self, depth: int) -> None:
+        for x in self.open[depth:]:
+            self.count[x[0]] -= 1
+        del self.open[depth:]
+
     def start(self, tag: str, rest: str) -> None:
         if tag == "a":
             self.in_link = 1
         if tag == "br":
             self.parts.append(" ")
-        outside, article = self.state()
-        apart = _declared(tag, rest, article > 0)
-        if tag not in BLOCKS and not apart:
+        outside, article, mark = self.state()
+        apart, marked = _declared(tag, rest, article > 0)
+        if tag not in BLOCKS and not apart and not marked:
             return
         self.end_block()
         self.in_link = 0
         if tag == "body" or self.open and self.open[-1][0] in ("p", "dt", "dd", "li", "option", "td", "th", "tr") and tag in BLOCKS:
             self.imply(tag)
-            outside, article = self.state()
+            outside, article, mark = self.state()
         if tag in ("article", "main") and not article:
             self.articles += 1
-            article = self.articles
+            article, at = self.articles, mark
+            while at and at not in self.wrapper:
+                self.wrapper.add(at)
+                at = self.around[at]
         if tag not in VOID and not rest.endswith("/"):
-            self.open.append((tag, outside or apart, article))
+            if marked:
+                self.around.append(mark)
+                mark = len(self.around) - 1
+            self.open.append((tag, outside or apart, article, mark))
+            self.count[tag] += 1
 
     def imply(self, tag: str) -> None:
         """Close what the new element closes without an end tag."""
         shut = {"body": ("head",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "option": ("option",), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "tr": ("tr", "td", "th", "p")}.get(tag, ("p",))
-        while self.open and self.open[-1][0] in shut:
-            self.open.pop()
-        if tag == "body":
-            names = [x[0] for x in self.open]
-            if "head" in names:
-                del self.open[names.index("head") :]
+        depth = len(self.open)
+        while depth and self.open[depth - 1][0] in shut:
+            depth -= 1
+        self.close_to(depth)
+        if tag == "body" and self.count["head"]:
+            self.close_to([x[0] for x in self.open].index("head"))
 
     def end(self, tag: str) -> None:
         if tag == "a":
             self.in_link = 0
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.end_block()
-                del self.open[i:]
-                return
-        if tag in BLOCKS:
+        if self.count[tag]:
+            self.end_block()
+            depth = len(self.open) - 1
+            while self.open[depth][0] != tag:
+                depth -= 1
+            self.close_to(depth)
+        elif tag in BLOCKS:
             self.end_block()
 
 
-def blocks(page: str) -> list[tuple[str, bool, int, int]]:
+def parse(page: str) -> _Blocks:
+    """Blocks and marks of a page; a cut-off tag ends it."""
     out, at = _Blocks(), 0
     while m := _TOKEN.search(page, at):
         at = m.end()
@@ -141,7 +182,7 @@ def blocks(page: str) -> list[tuple[str, bool, int, int]]:
             out.parts.append(m["text"])
             if out.in_link:
                 out.linked += len(m["text"].strip())
-        elif m["tag"]:
+        elif m["tag"] and m["shut"]:
             tag = m["tag"].lower()
             if m["close"]:
                 out.end(tag)
@@ -151,42 +192,71 @@ def blocks(page: str) -> list[tuple[str, bool, int, int]]:
             else:
                 out.start(tag, m["rest"])
     out.end_block()
-    return out.found
+    return out
+
+
+def first_pass(block: Block) -> bool | None:
+    """The label of a block by its own text, marks aside; None is undecided."""
+    text, outside, linked, article, _ = block
+    words = _WORD.findall(text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if outside or linked > LINKS_HIGH * len(text):
+        return False
+    if len(text) < LENGTH_LOW:
+        return False if linked and not article else None
+    if stops >= STOP_HIGH or article and stops >= STOP_LOW or stops >= STOP_LOW and len(text) > LENGTH_HIGH:
+        return True
+    return None if article or stops >= STOP_LOW else False
+
+
+def held_marks(page: _Blocks, label: list[bool | None]) -> list[bool]:
+    """Per block, whether a mark leaves it out.
+
+    Marks hold if an unmarked article has text that isn't rejected. Otherwise the one
+    that holds most text of articles doesn't, if that is more than all unmarked text;
+    and if there is no unmarked text at all, the one with most text doesn't.
+    """
+    size: Counter[int] = Counter()
+    inner: Counter[int] = Counter()
+    for b, good in zip(page.found, label):
+        if b.article and not b.mark and good is not False:
+            return [b.mark > 0 for b in page.found]
+        if good:
+            size[b.mark] += len(b.text)
+            inner[b.mark] += len(b.text) if b.article and b.mark in page.wrapper else 0
+    most = max(inner, key=lambda k: (inner[k], -k), default=0)
+    if inner[most] <= size[0]:
+        most = 0 if size[0] else max(size, key=lambda k: (size[k], -k), default=0)
+    dropped: set[int] = set()
+    while most:
+        dropped.add(most)
+        most = page.around[most]
+    return [b.mark > 0 and b.mark not in dropped for b in page.found]
 
 
-def classify(found: list[tuple[str, bool, int, int]]) -> list[bool]:
+def classify(page: _Blocks) -> list[bool]:
     """Which blocks are main text: the two passes."""
-    label: list[bool | None] = []
-    for text, outside, linked, article in found:
-        words = _WORD.findall(text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if outside or linked > LINKS_HIGH * len(text):
-            label.append(False)
-        elif len(text) < LENGTH_LOW:
-            label.append(False if linked and not article else None)
-        elif stops >= STOP_HIGH or article and stops >= STOP_LOW:
-            label.append(True)
-        elif stops >= STOP_LOW and len(text) > LENGTH_HIGH:
-            label.append(True)
-        else:
-            label.append(None if article or stops >= STOP_LOW else False)
+    found = page.found
+    label = [first_pass(b) for b in found]
+    marked = held_marks(page, label)
+    label = [False if m else x for m, x in zip(marked, label)]
     # For each block its nearest decided neighbours on either side, as (distance, label).
     before: list[tuple[int, bool] | None] = [None] * len(found)
     after: list[tuple[int, bool] | None] = [None] * len(found)
     for near, order in ((before, range(len(found))), (after, range(len(found) - 1, -1, -1))):
         last: dict[int, tuple[int, bool]] = {}
         for i in order:
-            article = found[i][3]
+            article = found[i].article
             if label[i] is None:
                 if article in last:
                     near[i] = (abs(i - last[article][0]), last[article][1])
-            elif not (article and found[i][1]):  # what an article marks as no part of it says nothing of the rest
+            elif not (article and (found[i].outside or marked[i])):  # what an article marks as no part of it says nothing of the rest
                 last[article] = (i, bool(label[i]))
     out = []
     for i, x in enumerate(label):
         if x is None:
             sides = [s for s in (before[i], after[i]) if s]
-            if found[i][3]:
+            if found[i].article:
                 x = not sides or any(s[1] for s in sides)
             else:  # of two as near the one before counts
                 x = bool(sides) and min(sides, key=lambda s: s[0])[1]
@@ -195,8 +265,8 @@ def classify(found: list[tuple[str, bool, int, int]]) -> list[bool]:
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    return " ".join(b[0] for b, keep in zip(found, classify(found)) if keep)
+    parsed = parse(page or "")
+    return " ".join(b.text for b, keep in zip(parsed.found, classify(parsed)) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
