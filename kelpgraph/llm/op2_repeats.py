@@ -15,8 +15,9 @@ next, finer digit:
 3. digit = the whole window, for the cells that are still open. Equal groups are
    the repeated windows.
 
-Every pass counts before it shuffles (partial aggregation), so a run shared by a
-third of the corpus is one row per task. Digits are compared by 64-bit
+Every pass counts digits with partial aggregation, so in the counts a run shared by
+a third of the corpus is one row per task; in the joins that follow, the rows of so
+hot a digit are salted. Digits are compared by 64-bit
 fingerprints inside the group of the preceding digit (128 bits in all).
 """
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import salted, save
 
 CHUNK = 1 << 19
 CELL = 16
@@ -262,8 +263,10 @@ def repeated_spans(docs: DataFrame, depth: int = 200, core: int = 40) -> DataFra
     if depth - core <= CELL:
         raise ValueError("depth must exceed core by more than CELL")
     runs = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "dk", "text").where(F.octet_length("text") >= depth).mapInArrow(_run_rows(depth, core), RUN)
-    again = save(runs.groupBy("digit").agg(F.count("*").alias("c"), F.min("body").alias("least"), F.max("body").alias("most")).where("c > 1").select("digit", (F.col("least") != F.col("most")).alias("open")), "op2-digits")
-    kept = save(runs.join(again, "digit"), "op2-runs")
+    counts = (F.count("*").alias("__n"), F.min("body").alias("least"), F.max("body").alias("most"))
+    again = save(runs.groupBy("digit").agg(*counts).where("__n > 1").select("digit", "__n", (F.col("least") != F.col("most")).alias("open")), "op2-digits")
+    spread, marked, on = salted(runs, again, ["digit"], ["doc_id", "lo"], "__n")
+    kept = save(spread.join(marked, on).drop("__salt", "__n"), "op2-runs")
     distinct = save(kept.where("open").groupBy("digit", "body").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "dk", "lo", "n", "core_at")).alias("r")).select("digit", "body", "weight", "r.*"), "op2-distinct")
 
     per_doc = distinct.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("digit", "body", "weight", "doc_id", "dk", "lo", "n", "core_at")).alias("reps"))
@@ -271,17 +274,22 @@ def repeated_spans(docs: DataFrame, depth: int = 200, core: int = 40) -> DataFra
 
     cells = bodies.mapInArrow(_cells(depth), CELLS)
     key = ["digit", "cell", "core"]
-    marks = save(cells.groupBy(*key).agg(F.sum("weight").alias("c"), F.min("cell_body").alias("least"), F.max("cell_body").alias("most")).where("c > 1").select(*key, (F.col("least") != F.col("most")).alias("open")), "op2-cell-digits")
-    hit = save(cells.join(marks, key), "op2-cells")
+    counts = (F.sum("weight").alias("c"), F.count("*").alias("rows"), F.min("cell_body").alias("least"), F.max("cell_body").alias("most"))
+    marks = save(cells.groupBy(*key).agg(*counts).where("c > 1").select(*key, F.col("rows").alias("__n"), (F.col("least") != F.col("most")).alias("open")), "op2-cell-digits")
+    spread, marked, on = salted(cells, marks, key, ["doc_id", "lo", "at"], "__n")
+    hit = save(spread.join(marked, on).drop("__salt", "__n"), "op2-cells")
 
     open_cells = hit.where("open").groupBy("digit", "body", "doc_id", "dk").agg(F.collect_list(F.struct("core", "at", "n")).alias("cells"))
     windows = bodies.join(open_cells, ["digit", "body", "doc_id", "dk"]).select("cells", "bytes", "weight", "doc_id", "dk", "lo").mapInArrow(_windows(depth), WINDOW)
-    twice = save(windows.groupBy("core", "window").agg(F.sum("weight").alias("c")).where("c > 1").select("core", "window"), "op2-windows")
+    counts = (F.sum("weight").alias("c"), F.count_if(F.col("weight") == 1).alias("__n"))
+    twice = save(windows.groupBy("core", "window").agg(*counts).where("c > 1").select("core", "window", "__n"), "op2-windows")
 
     span = ["doc_id", "dk", "lo", "n"]
     whole = kept.where("not open").select(*span)
-    copied = kept.where("open").join(distinct.where("weight > 1").select("digit", "body"), ["digit", "body"], "left_semi").select(*span)
-    single = windows.where("weight = 1").join(twice, ["core", "window"], "left_semi").select("doc_id", "dk", "lo", F.lit(1).alias("n"))
+    spread, marked, on = salted(kept.where("open"), distinct.where("weight > 1").select("digit", "body", F.col("weight").alias("__n")), ["digit", "body"], ["doc_id", "lo"], "__n")
+    copied = spread.join(marked, on).select(*span)
+    spread, marked, on = salted(windows.where("weight = 1"), twice, ["core", "window"], ["doc_id", "lo"], "__n")
+    single = spread.join(marked, on).select("doc_id", "dk", "lo", F.lit(1).alias("n"))
     return save(whole.union(copied).union(hit.where("not open and weight = 1").select(*span)).union(single), "op2-spans")
 
 
