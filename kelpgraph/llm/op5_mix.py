@@ -120,8 +120,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 
 def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mixture itself: every row of ``docs`` as many times as it has copies, numbered in the column copy (one of that name is replaced)."""
-    sized = save(with_keys(docs.select("doc_id", "source", "text")).drop("text"), "op5-sizes")
-    inner = docs.drop("copy")
-    out = mixed(with_keys(inner), plan(sized, weights, most)).where("__copies > 0")
-    return out.select(*(F.col(c) for c in inner.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("copy"))
+    """The mixture itself: every row of ``docs`` as many times as it has copies, numbered in a new last column.
+
+    That column is called copy, with as many underscores behind it as keep it from
+    clashing with a given one. The sizes and hashes of the texts are computed once.
+    """
+    number = "copy"
+    while number in map(str.lower, docs.columns):
+        number += "_"
+    keyed = save(with_keys(docs), "op5-documents")
+    out = mixed(keyed, plan(keyed.select("source", "__size", "__sk", "__u"), weights, most)).where("__copies > 0")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias(number))
