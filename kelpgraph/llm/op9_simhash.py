@@ -9,12 +9,15 @@ The shuffle key of a variant is its value in a few of the 64 bits (those that
 split the fingerprints most evenly; as many as keep a group's variants near
 ``VARIANTS``). A fingerprint travels once to each group that any of its variants
 falls into, and the group spells those variants out, so the shuffle holds tens
-of rows a fingerprint rather than 2081.
+of rows a fingerprint rather than 2081. Groups are counted before they are sent: one
+of more than ``GROUP`` fingerprints (a large family of near copies agrees on nearly
+all bits) is split by the bits in which its own members differ most, until each fits.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,6 +32,9 @@ from .components import connected_components
 RADIUS = 2
 BALL = 1 + 64 + 64 * 63 // 2
 VARIANTS = 2_000_000
+#: Fingerprints of one group, and bits by which a larger one is split at once.
+GROUP = 20_000
+SPLIT_BITS = 4
 
 
 def _fingerprint(text: bytes, size: int) -> int:
@@ -124,26 +130,65 @@ def links(fps: DataFrame) -> DataFrame:
     n = ones["n"]
     depth = min(24, max(0, math.ceil(math.log2(max(1, n) * BALL / VARIANTS))))
     even = sorted(range(64), key=lambda i: (abs(2 * (ones[f"b{i}"] or 0) - n), i))
-    chosen, free = even[:depth], even[depth:]
-    keep = sum(1 << i for i in chosen)
-    flips = [0] + [1 << i for i in chosen] + [1 << i | 1 << j for k, i in enumerate(chosen) for j in chosen[:k]]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    chosen = even[:depth]
 
     def group(frame: pd.DataFrame) -> pd.DataFrame:
         fp = frame["fp"].to_numpy(np.int64).view(np.uint64)
-        bucket = np.uint64(int(frame["bucket"].iloc[0]) % (1 << 64))
-        current = (fp & ~np.uint64(keep)) | bucket
+        mask, value = (np.uint64(int(frame[c].iloc[0]) % (1 << 64)) for c in ("mask", "value"))
+        current = (fp & ~mask) | value
         left = RADIUS - np.bitwise_count(fp ^ current).astype(np.int64)
         label = np.arange(len(fp))
-        for a, b in _collide(current, left, free, VARIANTS):
+        for a, b in _collide(current, left, [i for i in even if not int(mask) >> i & 1], VARIANTS):
             near = np.bitwise_count(fp[a] ^ fp[b]) <= 2 * RADIUS
             label = _forest(len(fp), a[near], b[near], label)
         own = np.flatnonzero(label != np.arange(len(fp)))
         return pd.DataFrame({"u": fp[own].view(np.int64), "v": fp[label[own]].view(np.int64)})
 
-    sent = fps.select("fp", F.explode(F.array(*(F.lit(signed(x)).cast("long") for x in flips))).alias("flip"))
-    sent = sent.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(signed(keep)).cast("long")).alias("bucket"))
-    return sent.groupBy("bucket").applyInPandas(group, "u long, v long")
+    flips = [0] + [1 << i for i in chosen] + [1 << i | 1 << j for k, i in enumerate(chosen) for j in chosen[:k]]
+    kept = F.lit(_signed(sum(1 << i for i in chosen))).cast("long")
+    sent = fps.select("fp", F.explode(F.array(*(F.lit(_signed(x)).cast("long") for x in flips))).alias("flip"))
+    sent = sent.select("fp", kept.alias("mask"), F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(kept).alias("value"))
+    found = [part.groupBy("mask", "value").applyInPandas(group, "u long, v long") for part in _split(sent)]
+    return reduce(DataFrame.union, found)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _split(sent: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """Rows (fp, mask, value) such that no (mask, value) has more than ``most``: large ones take more bits into their mask.
+
+    A row goes on to every value of the new bits that it reaches with the flips that
+    value leaves it. Groups whose members agree on all free bits don't exist, since
+    fingerprints are distinct.
+    """
+    most = most or GROUP
+    key = ["mask", "value"]
+    parts: list[DataFrame] = []
+    while True:
+        size = sent.groupBy(*key).agg(F.count("*").alias("n")).where((F.col("n") > most) & (F.col("mask") != -1))
+        large = save(size.select(*key), "op9-large")
+        count = large.count()
+        if not count:
+            return [*parts, sent]
+        near = F.broadcast if count <= 100_000 else (lambda table: table)
+        parts.append(sent.join(near(large), key, "left_anti"))
+        hot = sent.join(near(large), key, "left_semi")
+        # The free bits in which the members differ most; a mask of all bits needs no split.
+        ones = hot.groupBy(*key).agg(F.count("*").alias("n"), F.array(*(F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1).cast("long"))) for i in range(64))).alias("ones"))
+        uneven = F.transform("ones", lambda x, i: F.struct(F.abs(2 * x - F.col("n")).alias("off"), i.alias("bit")))
+        free = F.filter(uneven, lambda x: F.call_function("shiftright", F.col("mask"), x["bit"]).bitwiseAND(F.lit(1).cast("long")) == 0)
+        one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+        bits = ones.select(*key, F.transform(F.slice(F.array_sort(free), 1, SPLIT_BITS), lambda x: one(x["bit"])).alias("bits"))
+        hot = hot.join(near(save(bits, "op9-bits")), key)
+        none = F.array(F.lit(0).cast("long"))
+        pairs = F.flatten(F.transform("bits", lambda a: F.transform(F.filter("bits", lambda b: b > a), lambda b: a.bitwiseOR(b))))
+        left = RADIUS - F.bit_count(F.col("fp").bitwiseXOR(F.col("value")).bitwiseAND(F.col("mask")))
+        flips = F.when(left >= 2, F.concat(none, "bits", pairs)).when(left == 1, F.concat(none, "bits")).otherwise(none)
+        added = F.aggregate("bits", F.lit(0).cast("long"), lambda x, b: x.bitwiseOR(b))
+        grown = hot.select("fp", F.col("mask").bitwiseOR(added).alias("mask"), "value", added.alias("added"), F.explode(flips).alias("flip"))
+        sent = save(grown.select("fp", "mask", F.col("value").bitwiseOR(F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.col("added"))).alias("value")), "op9-split")
 
 
 def components(docs: DataFrame, size: int = 4) -> DataFrame:
