@@ -7,9 +7,10 @@ learned tanh layer), gated attention weighs the passages,
     a_k = softmax_k( w . (tanh(V h_k) * sigmoid(U h_k)) ),
 
 and a logistic unit scores the weighted sum of their representations. The weights
-are learned from at most ``FIT_DOCS`` labelled documents and ``FIT_PASSAGES``
-passages of each; scoring takes every passage of every whole text, and keeps a
-running softmax, so that the memory for a very long text stays bounded.
+are learned from all passages of a bounded sample of labelled documents: at most
+``FIT_DOCS`` of them and ``FIT_BYTES`` of text, none longer than ``FIT_LONGEST``.
+Scoring takes every passage of every whole text, and keeps a running softmax, so
+that the memory for a very long text stays bounded.
 """
 
 from __future__ import annotations
@@ -18,15 +19,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import held_out
+from .common import held_out, save
 
 PASSAGE = 512
 SPECTRUM = 1024
 HIDDEN = 32
 GATE = 16
 FIT_DOCS = 4000
-FIT_PASSAGES = 6
+FIT_BYTES = 12_000_000
+FIT_LONGEST = 1_000_000
 STEPS = 600
 KEEP = 0.3
 
@@ -99,27 +102,35 @@ class Attention:
             docs = g.choice(len(y), min(128, len(y)), replace=False)
             rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
             own = np.repeat(np.arange(len(docs)), first[docs + 1] - first[docs])
-            z = (x[rows] - self.mean) / self.scale
-            h, t, s, e = self.passages(x[rows])
-            top = np.full(len(docs), -np.inf, np.float32)
-            np.maximum.at(top, own, e)
-            a = np.exp(e - top[own])
-            a /= np.bincount(own, a, len(docs))[own]
-            bag = np.zeros((len(docs), HIDDEN), np.float32)
-            np.add.at(bag, own, h * a[:, None])
-            error = ((_sigmoid(bag @ p["c"] + p["b"]) - y[docs]) / len(docs)).astype(np.float32)
-            d_bag = error[:, None] * p["c"]
-            d_a = (h * d_bag[own]).sum(axis=1)
-            d_e = a * (d_a - np.bincount(own, a * d_a, len(docs))[own])
-            d_t, d_s = d_e[:, None] * p["w"] * s * (1 - t * t), d_e[:, None] * p["w"] * t * s * (1 - s)
-            d_h = (a[:, None] * d_bag[own] + d_t @ p["V"].T + d_s @ p["U"].T) * (1 - h * h)
-            grad = {"E": z.T @ d_h + 1e-4 * p["E"], "e": d_h.sum(axis=0), "V": h.T @ d_t, "U": h.T @ d_s, "w": ((t * s) * d_e[:, None]).sum(axis=0), "c": bag.T @ error, "b": error.sum(keepdims=True)}
+            _, grad = self.gradient(x[rows], own, y[docs])
             rate = 0.01 * (1 - 0.9 * step / STEPS)
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * grad[k]
                 v[k] = 0.999 * v[k] + 0.001 * grad[k] ** 2
                 p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
+    def gradient(self, x: np.ndarray, own: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean logistic loss (with a penalty on E) of the documents whose passages are ``x``, and its gradient."""
+        p, n = self.p, len(y)
+        z = (x - self.mean) / self.scale
+        h, t, s, e = self.passages(x)
+        top = np.full(n, -np.inf, e.dtype)
+        np.maximum.at(top, own, e)
+        a = np.exp(e - top[own])
+        a /= np.bincount(own, a, n)[own]
+        bag = np.zeros((n, HIDDEN), h.dtype)
+        np.add.at(bag, own, h * a[:, None])
+        logit = bag @ p["c"] + p["b"]
+        loss = float(np.mean(np.logaddexp(0, logit) - y * logit)) + 0.5e-4 * float((p["E"] ** 2).sum())
+        error = ((_sigmoid(logit) - y) / n).astype(h.dtype)
+        d_bag = error[:, None] * p["c"]
+        d_a = (h * d_bag[own]).sum(axis=1)
+        d_e = a * (d_a - np.bincount(own, a * d_a, n)[own])
+        d_t, d_s = d_e[:, None] * p["w"] * s * (1 - t * t), d_e[:, None] * p["w"] * t * s * (1 - s)
+        d_h = (a[:, None] * d_bag[own] + d_t @ p["V"].T + d_s @ p["U"].T) * (1 - h * h)
+        grad = {"E": z.T @ d_h + 1e-4 * p["E"], "e": d_h.sum(axis=0), "V": h.T @ d_t, "U": h.T @ d_s, "w": ((t * s) * d_e[:, None]).sum(axis=0), "c": bag.T @ error, "b": error.sum(keepdims=True)}
+        return loss, grad
+
     def score(self, texts: list[bytes], most: int = 1_000_000) -> np.ndarray:
         """Scores of whole texts; the running softmax joins the groups a long text is cut into."""
         top = np.full(len(texts), -np.inf)
@@ -152,25 +163,33 @@ class Attention:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Attention | None:
-    """The model fitted on at most FIT_DOCS labelled documents outside the held-out fifth, chosen by hash."""
+    """The model fitted on the labelled documents outside the held-out fifth, the first by hash that keep to the bounds.
+
+    Of several rows with one doc_id the least text counts, so at most FIT_DOCS texts
+    of FIT_BYTES in all reach the driver, whatever is repeated.
+    """
     known = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
     text = F.coalesce("text", F.lit(""))
-    last = F.greatest(F.length(text) - PASSAGE, F.lit(0))
-    n = F.least(F.lit(FIT_PASSAGES), F.ceil(F.length(text) / PASSAGE).cast("int"), F.lit(FIT_PASSAGES))
-    start = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: (i * last / (n - 1)).cast("int") + 1)).otherwise(F.array(F.lit(1)))
-    parts = F.transform(start, lambda s: F.substring(text, s, F.lit(PASSAGE)))
-    drawn = docs.select("doc_id", parts.alias("parts")).join(F.broadcast(chosen), "doc_id").collect()
-    drawn = sorted(drawn, key=lambda r: (r["doc_id"], r["parts"]))
+    once = docs.select("doc_id", text.alias("text")).where(F.octet_length(text) <= FIT_LONGEST).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
+    once = save(once.withColumn("size", F.octet_length("text").cast("long")), "op4-labelled")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # at most FIT_DOCS rows
+    fits = once.select("doc_id", (F.sum("size").over(order) <= FIT_BYTES).alias("fits")).where("fits")
+    drawn = sorted(once.join(F.broadcast(fits), "doc_id").select("doc_id", "text", "quality").collect(), key=lambda r: r["doc_id"])
     y = np.array([float(r["quality"] == 1) for r in drawn], np.float32)
     if not len(y) or y.min() == y.max():
         return None
-    texts = [p.encode()[:PASSAGE] for r in drawn for p in r["parts"]]
-    owner = np.repeat(np.arange(len(drawn)), [len(r["parts"]) for r in drawn])
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    x = np.concatenate([encode(np.frombuffer(b"".join(texts[i : i + 1000]), np.uint8), np.repeat(np.arange(len(size[i : i + 1000])), size[i : i + 1000]), len(size[i : i + 1000])) for i in range(0, len(texts), 1000)])
+    parts, owners = [], []
+    for at in range(0, len(drawn), 64):  # encoded in groups, since the n-gram counts of a group are held at once
+        flat, row, owner = cut([r["text"].encode() for r in drawn[at : at + 64]])
+        n = np.searchsorted(row, np.arange(len(owner) + 1))
+        for first in range(0, len(owner), 1000):
+            last = min(first + 1000, len(owner))
+            parts.append(encode(flat[n[first] : n[last]], row[n[first] : n[last]] - first, last - first))
+        owners.append(owner + at)
+    x = np.concatenate(parts)
     model = Attention(x.shape[1])
-    model.fit(x, owner, y)
+    model.fit(x, np.concatenate(owners), y)
     return model
 
 
