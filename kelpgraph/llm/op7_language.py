@@ -9,7 +9,9 @@ rows times the landmarks' presence, the landmark transform and the ridge weights
 of which the last three are multiplied beforehand.
 
 A text is cut into passages of ``PASSAGE`` bytes, since presence saturates in long
-texts, and all its passages count in proportion to their letters.
+texts, and all its passages count in proportion to their letters. The fit sees one
+passage a document, from a place that its hash says: of long documents a part.
+Presence rows are made in groups, so that only a group of them is ever held.
 
 The classifiers only compare languages. Whether a text belongs to the one they
 choose is read from its n-grams: the share of the language's passages that hold
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import held_out
 
@@ -33,6 +36,8 @@ LANDMARKS = 256
 PER_LANGUAGE = 300
 IN_ALL = 60_000
 RIDGE = 1e-3
+#: Passages whose presence rows are held at once, by the driver and by a task.
+HELD = 1000
 #: Passage sizes at which belonging is calibrated, and the pieces of a language that it takes.
 SIZES = (8, 16, 32, 64, 128, 256, 512, 1000)
 PIECES = 10
@@ -76,16 +81,19 @@ def fit(passages: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]
     """The languages and, folded into one matrix, landmarks, Nyström transform and ridge weights."""
     names = sorted(set(langs))
     cut = [p[:PASSAGE] for p in passages]
-    rows = _unit(_presence(cut)[0])
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     each = max(1, LANDMARKS // len(names))
     marks = np.concatenate([np.flatnonzero(y[:, i] > 0)[:each] for i in range(len(names))])
-    base = rows[marks].astype(np.float64)
+    base = _unit(np.concatenate([_presence([cut[i] for i in marks[at : at + HELD]])[0] for at in range(0, len(marks), HELD)])).astype(np.float64)
     value, vector = np.linalg.eigh(base @ base.T)
-    root = vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6])
-    phi = rows @ (base.T @ root)
-    weights = np.linalg.solve(phi.T @ phi + RIDGE * len(rows) * np.eye(phi.shape[1]), phi.T @ y)
-    return names, (base.T @ root @ weights).astype(np.float32)
+    root = base.T @ (vector[:, value > 1e-6] / np.sqrt(value[value > 1e-6]))
+    square, right = np.zeros((root.shape[1], root.shape[1])), np.zeros((root.shape[1], len(names)))
+    for at in range(0, len(cut), HELD):
+        phi = _unit(_presence(cut[at : at + HELD])[0]) @ root
+        square += phi.T @ phi
+        right += phi.T @ y[at : at + HELD]
+    weights = np.linalg.solve(square + RIDGE * len(cut) * np.eye(root.shape[1]), right)
+    return names, (root @ weights).astype(np.float32)
 
 
 def belonging(passages: list[bytes], langs: list[str], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +105,9 @@ def belonging(passages: list[bytes], langs: list[str], names: list[str]) -> tupl
     language with too little text for that has the cut 0.
     """
     parts = [[p for p, x in zip(passages, langs, strict=True) if x == name] for name in names]
-    share = np.stack([_presence([t[:PASSAGE] for t in p[::2]])[0].mean(axis=0) for p in parts], axis=1)
-    mean = lambda texts: (r := _presence(texts)[0]) @ share / np.maximum(1, r.sum(axis=1, keepdims=True))
+    grouped = lambda texts: (_presence(texts[at : at + HELD])[0] for at in range(0, len(texts), HELD))
+    share = np.stack([sum(r.sum(axis=0, dtype=np.float64) for r in grouped([t[:PASSAGE] for t in p[::2]])) / len(p[::2]) for p in parts], axis=1).astype(np.float32)
+    mean = lambda texts: np.concatenate([r @ share / np.maximum(1, r.sum(axis=1, keepdims=True)) for r in grouped(texts)])
     cuts = np.zeros((len(SIZES), len(names)))
     for k, n in enumerate(SIZES):
         own, other = {}, []
@@ -127,16 +136,12 @@ def sample(docs: DataFrame) -> list:
     order = F.xxhash64("doc_id", "text")
     share = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
     start = F.pmod(F.shiftrightunsigned(order, 7), F.greatest(F.length("text") - PASSAGE, F.lit(1))).cast("int") + 1
-    # Twice the wanted share, and all where there are few: about 2 * most rows a language are collected.
+    # Twice the wanted share, and all where there are few; each task keeps the first ``most`` of a language before the shuffle.
     drawn = known.join(F.broadcast(counts) if counts.count() <= 100_000 else counts, "lang").where(share * F.col("count") < 2.0 * most)
-    rows = drawn.select("lang", order.alias("o"), F.substring("text", start, F.lit(PASSAGE)).alias("passage")).collect()
-    taken: dict[str, int] = {}
-    out = []
-    for r in sorted(rows, key=lambda r: (r["o"], r["lang"], r["passage"])):
-        if taken.get(r["lang"], 0) < most:
-            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            out.append(r)
-    return out
+    passages = drawn.select("lang", order.alias("o"), F.substring("text", start, F.lit(PASSAGE)).alias("passage")).distinct()
+    first = Window.partitionBy("lang").orderBy("o", "passage")
+    rows = passages.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most).collect()
+    return sorted(rows, key=lambda r: (r["o"], r["lang"], r["passage"]))
 
 
 def score(docs: DataFrame, names: list[str], matrix: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
@@ -170,15 +175,15 @@ def score(docs: DataFrame, names: list[str], matrix: np.ndarray, known: tuple[np
     return docs.mapInArrow(rows, schema)
 
 
-def _pieces(texts: list[str], todo: list[int], most: int = 500_000):
-    """The normal forms of texts in groups of about ``most`` bytes, longer ones in several, with the index of each."""
+def _pieces(texts: list[str], todo: list[int], most: int = HELD * PASSAGE // 2):
+    """The normal forms of texts in groups of about ``most`` bytes and at most HELD passages, longer ones in several, with the index of each."""
     piece, own, held = [], [], 0
     for i in todo:
         t = _normal(texts[i])
         for at in range(0, len(t), most):
             piece.append(t[at : at + most])
             own.append(i)
-            held += len(piece[-1])
+            held += max(PASSAGE // 2, len(piece[-1]))  # so that there are no more than HELD, however short
             if held >= most:
                 yield piece, np.array(own)
                 piece, own, held = [], [], 0
