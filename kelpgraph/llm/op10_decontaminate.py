@@ -1,12 +1,15 @@
 """Operator 10: benchmark decontamination by size-partitioned MinHash containment search.
 
-Each test item is a set of hashed word shingles. Its *sketch* is a bottom-k
-MinHash: the k shingles of least hash. Items are partitioned by their number of
-shingles m, and k follows from the partition: a document that contains a share
-of at least ``threshold`` of the item misses at most ``floor((1 - threshold) m)``
-of its shingles, so k = that + 1 least hashes can't all be missing. The sketch
-search therefore loses no document, however long it is, which a MinHash of the
-document itself would (its Jaccard similarity to a short item tends to zero).
+Each test item is a set of hashed word shingles. Items are partitioned by size:
+partition c holds those of 2^c to 2^(c+1) - 1 shingles. All items of a partition have
+a *sketch* of one length, a bottom-k MinHash with k = floor((1 - threshold) u) + 1 for
+its largest size u (or all shingles of smaller items). A document that contains a
+share of at least ``threshold`` of an item of m shingles misses at most
+``floor((1 - threshold) m)`` of them, fewer than k, so the k least can't all be
+missing: the recall of the sketch search is 1, however long the document is. A MinHash
+of fixed length of the document couldn't say so (its Jaccard similarity to a short
+item tends to zero); its sketch is instead all its shingles up to the greatest hash
+that any item's sketch holds, and grows with it.
 
 Candidates are then verified: the item's shingles that occur in the document are
 counted by their words, not their hashes. DataFrame functions only.
@@ -43,9 +46,10 @@ def _shingled(table: DataFrame, width: int) -> DataFrame:
     return table.withColumn("s", _each(words(ascii_lower(F.col("text"))), width, both)).drop("text")
 
 
-def _hashed(table: DataFrame, width: int) -> DataFrame:
-    """Replace ``text`` by ``h``, the hashes alone. (Exploded with explode_outer: the plain one adds a filter that computes them twice.)"""
-    return table.withColumn("h", _each(words(ascii_lower(F.col("text"))), width, lambda x: F.xxhash64(F.lit(width), *x))).drop("text")
+def _sketched(table: DataFrame, width: int, greatest: int) -> DataFrame:
+    """Replace ``text`` by ``h``, the hashes up to ``greatest``, each once. (Exploded with explode_outer: the plain one adds a filter that computes them twice.)"""
+    hashes = _each(words(ascii_lower(F.col("text"))), width, lambda x: F.xxhash64(F.lit(width), *x))
+    return table.withColumn("h", F.array_distinct(F.filter(hashes, lambda h: h <= F.lit(greatest)))).drop("text")
 
 
 def item_shingles(items: DataFrame, width: int) -> DataFrame:
@@ -62,10 +66,12 @@ def item_shingles(items: DataFrame, width: int) -> DataFrame:
 
 
 def sketches(shingles: DataFrame, threshold: float) -> DataFrame:
-    """Rows (item_id, width, h, m): each item's bottom-k hashes; k is that of its size partition."""
+    """Rows (item_id, width, h, m, part): the least hashes of each item, as many as its size partition ``part`` says."""
     sized = shingles.groupBy("item_id", "width").agg(F.count("*").alias("m"), F.array_sort(F.collect_set("h")).alias("all"))
-    k = F.floor((1 - threshold) * F.col("m") + 1e-9).cast("int") + 1
-    return sized.select("item_id", "width", "m", F.explode(F.slice("all", F.lit(1), k)).alias("h"))
+    sized = sized.withColumn("part", F.floor(F.log2(F.col("m") + 0.5)).cast("int"))
+    largest = F.call_function("shiftleft", F.lit(2), F.col("part")) - 1
+    k = F.floor((1 - threshold) * largest + 1e-9).cast("int") + 1
+    return sized.select("item_id", "width", "m", "part", F.explode(F.slice("all", F.lit(1), k)).alias("h"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -78,14 +84,15 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, threshold: f
     """
     shingles = save(item_shingles(items, width), "op10-shingles")
     sketch = save(sketches(shingles, threshold), "op10-sketches")
-    sizes = [r["width"] for r in sketch.select("width").distinct().collect()]  # at most ``width`` values
+    greatest = {r["width"]: r["h"] for r in sketch.groupBy("width").agg(F.max("h").alias("h")).collect()}  # at most ``width`` rows
+    sizes = sorted(greatest)
     small = sketch.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda table: table)
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("dk"), "text")
     found = None
     for n in sizes:
-        hit = _hashed(keyed, n).select("doc_id", "dk", F.explode_outer("h").alias("h")).where("h is not null").join(hint(sketch.where(F.col("width") == n).select("item_id", "h")), "h").select("doc_id", "dk", "item_id").distinct()
+        hit = _sketched(keyed, n, greatest[n]).select("doc_id", "dk", F.explode_outer("h").alias("h")).where("h is not null").join(hint(sketch.where(F.col("width") == n).select("item_id", "h")), "h").select("doc_id", "dk", "item_id").distinct()
         found = hit if found is None else found.union(hit)
     if found is None:
         found = keyed.select("doc_id", "dk").join(items.select("item_id").limit(0), F.lit(True))
