@@ -222,6 +222,66 @@ def test_quality_gradient():
     assert np.allclose(model.score([texts[0].encode() * 400], most=2000), model.score([texts[0].encode() * 400]))
 
 
+def test_quality_gradient_by_differences():
+    from kelpgraph.llm import op4_quality as q
+
+    g = np.random.default_rng(3)
+    model = q.Attention(12)
+    model.p = {k: g.standard_normal(v.shape) * 0.7 for k, v in model.p.items()}
+    model.mean, model.scale = np.zeros(12), np.ones(12)
+    own = np.array([0, 0, 0, 1, 2, 2, 3, 3, 3, 3])
+    x, y = g.standard_normal((len(own), 12)), np.array([1.0, 0.0, 1.0, 0.0])
+    _, grad = model.gradient(x, own, y)
+    for name, value in model.p.items():
+        for at in np.ndindex(value.shape) if value.size < 40 else [tuple(g.integers(0, n) for n in value.shape) for _ in range(12)]:
+            kept, step = value[at], 1e-5
+            value[at] = kept + step
+            up, _ = model.gradient(x, own, y)
+            value[at] = kept - step
+            down, _ = model.gradient(x, own, y)
+            value[at] = kept
+            assert grad[name][at] == pytest.approx((up - down) / 2 / step, rel=1e-4, abs=1e-7), (name, at)
+
+
+def test_quality_of_one_document_by_hand():
+    """Scores against a forward pass that goes passage by passage."""
+    import math
+
+    from kelpgraph.llm import op4_quality as q
+
+    texts = [b"", b"short one", b"The first of many passages. " * 200, "é!".encode() * 700]
+    model = q.Attention(q.SPECTRUM + q._RATIOS, seed=4)
+    model.mean, model.scale = np.full(q.SPECTRUM + q._RATIOS, 0.01, np.float32), np.full(q.SPECTRUM + q._RATIOS, 0.3, np.float32)
+    p, want = model.p, []
+    for t in texts:
+        hs, es = [], []
+        for at in range(0, max(1, len(t)), q.PASSAGE):
+            part = np.frombuffer(t[at : at + q.PASSAGE], np.uint8)
+            x = q.encode(part, np.zeros(len(part), np.int64), 1)[0]
+            h = np.tanh((x - model.mean) / model.scale @ p["E"] + p["e"])
+            hs.append(h)
+            es.append(sum(p["w"][j] * math.tanh(h @ p["V"][:, j]) / (1 + math.exp(-(h @ p["U"][:, j]))) for j in range(q.GATE)))
+        total = sum(math.exp(e) for e in es)
+        bag = sum(math.exp(e) / total * h for e, h in zip(es, hs))
+        want.append(1 / (1 + math.exp(-(bag @ p["c"] + p["b"][0]))))
+    assert np.allclose(model.score(texts), want, atol=1e-5)
+    assert np.allclose(model.score(texts, most=700), want, atol=1e-5)
+
+
+def test_quality_fit_takes_whole_documents_within_its_bounds(spark, monkeypatch):
+    from kelpgraph.llm import op4_quality as q
+
+    monkeypatch.setattr(q, "FIT_BYTES", 30_000)
+    monkeypatch.setattr(q, "FIT_LONGEST", 20_000)
+    seen = {}
+    monkeypatch.setattr(q.Attention, "fit", lambda self, x, owner, y: seen.update(x=x, owner=owner, y=y))
+    rows = [(i, "ab " * 1500) for i in range(40)] * 3 + [(100, "x" * 25_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    q.learn(docs, spark.createDataFrame([(i, i % 2) for i in range(101)], "doc_id long, quality int"))
+    assert 2 <= len(seen["y"]) <= 6 and len(seen["x"]) == 9 * len(seen["y"])  # 4500 bytes are nine passages
+    assert np.bincount(seen["owner"]).tolist() == [9] * len(seen["y"])
+
+
 def test_quality_without_labels_and_odd_rows(spark):
     from kelpgraph.llm.op4_quality import score_quality
 
@@ -277,6 +337,34 @@ def test_kernel_is_the_number_of_common_grams():
     assert float(seen[0] @ seen[1]) == 3
 
 
+def test_language_matrix_is_the_ridge_solution(monkeypatch):
+    """With every passage a landmark, folded scores are those of kernel ridge regression solved directly."""
+    from kelpgraph.llm import op7_language as m
+
+    g = np.random.default_rng(8)
+    words = {x: ["".join(g.choice(list(x), int(n))) for n in g.integers(2, 7, 30)] for x in ("abcde", "defgh", "ghiab")}
+    texts, langs = zip(*[(m._normal(" ".join(g.choice(words[x], 40))), x) for x in words for _ in range(12)])
+    monkeypatch.setattr(m, "HELD", 5)
+    names, matrix = m.fit(list(texts), list(langs))
+    grams = [{t[i : i + k] for k in range(1, m.SPECTRUM + 1) for i in range(len(t[: m.PASSAGE]) - k + 1)} for t in texts]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in grams] for a in grams])
+    rows = m._unit(m._presence([t[: m.PASSAGE] for t in texts])[0])
+    assert np.abs(rows @ rows.T - kernel).mean() < 0.05  # but for hash collisions
+    kernel = (rows @ rows.T).astype(float)
+    y = np.where(np.array(langs)[:, None] == np.array(names), 1.0, -1.0)
+    direct = kernel @ np.linalg.solve(kernel + m.RIDGE * len(texts) * np.eye(len(texts)), y)
+    assert np.abs(rows @ matrix - direct).max() < 0.01
+
+
+def test_language_pieces_are_bounded():
+    from kelpgraph.llm import op7_language as m
+
+    texts = ["a b"] * 5000 + ["x y " * 500_000]
+    groups = list(m._pieces(texts, list(range(len(texts)))))
+    assert max(sum(-(-len(t) // m.PASSAGE) for t in piece) for piece, _ in groups) <= m.HELD
+    assert sum(len(t) for piece, _ in groups for t in piece) == sum(len(m._normal(t)) for t in texts)
+
+
 # --- 5: mixing --------------------------------------------------------------------
 def test_targets_by_hand(spark):
     from kelpgraph.llm.op5_mix import targets
@@ -295,6 +383,15 @@ def test_mix_of_odd_rows(spark):
     assert sorted(map(str, got)) == sorted(map(str, mix(odd(spark).repartition(3)).collect()))
     assert mix(odd(spark).limit(0)).count() == 0
     assert copies(odd(spark)).columns == [*odd(spark).columns, "copy"]
+    taken = copies(odd(spark).withColumn("Copy", F.lit("mine")))
+    assert taken.columns == [*odd(spark).columns, "Copy", "copy_"] and {r.Copy for r in taken.collect()} == {"mine"}
+    want = {}
+    for r in got:
+        want[str(r.doc_id)] = want.get(str(r.doc_id), 0) + r.copies
+    have = {}
+    for r in taken.collect():
+        have[str(r.doc_id)] = have.get(str(r.doc_id), 0) + 1
+    assert have == {k: v for k, v in want.items() if v}
 
 
 # --- 6: personal data -----------------------------------------------------------------
@@ -451,6 +548,34 @@ def test_search_with_one_very_common_vector(spark):
     assert search(df.limit(0), df, 3).count() == 0
 
 
+def test_search_with_outliers_wide_segments_and_hot_values(spark, monkeypatch):
+    from kelpgraph.llm import op8_topk as m
+
+    g = np.random.default_rng(6)
+    near = np.where(g.random((300, 64)) < 0.03, -1.0, 1.0)  # one cluster; hot values of segments
+    rows = [(i + 1, near[i].tolist()) for i in range(300)] + [(0, [-1.0] * 64), (400, (-near[0]).tolist()), (1000, g.standard_normal(64).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0")
+    code = {i: [x > 0 for x in v] for i, v in rows}
+    assert max(bits for _, bits in m._segments(10**12)) <= 16
+    scans = []
+    real = m._scanned
+    monkeypatch.setattr(m, "_scanned", lambda *a: scans.append(1) or real(*a))
+    for wide, at, split in ((False, 1.0, 7), (True, 1.0, 50), (True, 1e-4, 100_000)):
+        monkeypatch.setattr(m, "_segments", (lambda n: [(0, 16), (16, 16), (32, 16), (48, 16)]) if wide else (lambda n: [(8 * i, 8) for i in range(8)]))
+        monkeypatch.setattr(m, "SCAN_AT", at)
+        monkeypatch.setattr(m, "SPLIT", split)
+        got = {}
+        for r in m.search(df, asked, 5).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.distance, r.vec_id))
+        rows_of_ids = [i for i, _ in rows]
+        for q in got:
+            best = sorted((sum(a != b for a, b in zip(code[q], [x > 0 for x in v])), i) for i, v in rows)[:5]
+            assert [x[1:] for x in sorted(got[q])] == best
+        assert set(got) == {i for i in rows_of_ids if i % 20 == 0}
+    assert len(scans) >= 2
+
+
 # --- 9: near-duplicates ---------------------------------------------------------------
 def brute_components(rows):
     fps = []
@@ -518,6 +643,28 @@ def test_ball_hashing_finds_all_links(spark, limit, monkeypatch):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def test_a_large_family_is_split(spark, monkeypatch):
+    """A third of all fingerprints lie within a few bits; groups stay small and no link is lost."""
+    from kelpgraph.llm import op9_simhash as m
+    from kelpgraph.llm.components import connected_components
+
+    g = np.random.default_rng(9)
+    centre = int(g.integers(0, 1 << 63))
+    family = {centre ^ sum(1 << int(b) for b in g.choice(np.arange(20, 50), int(g.integers(0, 5)), replace=False)) for _ in range(300)}
+    fps = sorted(family | {int(x) for x in g.integers(0, 1 << 63, 500)})
+    monkeypatch.setattr(m, "GROUP", 60)
+    flips = spark.createDataFrame([(x, 0, 0) for x in fps], "fp long, mask long, value long")
+    parts = m._split(flips)
+    assert len(parts) > 2
+    for part in parts:
+        n = part.where("mask <> -1").groupBy("mask", "value").count().agg(F.max("count")).first()[0]
+        assert n is None or n <= 60
+    roots = {r.node: r.root for r in connected_components(m.links(spark.createDataFrame([(x,) for x in fps], "fp long"))).collect()}
+    want = brute_links(fps, list(range(len(fps))))
+    got = [roots.get(x, x) for x in fps]
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
 def test_components_of_a_chain(spark):
     from kelpgraph.llm.components import connected_components
 
@@ -537,6 +684,29 @@ def test_leaks_of_short_and_odd_items(spark):
     assert leaks(docs, items.limit(0)).count() == 0 and leaks(docs.limit(0), items).count() == 0
 
 
+def test_sketches_of_every_size_miss_no_document(spark):
+    """Documents that hold just the threshold's share of an item, in any order, items of every size partition."""
+    from kelpgraph.llm.op10_decontaminate import item_shingles, leaks, sketches
+
+    g = np.random.default_rng(10)
+    items, docs, want = [], [], set()
+    for i, n in enumerate([5, 6, 7, 8, 9, 11, 12, 15, 20, 36, 37, 70, 130]):
+        w = [f"i{i}w{k}" for k in range(n)]
+        items.append((i, " ".join(w)))
+        m = n - 4
+        for d in range(6):
+            drop = set(g.choice(m, int(0.2 * m) + (d == 5), replace=False).tolist())
+            kept = [" ".join(w[k : k + 5]) for k in range(m) if k not in drop]
+            g.shuffle(kept)
+            docs.append((100 * i + d, f" {d} ".join(f"x{d} {k} y" for k in kept)))
+            if len(kept) >= 0.8 * m:
+                want.add((100 * i + d, i))
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks(a, b).collect()} == want
+    k = {(r.part, r.k) for r in sketches(item_shingles(b, 5), 0.8).groupBy("item_id", "part", "m").agg(F.count("*").alias("k")).where("m >= 4").collect()}
+    assert len({p for p, _ in k}) == len(k) == 5  # one length a partition
+
+
 # --- the pipeline ------------------------------------------------------------------------
 def test_pipeline(spark):
     import corpus_pipeline as p
