@@ -59,3 +59,23 @@ GATE = (
     ("key_chain_hit_rate", ">=", 1.0, True), ("key_chain_hop_hit_rate", ">=", 1.0, True), ("critical_chain_retention", ">=", 1.0, True), ("critical_hop_dropout", "<=", 0.1, True),
     ("util_unknown_ratio", "<=", 0.85, True), ("critical_chain_coverage", ">=", 0.0, True), ("critical_definition_presence", ">=", 0.0, True),
 )
+
+#: What the report's metrics say: (metric, better if, shown as, meaning).
+CATALOGUE = (
+    ("broken_chain_rate", "lower", "percent", "edges to methods that no source defines, of all edges"),
+    ("business_broken_chain_rate", "lower", "percent", "the same without calls into the JDK"),
+    ("reachability_rate", "higher", "percent", "methods that an entry reaches, entries included, of all methods"),
+    ("key_chain_hit_rate", "higher", "percent", "critical chains whose hops are all edges"),
+    ("critical_chain_retention", "higher", "percent", "hops of critical chains that are edges"),
+    ("critical_hop_dropout", "lower", "percent", "hops of critical chains that are no edges"),
+    ("util_unknown_ratio", "lower", "percent", "unknown edges that start in utility classes"),
+    ("critical_chain_coverage", "higher", "percent", "methods of critical chains that an entry reaches"),
+    ("critical_chain_reach_share", "neutral", "percent", "methods of critical chains, of all that an entry reaches"),
+    ("critical_definition_presence", "higher", "percent", "methods of critical chains that a source defines"),
+    ("entry_confidence_proxy", "higher", "percent", "entries scored with high confidence"),
+    ("layer_violation_rate", "lower", "percent", "edges between layers that may not call one another"),
+    ("cycle_count", "lower", "count", "pairs of classes that call one another"),
+    ("god_method_ratio", "lower", "percent", "methods with more than a hundred edges out"),
+    ("isolated_method_ratio", "lower", "percent", "methods without any edge"),
+    ("hotspot_fragility_top20_share", "lower", "percent", "calls that the twenty most called methods receive"),
+)

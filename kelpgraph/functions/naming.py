@@ -136,7 +136,7 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def stereotype_flags(annotations: Column) -> tuple[Column, Column]:
+def stereotype_flags(annotations: Column, beans: tuple[str, ...] = fixed.BEAN_ANNOTATIONS, mappers: tuple[str, ...] = fixed.MAPPER_ANNOTATIONS) -> tuple[Column, Column]:
     """(is_mapper, is_service) of a class with these annotations."""
     has = lambda names: F.coalesce(F.arrays_overlap(annotations, F.array(*map(F.lit, names))), F.lit(False))
-    return has(fixed.MAPPER_ANNOTATIONS), has(fixed.SERVICE_ANNOTATIONS)
+    return has(mappers), has([x for x in beans if x != "Bean"])

@@ -46,19 +46,23 @@ def imports(files: DataFrame) -> DataFrame:
     return found.withColumn("simple", F.element_at(F.split("name", r"\."), -1))
 
 
-def annotated_classes(files: DataFrame) -> DataFrame:
-    """Rows (path, class_name, is_mapper, is_service) of classes with a tracked annotation shortly before them."""
-    tracked = "|".join((*fixed.BEAN_ANNOTATIONS, *fixed.MAPPER_ANNOTATIONS))
+def annotated_classes(files: DataFrame, rules: dict | None = None) -> DataFrame:
+    """Rows (path, class_name, is_mapper, is_service) of classes with a tracked annotation shortly before them.
+
+    ``rules`` may name other annotations: bean_annotations, mapper_annotations.
+    """
+    beans, mappers = (tuple((rules or {}).get(k) or v) for k, v in (("bean_annotations", fixed.BEAN_ANNOTATIONS), ("mapper_annotations", fixed.MAPPER_ANNOTATIONS)))
+    tracked = "|".join((*beans, *mappers))
     pattern = F.lit(rf"@({tracked})\b(?:\([^)]*\))?[\s\S]{{0,400}}?(?:class|interface)\s+([A-Z]\w*)")
     both = F.arrays_zip(F.regexp_extract_all("content", pattern, F.lit(1)).alias("a"), F.regexp_extract_all("content", pattern, F.lit(2)).alias("c"))
     rows = files.select("path", F.explode(both).alias("x")).groupBy("path", F.col("x.c").alias("class_name")).agg(F.collect_set("x.a").alias("anns"))
-    mapper, service = naming.stereotype_flags(F.col("anns"))
+    mapper, service = naming.stereotype_flags(F.col("anns"), beans, mappers)
     return rows.select("path", "class_name", mapper.alias("is_mapper"), service.alias("is_service"))
 
 
-def injected_fields(files: DataFrame) -> DataFrame:
-    """Rows (path, field, type) of fields with an injection annotation, which may stand on lines of its own."""
-    pattern = F.lit(rf"@(?:{'|'.join(fixed.INJECTION_ANNOTATIONS)})\b[^;{{]*?([A-Z]\w*)\s+([a-z_]\w*)\s*[;=]")
+def injected_fields(files: DataFrame, rules: dict | None = None) -> DataFrame:
+    """Rows (path, field, type) of fields with an injection annotation (``rules``: injection_annotations), which may stand on lines of its own."""
+    pattern = F.lit(rf"@(?:{'|'.join((rules or {}).get('injection_annotations') or fixed.INJECTION_ANNOTATIONS)})\b[^;{{]*?([A-Z]\w*)\s+([a-z_]\w*)\s*[;=]")
     code = files.select("path", cleaned(F.col("content")).alias("code"))
     both = F.arrays_zip(F.regexp_extract_all("code", pattern, F.lit(2)).alias("f"), F.regexp_extract_all("code", pattern, F.lit(1)).alias("t"))
     return code.select("path", F.explode(both).alias("x")).select("path", F.col("x.f").alias("field"), F.col("x.t").alias("type"))

@@ -1,10 +1,10 @@
-"""The quality report: metrics, their change, hints and gate."""
+"""The quality report: metrics, their change, hints, gate, catalogue and texts."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, naming
@@ -91,3 +91,55 @@ def hints(report: DataFrame) -> DataFrame:
         .when((F.col("metric") == "layer_violation_rate") & (v > 0.05), "review calls across layers")
     )
     return report.select("metric", "value", said.alias("hint")).where("hint is not null")
+
+
+def explain(report: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Every metric of the catalogue with its meaning, value and, given an earlier report, whether it got better.
+
+    Metrics that a report lacks have no value. trend is better, worse, same or null.
+    """
+    catalogue = report.sparkSession.createDataFrame(list(fixed.CATALOGUE), "metric string, better string, shown string, meaning string")
+    then = (before if before is not None else report.limit(0)).select("metric", F.col("value").alias("previous"))
+    both = catalogue.join(report.select("metric", "value"), "metric", "left").join(then, "metric", "left").withColumn("delta", F.col("value") - F.col("previous"))
+    up = F.when(F.col("delta") == 0, "same").when(F.col("better") == "neutral", "same").when((F.col("delta") > 0) == (F.col("better") == "higher"), "better").otherwise("worse")
+    return both.select("metric", "better", "meaning", "value", "previous", "delta", F.when(F.col("delta").isNotNull(), up).alias("trend"), _shown().alias("text"))
+
+
+def _shown() -> F.Column:
+    """C11: a value as a percentage or as a whole number."""
+    return F.when(F.col("shown") == "percent", F.format_string("%.4f %%", F.col("value") * 100)).otherwise(F.format_string("%.0f", F.col("value")))
+
+
+def report_text(report: DataFrame) -> DataFrame:
+    """The report as one text, a line a metric in the catalogue's order; metrics of other names follow by name."""
+    order = report.sparkSession.createDataFrame([(m, i, s) for i, (m, _, s, _) in enumerate(fixed.CATALOGUE)], "metric string, place int, shown string")
+    known = report.select("metric", "value").join(F.broadcast(order), "metric", "left").withColumn("place", F.coalesce("place", F.lit(1 << 30)))
+    line = F.concat(F.rpad("metric", 32, " "), F.coalesce(_shown(), F.lit("-")))
+    lines = F.array_sort(F.collect_list(F.struct("place", "metric", line.alias("line"))))
+    return known.agg(F.concat(F.lit("Quality report\n"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("text"))
+
+
+def record(report: DataFrame, run_id: str | None = None) -> DataFrame:
+    """One row (run_id, json): the report as a nested object with its run and time."""
+    run = F.coalesce(F.lit(run_id), F.uuid())
+    found = report.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics")).select(run.alias("run_id"), "metrics")
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    return found.select("run_id", F.to_json(F.struct("run_id", now.alias("timestamp"), "metrics")).alias("json"))
+
+
+def value_at(json: str, *keys: str) -> F.Column:
+    """What a nested key of a JSON text holds; null where a step is missing."""
+    return F.get_json_object(json, "$" + "".join(f"['{k}']" for k in keys))
+
+
+def from_record(records: DataFrame) -> DataFrame:
+    """The metrics (metric, value) of records (json); a text that can't be read has none."""
+    metrics = F.from_json(value_at("json", "metrics"), "map<string,double>")
+    return records.select(F.explode(metrics).alias("metric", "value"))
+
+
+def load_report(spark: SparkSession, path: str) -> DataFrame:
+    """The metrics of a stored record; none where there is no file that can be read."""
+    from ..sources.files import load_or_empty
+
+    return from_record(load_or_empty(spark, path, "run_id string, json string"))

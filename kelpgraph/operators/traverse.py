@@ -102,3 +102,17 @@ def neighbours(edges: DataFrame, focus: DataFrame) -> DataFrame:
     down = edges.select("s", "d").distinct().groupBy(F.col("s").alias("node")).agg(F.count("*").alias("downstream"))
     up = edges.select("s", "d").distinct().groupBy(F.col("d").alias("node")).agg(F.count("*").alias("upstream"))
     return focus.join(down, "node", "left").join(up, "node", "left").select("node", F.coalesce("downstream", F.lit(0)).alias("downstream"), F.coalesce("upstream", F.lit(0)).alias("upstream"))
+
+
+def view(reached: DataFrame, classes: DataFrame, up: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What ``reach`` found as a drawing: nodes (origin, node, depth, layer) and edges (origin, source, target, type, dashed).
+
+    Every edge leads between two methods that were met, in the direction of the call.
+    """
+    path = classes.groupBy(F.col("name").alias("class_name")).agg(F.min("file_path").alias("path"))
+    focus = reached.select("origin", F.col("origin").alias("node"), F.lit(0).alias("depth"))
+    every = reached.select("origin", "node", "depth").unionByName(focus).groupBy("origin", "node").agg(F.min("depth").alias("depth"))
+    nodes = every.withColumn("class_name", F.regexp_replace("node", r"\.[^.]*$", "")).join(path, "class_name", "left").select("origin", "node", "depth", F.coalesce(naming.layer(F.col("path")), F.lit("other")).alias("layer"))
+    ends = ("node", "via") if up else ("via", "node")
+    edges = reached.select("origin", F.col(ends[0]).alias("source"), F.col(ends[1]).alias("target"), "type", (F.col("type") != "internal").alias("dashed"))
+    return nodes, edges

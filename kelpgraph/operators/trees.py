@@ -1,4 +1,8 @@
-"""Trees, diagrams and documents as flat rows and texts."""
+"""Trees, diagrams and documents as flat rows and texts.
+
+A diagram is one text by its format: it is made in one task, and its size is that of
+the part of the graph it draws. Trees as rows have no such limit.
+"""
 
 from __future__ import annotations
 
@@ -94,3 +98,94 @@ def search_classes(classes: DataFrame, nodes: DataFrame, query: str) -> DataFram
     q = query.lower()
     hit = nodes.where(F.lower("name").contains(q)).select(F.col("class_name").alias("name")).distinct()
     return classes.where(F.lower("name").contains(q)).select("name").union(classes.join(hit, "name", "left_semi").select("name")).distinct()
+
+
+def plantuml_calls(tree: DataFrame) -> DataFrame:
+    """A text per root: its call tree in pre-order, each node after the edge that leads to it; external ones are pink."""
+    ident = lambda c: F.regexp_replace(c, r"[^A-Za-z0-9_]", "_")
+    edge = F.when(F.col("depth") > 0, F.concat(ident(F.element_at("path", -2)), F.lit(" --> "), ident(F.col("node")), F.lit("\n"))).otherwise("")
+    colour = F.when(F.col("type") == "external", " #pink").otherwise("")
+    node = F.concat(F.lit('class "'), F.element_at(F.split("node", r"\."), -1), F.lit('" as '), ident(F.col("node")), colour)
+    rows = tree.select("root", "path", F.concat(edge, node).alias("line"))
+    return rows.groupBy("root").agg(F.concat(F.lit("@startuml\n"), _lines("line", ["path"]), F.lit("\n@enduml")).alias("text"))
+
+
+def plantuml_packages(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One text: packages inside one another, classes with the number of their methods."""
+    per = nodes.groupBy("class_name").agg(F.count_distinct("name").alias("n"))
+    p, pad = F.col("p"), lambda n: F.repeat(F.lit("  "), n)
+    named = classes.select("name", package_path(F.col("file_path")).alias("p")).where(F.size("p") > 0).join(per.withColumnRenamed("class_name", "name"), "name", "left")
+    leaf = named.select(p.alias("key"), F.concat(pad(F.size(p) - 1), F.lit("class "), F.element_at(p, -1), F.lit(" {\n"), pad(F.size(p)), F.lit("+ "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" methods\n"), pad(F.size(p) - 1), F.lit("}")).alias("line"))
+    inner = named.select(F.explode(F.transform(F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: i < F.size(p)), lambda i: F.slice(p, F.lit(1), i))).alias("p")).distinct()
+    opened = inner.select(p.alias("key"), F.concat(pad(F.size(p) - 1), F.lit('package "'), F.element_at(p, -1), F.lit('" {')).alias("line"))
+    closed = inner.select(F.array_append(p, F.lit("\uffff")).alias("key"), F.concat(pad(F.size(p) - 1), F.lit("}")).alias("line"))
+    rows = opened.unionByName(leaf).unionByName(closed)
+    return rows.agg(F.concat(F.lit("@startuml\nskinparam packageStyle folder\n"), _lines("line", ["key"]), F.lit("\n@enduml")).alias("text"))
+
+
+def package_search(classes: DataFrame, nodes: DataFrame, query: str) -> DataFrame:
+    """the rows of the package tree that contain the query in their own name, in one below them or in a method of such a class; case is ignored."""
+    q = query.lower()
+    p = F.col("p")
+    by_method = nodes.where(F.lower("name").contains(q)).select(F.col("class_name").alias("name")).distinct().withColumn("hit", F.lit(True))
+    paths = classes.select("name", package_path(F.col("file_path")).alias("p")).where(F.size("p") > 0).join(by_method, "name", "left")
+    found = paths.select(p, F.coalesce("hit", F.lit(False)).alias("hit"), F.explode(F.sequence(F.lit(1), F.size(p))).alias("n"))
+    below = F.col("hit") | F.exists(F.slice(p, F.col("n"), F.size(p)), lambda x: F.lower(x).contains(q))
+    return found.where(below).select(F.array_join(F.slice(p, F.lit(1), F.col("n")), "/").alias("path")).distinct()
+
+
+def layer_nodes(classes: DataFrame) -> DataFrame:
+    """The layers that own a class."""
+    return layered(classes).groupBy(F.col("layer").alias("name"), "priority").agg(F.count_distinct("name").alias("classes"))
+
+
+def layer_contains(classes: DataFrame) -> DataFrame:
+    """Rows (layer, class_name)."""
+    return layered(classes).select("layer", F.col("name").alias("class_name")).distinct()
+
+
+def package_contains(classes: DataFrame) -> DataFrame:
+    """Rows (package, class_name); the package is the path of the tree's directory the class lies in."""
+    p = package_path(F.col("file_path"))
+    return classes.select(F.array_join(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), "/").alias("package"), F.col("name").alias("class_name")).where("package <> ''").distinct()
+
+
+def package_nodes(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Packages with the classes and methods that lie directly in them."""
+    per = nodes.groupBy("class_name").agg(F.count_distinct("name").alias("m"))
+    return package_contains(classes).join(per, "class_name", "left").groupBy(F.col("package").alias("name")).agg(F.count("*").alias("class_count"), F.coalesce(F.sum("m"), F.lit(0)).alias("method_count"))
+
+
+def call_paths(reached: DataFrame) -> DataFrame:
+    """Rows (start_method, end_method, depth) of a traversal."""
+    return reached.select(F.col("origin").alias("start_method"), F.col("node").alias("end_method"), "depth")
+
+
+def merged_classes(listed: DataFrame) -> DataFrame:
+    """Classes of one name become one, with the union of their methods, each once and in order."""
+    return listed.groupBy("class_name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("methods")))).alias("methods"))
+
+
+def tree_summary(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Per layer and for all layers together (layer null): classes, methods, and the mean number of methods a class."""
+    tree = layer_tree(classes, nodes)
+    counts = (F.count("*").alias("classes"), F.coalesce(F.sum("n_methods"), F.lit(0)).alias("methods"))
+    both = tree.groupBy("layer").agg(*counts).unionByName(tree.agg(*counts).withColumn("layer", F.lit(None).cast("string")))
+    return both.select("layer", "classes", "methods", naming.ratio(F.col("methods"), F.col("classes")).alias("mean_methods"))
+
+
+def write_tree(tree: DataFrame, path: str) -> None:
+    """A tree's rows as JSON lines."""
+    tree.write.mode("overwrite").json(path)
+
+
+def read_tree(spark, paths: list[str], schema) -> DataFrame:
+    """The rows of the first of ``paths`` that can be read; none, if none can."""
+    from pyspark.errors import AnalysisException
+
+    for path in paths:
+        try:
+            return spark.read.schema(schema).json(path)
+        except AnalysisException:
+            continue
+    return spark.createDataFrame([], schema)

@@ -41,20 +41,62 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = Non
     return reduce(DataFrame.unionByName, map(nearest, range(blocks)))
 
 
-def chunks(nodes: DataFrame, classes: DataFrame, calls: DataFrame, summarise: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """One chunk per method, with its layer and both degrees; the summary is a template unless given."""
+def chunks(nodes: DataFrame, classes: DataFrame, calls: DataFrame, summarise: Callable[[Column, Column], Column] | None = None, failed: bool = False) -> DataFrame:
+    """One chunk per method, with its layer and both degrees; the summary is a template unless given.
+
+    Methods whose summary is null are left out, or kept for ``index_run`` to count (``failed``).
+    """
     path = classes.groupBy(F.col("name").alias("class_name")).agg(F.min("file_path").alias("file_path"))
     out = degrees.out_degrees(nodes, calls).join(degrees.in_degrees(nodes, calls.where("type <> 'unknown'")), ["name", "class_name"]).join(path, "class_name")
     text = (summarise or (lambda c, m: F.concat(F.lit("Method "), m, F.lit(" of "), c)))(F.col("class_name"), F.col("name"))
-    return out.select(naming.chunk_id(F.col("file_path"), F.col("class_name"), F.col("name")).alias("id"), text.alias("summary"), "file_path", F.col("name").alias("method_name"), "class_name", naming.layer(F.col("file_path")).alias("layer"), F.col("out_degree").alias("call_count"), F.col("in_degree").alias("callers_count")).where("summary is not null")
+    return out.select(naming.chunk_id(F.col("file_path"), F.col("class_name"), F.col("name")).alias("id"), text.alias("summary"), "file_path", F.col("name").alias("method_name"), "class_name", naming.layer(F.col("file_path")).alias("layer"), F.col("out_degree").alias("call_count"), F.col("in_degree").alias("callers_count")).where(F.lit(failed) | F.col("summary").isNotNull())
 
 
 def to_index(wanted: DataFrame, stored: DataFrame, top: int | None = None) -> DataFrame:
-    """Chunks that aren't stored yet, the most called first if only ``top`` are wanted."""
+    """Chunks that aren't stored yet, the most called first if only ``top`` are wanted."""
     chosen = wanted if top is None else wanted.orderBy(F.desc("callers_count"), "id").limit(top)
     return chosen.join(stored.select("id").distinct(), "id", "left_anti")
 
 
+def prioritised(wanted: DataFrame, hot: DataFrame, top: int) -> DataFrame:
+    """The ``top`` chunks of the most called methods of ``hot`` (key, n), a key being Class.method or a bare name.
+
+    A key that names no chunk in full falls back to all chunks of that method name.
+    """
+    keyed = wanted.withColumn("key", naming.method_key(F.col("class_name"), F.col("method_name")))
+    full = keyed.join(hot, "key")
+    bare = hot.join(keyed.select("key").distinct(), "key", "left_anti").select(F.element_at(F.split("key", r"\."), -1).alias("method_name"), "n")
+    found = full.drop("key").unionByName(keyed.drop("key").join(bare, "method_name"))
+    return found.groupBy(*wanted.columns).agg(F.max("n").alias("n")).orderBy(F.desc("n"), "id").limit(top)
+
+
+def index_run(wanted: DataFrame, stored: DataFrame, top: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """V4: the stored chunks after a run, and one row (total, indexed, skipped, failed).
+
+    Chunks that are stored already are skipped; a chunk without a summary (the
+    summariser gave null) failed and isn't stored.
+    """
+    chosen = wanted if top is None else wanted.orderBy(F.desc("callers_count"), "id").limit(top)
+    have = stored.select("id").distinct().withColumn("there", F.lit(True))
+    marked = chosen.join(have, "id", "left")
+    new, ok = F.col("there").isNull(), F.col("summary").isNotNull()
+    counts = marked.agg(F.count("*").alias("total"), F.count_if(new & ok).alias("indexed"), F.count_if(~new).alias("skipped"), F.count_if(new & ~ok).alias("failed"))
+    return stored.unionByName(marked.where(new & ok).select(*stored.columns)), counts
+
+
+def stored_ids(stored: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each asked id whether it is stored, and how many chunks are."""
+    have = stored.select("id").distinct().withColumn("there", F.lit(True))
+    total = stored.agg(F.count_distinct("id").alias("stored"))
+    return asked.select("id").distinct().join(have, "id", "left").join(total).select("id", F.coalesce("there", F.lit(False)).alias("there"), "stored")
+
+
+def hits(nearest: DataFrame, owners: DataFrame) -> DataFrame:
+    """V8: rows (query_id, rank, node) of the methods whose vectors were recalled; ``owners`` has vec_id and node."""
+    best = nearest.join(owners, "vec_id").groupBy("query_id", "node").agg(F.min("rank").alias("first"))
+    return best.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "node")).alias("rank"), "node")
+
+
 def context(hits: DataFrame, reached: DataFrame, blocks: int = 8, lines: int = 30) -> DataFrame:
     """V8: per query a text of at most ``blocks`` hits with at most ``lines`` lines of callees or callers each.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import linking
+from ..operators import inference, linking
 from ..sources.tables import table
 
 
@@ -23,6 +23,8 @@ class CodeGraph:
     classes: DataFrame
     methods: DataFrame
     raw_calls: DataFrame
+    #: Edges that the inference passes found (J8-J11); they count as external calls.
+    inferred: DataFrame | None = None
 
     @cached_property
     def links(self) -> DataFrame:
@@ -30,7 +32,8 @@ class CodeGraph:
 
     @cached_property
     def calls(self) -> DataFrame:
-        return linking.edges(self.links)
+        found = linking.edges(self.links)
+        return found if self.inferred is None else inference.merged(found, self.inferred)
 
     @cached_property
     def known(self) -> DataFrame:
@@ -47,7 +50,25 @@ class CodeGraph:
 
 
 def from_tables(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    return graph(table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem"))
+
+
+def sparse_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    number = F.substring("p_brand", 7, 9)
+    begin = F.get(F.array(F.lit("BLord#"), F.lit("UIord#"), F.lit("DBord#")), number.cast("int") % 3)
+    single = F.col("p_partkey") % 50 == 0
+    part = part.withColumns({"p_name": F.when(single, F.concat_ws(" ", "p_name", "p_partkey")).otherwise(F.col("p_name")), "p_brand": F.concat(begin, number)})
+    return part, lines.where("l_partkey % 100 <> 0")
+
+
+def sparse(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """The same layout with what it lacks otherwise: names that one class defines, methods without calls, telling class names, methods and classes without each other."""
+    g = graph(*sparse_tables(spark, sf_dir))
+    return CodeGraph(g.classes.where(~F.col("name").endswith("#55")), g.methods.where(~F.col("class_name").endswith("#53")), g.raw_calls)
+
+
+def graph(part: DataFrame, lines: DataFrame) -> CodeGraph:
     number = F.substring("name", 7, 9).try_cast("int")  # the optimizer may evaluate it on other names
     names = F.array(*map(F.lit, ("controller", "service", "facade", "biz", "dal", "model", "util", "misc")))
     classes = part.select(F.col("p_brand").alias("name")).distinct().withColumn("b", number).withColumn("layer", F.get(names, F.col("b") % 8))
@@ -93,3 +114,9 @@ cg_unknown AS (SELECT DISTINCT caller, caller_class, callee FROM cg_link WHERE m
 cg_calls AS (SELECT * FROM cg_known UNION ALL SELECT caller, caller_class, callee, NULL, 'unknown' FROM cg_unknown),
 cg_edge AS (SELECT DISTINCT concat_ws('.', caller_class, caller) AS s, concat_ws('.', callee_class, callee) AS d FROM cg_known)
 """
+
+#: The sparse layout in SQL: the two given tables are shadowed, and two conditions added.
+SPARSE_SQL = """
+part AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN concat(p_name, ' ', CAST(p_partkey AS VARCHAR)) ELSE p_name END AS p_name,
+    concat(CASE CAST(substring(p_brand, 7, 9) AS INT) % 3 WHEN 0 THEN 'BLord#' WHEN 1 THEN 'UIord#' ELSE 'DBord#' END, substring(p_brand, 7, 9)) AS p_brand, p_size FROM main.part),
+lineitem AS (SELECT * FROM main.lineitem WHERE l_partkey % 100 <> 0),""" + SQL.replace(" AS b FROM part)", " AS b FROM part WHERE NOT ends_with(p_brand, '#55'))").replace("AS param_count FROM part)", "AS param_count FROM part WHERE NOT ends_with(p_brand, '#53'))")

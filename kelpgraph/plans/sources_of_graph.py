@@ -28,3 +28,36 @@ def write(g: CodeGraph) -> DataFrame:
     rows = g.classes.select(F.col("name").alias("class_name"), F.col("file_path").alias("path"), "is_mapper").join(text, "class_name").join(fields, "class_name", "left")
     head = F.concat(F.lit("package com.acme;\nimport java.util.List;\n"), F.when(F.col("is_mapper"), "@Mapper\n").otherwise("@Service\n"), F.lit("public class "), ident(F.col("class_name")), F.lit(" {\n"))
     return rows.select("path", F.concat(head, F.coalesce("fields", F.lit("")), "methods", F.lit("}\n")).alias("content"))
+
+
+def write_forms(g: CodeGraph) -> DataFrame:
+    """Rows (path, content): for every pair of a class and a class it calls, a source with each form a receiver can have.
+
+    Typed parameters, local variables, static calls, ``new``, a chain over a method's
+    return type, an anonymous and a nested class, an unknown name, and an interface.
+    """
+    pair = g.raw_calls.where("callee_class <> 'Unknown'").select("caller_class", "callee_class").distinct()
+    c, d = ident(F.col("caller_class")), ident(F.col("callee_class"))
+    named = pair.select("caller_class", "callee_class", c.alias("c"), d.alias("d"))
+    lines = (
+        "interface Port{c}{d} {{ int send({d} first, int second); }}",
+        "public class Use{c}{d} {{",
+        "  public {d} make() {{ return new {d}(); }}",
+        "  public void run({d} given, int n) {{",
+        "    {d} local = new {d}(); // new Ghost().no();",
+        "    local.one(1);",
+        "    given.two(1, \"a, b\");",
+        "    {d}.fixed();",
+        "    new {d}().built(n);",
+        "    make().chained();",
+        "    ghost.lost(1, 2, 3);",
+        "    Runner r = new Runner() {{ public void go() {{ local.inside(); }} }};",
+        "  }}",
+        "  class In{c}{d} {{ void deep({d} own) {{ own.nested(); }} }}",
+        "}}",
+    )
+    text = "\n".join(lines).replace("{{", "\x01").replace("}}", "\x02").replace("{c}", "\x03").replace("{d}", "\x04")
+    filled = F.lit(text)
+    for mark, value in (("\x03", F.col("c")), ("\x04", F.col("d")), ("\x01", F.lit("{")), ("\x02", F.lit("}"))):
+        filled = F.replace(filled, F.lit(mark), value)
+    return named.select(F.concat(F.lit("/src/use/"), "c", "d", F.lit(".java")).alias("path"), filled.alias("content"))

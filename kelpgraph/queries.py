@@ -22,7 +22,7 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None, graph: bool = True):
-    """Register a function of the graph (or of session and folder) under its name."""
+    """Register a function of the graph (or of session and folder) under its name; ``sql`` follows the graph's own tables."""
 
     def register(f):
         Q[f.__name__] = (lambda spark, sf_dir: f(from_tables(spark, sf_dir))) if graph else f
@@ -342,7 +342,11 @@ def annotation_counts(g: CodeGraph):
     return degrees.annotation_counts(g.classes)
 
 
-@query("SELECT (SELECT count(*) FROM cg_class) AS classes, (SELECT count(*) FROM cg_node) AS methods, (SELECT count(*) FROM cg_calls) AS calls, CAST(0 AS BIGINT) AS orphan_methods, CAST(0 AS BIGINT) AS empty_classes")
+_DIAGNOSED = """SELECT (SELECT count(*) FROM cg_class) AS classes, (SELECT count(*) FROM cg_node) AS methods, (SELECT count(*) FROM cg_calls) AS calls,
+(SELECT count(*) FROM cg_node WHERE class_name NOT IN (SELECT name FROM cg_class)) AS orphan_methods, (SELECT count(*) FROM cg_class WHERE name NOT IN (SELECT class_name FROM cg_node)) AS empty_classes"""
+
+
+@query(_DIAGNOSED)
 def structure_diagnostics(g: CodeGraph):
     """A29, J16."""
     return degrees.diagnostics(g.nodes, g.classes, g.calls)
@@ -565,8 +569,11 @@ def focus_neighbours(g: CodeGraph):
 
 # --- chains ------------------------------------------------------------------
 def _order_chains(spark, sf_dir) -> DataFrame:
+    return _chains_of(table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem"))
+
+
+def _chains_of(part, lines) -> DataFrame:
     """Every order with two lines or more as a chain of the methods it names, in line order."""
-    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     hop = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.struct(F.col("p_brand").alias("class"), F.translate("p_name", " ", "_").alias("method")).alias("hop"))
     rows = lines.join(part, lines["l_partkey"] == part["p_partkey"]).groupBy(F.col("l_orderkey").cast("string").alias("name")).agg(F.array_sort(F.collect_list(hop)).alias("h"))
     return rows.select("name", F.transform("h", lambda x: x["hop"]).alias("hops")).where(F.size("hops") >= 2)
@@ -579,7 +586,7 @@ judged AS (SELECT h.*, k.caller IS NOT NULL AS hit FROM hop h LEFT JOIN (SELECT
 
 @query("", graph=False)
 def chain_evaluation(spark, sf_dir):
-    """Orders as critical chains."""
+    """Orders as critical chains."""
     g = from_tables(spark, sf_dir)
     return chains.evaluate(_order_chains(spark, sf_dir), g.known, g.nodes)
 
@@ -663,7 +670,7 @@ def layer_tree(g: CodeGraph):
 
 @query(", pk AS (SELECT ['com', 'acme', 'd' || (b % 5)] AS d, layer, 'B' || b AS leaf FROM cg_class), pp AS (SELECT CASE WHEN layer = 'misc' THEN list_concat(d, ['misc', leaf]) ELSE [layer, leaf] END AS p FROM pk), pre AS (SELECT p[1:i] AS q, i = len(p) AS leaf FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM pp)) SELECT array_to_string(q, '/') AS path, array_to_string(q[1 : len(q) - 1], '/') AS parent, q[-1] AS name, CASE WHEN bool_or(NOT leaf) THEN 'package' ELSE 'class' END AS kind, count(*) AS classes FROM pre GROUP BY q")
 def package_tree(g: CodeGraph):
-    """H2, H3, F14, T7."""
+    """H2, H3, T7."""
     return trees.package_tree(g.classes)
 
 
@@ -678,7 +685,7 @@ _NM = "regexp_replace({0}, '[^A-Za-z0-9_]', '_', 'g')"
 
 @query(_LAYERED + ", pl AS (SELECT name, layer, dense_rank() OVER (ORDER BY priority, layer) AS n FROM cg_layered WHERE layer <> 'other'), line AS (SELECT 0 AS k, n AS x, '' AS y, 'package \"' || layer || '\" {' || chr(10) || string_agg('  class ' || " + _NM.format("name") + ", chr(10) ORDER BY name) || chr(10) || '}' AS line FROM pl GROUP BY n, layer UNION ALL SELECT 1, a.n, " + _NM.format("a.name") + " || ' --> ' || " + _NM.format("b.name") + ", " + _NM.format("a.name") + " || ' --> ' || " + _NM.format("b.name") + " FROM pl a JOIN pl b ON b.n = a.n + 1) SELECT '@startuml' || chr(10) || string_agg(line, chr(10) ORDER BY k, x, y, line) || chr(10) || '@enduml' AS text FROM line")
 def plantuml_layer_tree(g: CodeGraph):
-    """K16, H6, H7."""
+    """K16, H6."""
     return trees.plantuml_layers(g.classes)
 
 
@@ -748,7 +755,7 @@ def vector_topk_filtered_every(spark, sf_dir):
 
 @query(_LAYERED + _OUT + _IN + " SELECT concat_ws('::', l.file_path, o.class_name, o.name) AS id, 'Method ' || o.name || ' of ' || o.class_name AS summary, l.file_path, o.name AS method_name, o.class_name, l.layer, out_degree AS call_count, in_degree AS callers_count FROM outd o JOIN ind i ON i.name = o.name AND i.class_name = o.class_name JOIN cg_layered l ON l.name = o.class_name")
 def chunks(g: CodeGraph):
-    """V3-V5, D11, F17, J18."""
+    """V5, D11, F17."""
     return vectors.chunks(g.nodes, g.classes, g.calls)
 
 
@@ -774,7 +781,7 @@ def labelled_documents(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)", graph=False)
 def unlabelled_documents(spark, sf_dir):
-    """Anti join."""
+    """Anti join."""
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
 
 
@@ -831,10 +838,18 @@ def extract_imports(g: CodeGraph):
 
 @query("SELECT * FROM cg_calls")
 def incremental_relink(g: CodeGraph):
-    """The edge table after the classes of one layer were read again equals a full run."""
+    """The edge table brought up to date from an older state of one layer's classes equals a full run."""
     from .streaming.incremental import relink
 
-    return relink(g.calls, g.raw_calls, g.methods, g.classes.where("layer = 'util'").select(F.col("name").alias("class_name")))
+    changed = g.classes.where("layer = 'util'").select(F.col("name").alias("class_name"))
+    # Before: these classes had other parameters, called other methods, and one more method of each made calls.
+    mine = lambda t, c: t.join(changed.withColumnRenamed("class_name", c), c, "left_semi").select(*t.columns)
+    rest = lambda t, c: t.join(changed.withColumnRenamed("class_name", c), c, "left_anti").select(*t.columns)
+    methods = rest(g.methods, "class_name").unionByName(mine(g.methods, "class_name").withColumn("param_count", (F.col("param_count") + 1) % 4).distinct())
+    own = mine(g.raw_calls, "caller_class")
+    raw = rest(g.raw_calls, "caller_class").unionByName(own.withColumn("arg_count", (F.col("arg_count") + 2) % 4)).unionByName(own.withColumn("caller", F.lit("no_longer_there")))
+    before = linking.edges(linking.link(raw, methods))
+    return relink(before, g.raw_calls, g.methods, changed)
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents", graph=False)
@@ -844,3 +859,6 @@ def stream_hashes(spark, sf_dir):
 
     # A pattern, since a file stream takes a plain path for a folder.
     return run(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/documents.parque[t]", "doc_id", "text")
+
+
+from . import queries_products  # noqa: E402, F401  (registers its queries here)

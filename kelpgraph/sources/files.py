@@ -45,3 +45,14 @@ def delta(current: DataFrame, previous: DataFrame) -> DataFrame:
     both = current.select("path", F.col("sha256").alias("now")).join(previous.select("path", F.col("sha256").alias("before")), "path", "full_outer")
     status = F.when(F.col("now").isNull(), "removed").when(F.col("before").isNull(), "new").when(F.col("now") != F.col("before"), "changed")
     return both.select("path", status.alias("status")).where("status is not null")
+
+
+def load_rules(spark: SparkSession, path: str) -> dict:
+    """Extraction rules of a JSON file (injection_annotations, bean_annotations, mapper_annotations, mapper_proxy_confidence); {} where none can be read."""
+    kinds = ("injection_annotations", "bean_annotations", "mapper_annotations")
+    schema = ", ".join(f"{k} array<string>" for k in kinds) + ", mapper_proxy_confidence double"
+    try:
+        found = spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path).first()
+    except AnalysisException:
+        return {}
+    return {k: v for k, v in found.asDict().items() if v is not None} if found is not None else {}

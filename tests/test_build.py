@@ -45,6 +45,65 @@ def test_build_and_incremental_equal_a_full_build(spark, tmp_path, capsys):
     assert any("PayDao" in f.read_text() for f in (tmp_path / "docs").glob("part-*"))
 
 
+def test_incremental_build_parses_changed_files_only(spark, tmp_path, monkeypatch):
+    src, out, full = tmp_path / "src", str(tmp_path / "graph"), str(tmp_path / "full")
+    write(src, "action/PayAction.java", ACTION)
+    write(src, "dao/PayDao.java", DAO)
+    write(src, "util/Old.java", "class Old { void gone() { put(1); } void put(int a) { } }")
+    build.build(spark, str(src), out, incremental=True)
+    (src / "util/Old.java").unlink()
+    write(src, "service/PayService.java", SERVICE)
+    write(src, "action/PayAction.java", ACTION.replace("void log() {}", "void note() {}"))
+    seen = []
+    real = build.extract.parse
+    monkeypatch.setattr(build.extract, "parse", lambda files: seen.extend(r.path.rsplit("/", 1)[1] for r in files.collect()) or real(files))
+    changed = {r.path.rsplit("/", 1)[1]: r.status for r in build.build(spark, str(src), out, incremental=True).collect()}
+    assert changed == {"Old.java": "removed", "PayService.java": "new", "PayAction.java": "changed"}
+    assert sorted(seen) == ["PayAction.java", "PayService.java"]
+    build.build(spark, str(src), full)
+    a, b = build.load(spark, out), build.load(spark, full)
+    assert rows(a.calls) == rows(b.calls) and rows(a.methods) == rows(b.methods) and rows(a.classes) == rows(b.classes)
+    assert ("execute", "PayAction", "pay", "PayService", "external") in rows(a.calls.select("caller", "caller_class", "callee", "callee_class", "type"))
+
+
+def test_inferred_edges_replace_unknown_ones(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "graph")
+    write(src, "service/PayService.java", SERVICE)
+    write(src, "misc/Other.java", "class Other { void gone() { } }")
+    build.build(spark, str(src), out)
+    got = rows(build.load(spark, out).calls.select("caller", "callee", "callee_class", "type"))
+    assert ("pay", "gone", "Other", "external") in got and not any(t == "unknown" and c == "gone" for _, c, _, t in got)
+
+
+def test_rules_of_a_file(spark, tmp_path):
+    from kelpgraph.operators import extract
+    from kelpgraph.sources import files
+
+    (tmp_path / "rules.json").write_text('{"mapper_annotations": ["Table"], "injection_annotations": ["Give"]}')
+    rules = files.load_rules(spark, str(tmp_path / "rules.json"))
+    assert rules == {"mapper_annotations": ["Table"], "injection_annotations": ["Give"]}
+    assert files.load_rules(spark, str(tmp_path / "none.json")) == {}
+    (tmp_path / "bad.json").write_text("not json")
+    assert files.load_rules(spark, str(tmp_path / "bad.json")) == {}
+    df = spark.createDataFrame([("p", "@Table class A { @Give Dao dao; } @Mapper class B { @Autowired Dao other; }")], "path string, content string")
+    assert {(r.class_name, r.is_mapper) for r in extract.annotated_classes(df, rules).collect()} == {("A", True)}
+    assert [r.field for r in extract.injected_fields(df, rules).collect()] == ["dao"]
+
+
+def test_the_hash_stream_goes_on_after_a_restart(spark, tmp_path):
+    from kelpgraph.streaming.incremental import stream_hashes
+
+    src, state = tmp_path / "in", str(tmp_path / "state")
+    put = lambda name, rows: spark.createDataFrame(rows, "k long, c string").coalesce(1).write.parquet(str(src / name))
+    run = lambda: {r.k: r.sha256[:6] for r in stream_hashes(spark, str(src / "a"), str(src / "*"), "k", "c", state).collect()}
+    put("a", [(1, "x"), (2, "y")])
+    first = run()
+    assert set(first) == {1, 2} and run() == first
+    put("b", [(2, "z"), (3, None)])
+    second = run()
+    assert set(second) == {1, 2, 3} and second[1] == first[1] and second[2] != first[2] and run() == second
+
+
 def test_settings(monkeypatch):
     monkeypatch.setenv("A", "x")
     monkeypatch.setenv("B", "Yes")
