@@ -81,17 +81,19 @@ def words(text) -> F.Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def salted(rows: DataFrame, counted: DataFrame, keys: list[str], by: list[str], n: str, shards: int = 64, share: int = 10_000) -> tuple[DataFrame, DataFrame, list[str]]:
+def salted(rows: DataFrame, counted: DataFrame, keys: list[str], by: list[str], n: str, shards: int = 64, share: int = 10_000, least: int = 200_000) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides of a join on ``keys`` and its new keys, such that no key's rows all meet in one task.
 
-    ``counted`` has one row per key, with ``n``, how many of ``rows`` it has at most. Keys with
-    more than a ``share``-th of the rows are hot. They are fewer than ``share``, so they
-    are broadcast; their rows get one of ``shards`` salts, by the hash of the columns
-    ``by`` (so that a task that is run again salts alike), and their one row in
-    ``counted`` is repeated for each salt.
+    ``counted`` has one row per key, with ``n``, how many of ``rows`` it has at most. Keys
+    with more than ``least`` rows and a ``share``-th of all are hot. They are fewer than
+    ``share``, so they are broadcast; their rows get one of ``shards`` salts, by the hash
+    of the columns ``by`` (so that a task that is run again salts alike), and their one
+    row in ``counted`` is repeated for each salt. Without hot keys nothing changes.
     """
-    most = (counted.agg(F.sum(n)).first()[0] or 0) // share + 1000
+    most = max((counted.agg(F.sum(n)).first()[0] or 0) // share, least)
     hot = counted.where(F.col(n) > most).select(*keys, F.lit(True).alias("__hot"))
+    if not hot.limit(1).count():
+        return rows, counted, keys
     spread = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*by), F.lit(shards)).cast("int")).otherwise(0)).drop("__hot")
     salts = F.when(F.col(n) > most, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(F.lit(0)))
     return spread, counted.withColumn("__salt", F.explode(salts)), [*keys, "__salt"]

@@ -130,6 +130,23 @@ def test_repeats_at_every_kind_of_boundary(spark):
     assert got == brute_repeats(rows, 60)
 
 
+@pytest.mark.parametrize("least", [5, 10**9])
+def test_repeats_with_hot_digits(spark, monkeypatch, least):
+    """A passage in a third of the rows, whose digits are salted or not."""
+    from functools import partial
+
+    from kelpgraph.llm import op2_repeats
+
+    g = np.random.default_rng(5)
+    letters = lambda n: "".join(g.choice(list("abcdefgh"), n))
+    shared = letters(300)
+    rows = [(i, letters(80) + (shared[: int(g.integers(100, 300))] if i % 3 == 0 else "") + letters(60)) for i in range(90)]
+    monkeypatch.setattr(op2_repeats, "salted", partial(op2_repeats.salted, shards=4, share=20, least=least))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(r)[:5] for r in op2_repeats.remove_repeats(df, 60, 12).collect()), key=str)
+    assert got == brute_repeats(rows, 60)
+
+
 # --- 3: main text ------------------------------------------------------------------
 PAGES = [
     ("<html><body><nav><a href=x>Home page of the site</a></nav><article><h1>A &amp; B</h1><p>One  two\n three<br>four</p><p>x</p></article><footer>of the &copy;</footer>", "A & B One two three four x"),
