@@ -743,3 +743,20 @@ def test_pipeline(spark):
     final = p.run(spark, SF)
     assert final.columns == [*docs.columns, "copy"] and final.count() > 0
     assert final.agg(F.max("copy")).first()[0] <= 3
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and repeated rows, clashing names and an empty table through every stage."""
+    import corpus_pipeline as p
+
+    names = {"extra": "x", "copy": "mine", "__x": 1, "item_id": 3, "h": "y", "root": 5, "fp": "z"}
+    docs = odd(spark).select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    docs = docs.union(documents(spark).select(docs.columns)).withColumns({k: F.lit(v) for k, v in names.items()})
+    at = docs
+    for name, stage in p.STAGES[:-1]:
+        before, at = at, p.save(stage(spark, at, SF), f"odd-{name}")
+        assert at.columns == docs.columns and 0 < at.count() <= before.count()
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    final = p.mixture(spark, at, SF)
+    assert final.columns == [*docs.columns, "copy_"] and {r.copy for r in final.select("copy").distinct().collect()} == {"mine"}
+    assert p.mixture(spark, docs.limit(0), SF).count() == 0
