@@ -72,26 +72,62 @@ def shortest_path(edges: DataFrame, starts: DataFrame, end: str, max_depth: int
     return done
 
 
+def _steps(edges: DataFrame, fan_out: int) -> DataFrame:
+    """Rows (node, next, type): the first ``fan_out`` callees of each node by name."""
+    rank = Window.partitionBy("s").orderBy("d", "type")
+    steps = edges.groupBy("s", "d").agg(F.min("type").alias("type")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= fan_out)
+    return save(steps.select(F.col("s").alias("node"), F.col("d").alias("next"), "type"), "steps")
+
+
+def _tree_roots(roots: DataFrame) -> DataFrame:
+    return roots.select("root", F.array("root").alias("path"), F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("truncated"))
+
+
+def _grown(open_: DataFrame, steps: DataFrame, depth: int, max_depth: int) -> DataFrame:
+    """The children of the nodes ``open_`` (root, path, node), which lie at ``depth``."""
+    cut = F.when(F.array_contains("path", F.col("next")), "cycle").when(F.lit(depth == max_depth), "max_depth")
+    return open_.select("root", "path", "node").join(steps, "node").select("root", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("node"), F.lit(depth).alias("depth"), "type", cut.alias("truncated"))
+
+
 def call_tree(edges: DataFrame, roots: DataFrame, max_depth: int = 3, fan_out: int = fixed.FAN_OUT) -> DataFrame:
     """Rows (root, path, node, depth, type, truncated) of every path from a root.
 
     Each node has at most ``fan_out`` children, in name order. A path ends where its
     node is on it already (cycle) or at the greatest depth (max_depth).
     """
-    rank = Window.partitionBy("s").orderBy("d", "type")
-    steps = edges.groupBy("s", "d").agg(F.min("type").alias("type")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= fan_out).select(F.col("s").alias("node"), F.col("d").alias("next"), "type")
-    steps = save(steps, "steps")
-    level = roots.select("root", F.array("root").alias("path"), F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("truncated"))
-    out = level
+    steps = _steps(edges, fan_out)
+    out = level = _tree_roots(roots)
     for depth in range(1, max_depth + 1):
-        open_ = level.where("truncated is null").select("root", "path", "node")
-        grown = open_.join(steps, "node")
-        cut = F.when(F.array_contains("path", F.col("next")), "cycle").when(F.lit(depth == max_depth), "max_depth")
-        level = save(grown.select("root", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("node"), F.lit(depth).alias("depth"), "type", cut.alias("truncated")), f"tree{depth}")
+        level = save(_grown(level.where("truncated is null"), steps, depth, max_depth), f"tree{depth}")
         out = out.unionByName(level)
     return out
 
 
+def first_of_tree(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, fan_out: int = fixed.FAN_OUT, most: int = fixed.TREE_NODES) -> DataFrame:
+    """``budgeted(call_tree(...), most)`` without the rest of the tree; adds place, from 1 on.
+
+    The paths of a tree grow with the power of its depth, the first ``most`` in
+    pre-order don't: a node's children are looked up only if, counting the nodes met
+    before it and the children of the open ones among them, one has a place left.
+    So a level makes at most most + fan_out rows a root, whatever the depth.
+    """
+    steps = _steps(edges, fan_out)
+    degrees = steps.groupBy("node").agg(F.count("*").alias("children"))
+    order = Window.partitionBy("root").orderBy("path")
+    met = _tree_roots(roots.distinct()).withColumn("place", F.lit(1))
+    limit = clamp(max_depth)
+    for depth in range(1, limit + 1):
+        open_ = (F.col("depth") == depth - 1) & F.col("truncated").isNull()
+        counted = met.join(degrees, "node", "left").withColumn("adds", F.when(open_, F.coalesce("children", F.lit(0))).otherwise(0))
+        ahead = F.sum(F.col("adds") + 1).over(order) - F.col("adds")
+        level = _grown(counted.withColumn("ahead", ahead).where(open_ & (F.col("ahead") < most)), steps, depth, limit)
+        met = met.drop("place").unionByName(level).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+        met = save(met, f"tree{depth}")
+        if not met.where((F.col("depth") == depth) & F.col("truncated").isNull()).limit(1).count():
+            break
+    return met
+
+
 def budgeted(tree: DataFrame, most: int = fixed.TREE_NODES) -> DataFrame:
     """The first ``most`` nodes of each tree in pre-order, which is the order of their paths."""
     return tree.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("path"))).where(F.col("place") <= most)

@@ -561,6 +561,22 @@ def mermaid_call_chain(g: CodeGraph):
     return trees.mermaid_calls(traverse.call_tree(traverse.keyed(g.known), _first(g).select(F.col("node").alias("root")), 3, 8))
 
 
+def _first_of_trees(g: CodeGraph) -> DataFrame:
+    return traverse.first_of_tree(traverse.keyed(g.known), _all(g).select(F.col("node").alias("root")))
+
+
+@query()
+def call_tree_every(g: CodeGraph):
+    """The call tree of every method of each controller, with the default depth, fan-out and number of nodes."""
+    return _first_of_trees(g).select("root", F.array_join("path", " > ").alias("path"), "node", "depth", "type", "truncated", "place")
+
+
+@query()
+def mermaid_call_chain_every(g: CodeGraph):
+    """The trees of call_tree_every as diagrams."""
+    return trees.mermaid_calls(_first_of_trees(g))
+
+
 @query(_FIRST + " SELECT origin AS node, (SELECT count(*) FROM cg_edge WHERE s = origin) AS downstream, (SELECT count(*) FROM cg_edge WHERE d = origin) AS upstream FROM src")
 def focus_neighbours(g: CodeGraph):
     """G12, G13."""
@@ -762,9 +778,19 @@ def chunks(g: CodeGraph):
 @query(f", dn AS (WITH {_levels(2, False)[2:]}), up AS (WITH {_levels(2, True)[2:]}), near AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY depth, node) AS r FROM (SELECT origin, depth, node FROM dn UNION SELECT origin, depth, node FROM up)){_FIRST} SELECT src.origin AS query_id, '# ' || src.origin || coalesce(chr(10) || string_agg('  ' || depth || ' ' || node, chr(10) ORDER BY r), '') AS context, src.origin AS refs FROM src LEFT JOIN near ON near.origin = src.origin AND r <= 30 GROUP BY src.origin")
 def rag_context(g: CodeGraph):
     """Question context of the first method of each controller, two hops both ways."""
-    first, e = _first(g), traverse.keyed(g.known)
-    near = traverse.reach(e, first, 2).unionByName(traverse.reach(e, first, 2, up=True))
-    return vectors.context(first.select(F.col("origin").alias("query_id"), F.lit(1).alias("rank"), "node"), near)
+    return _rag_context(g, _first(g))
+
+
+@query()
+def rag_context_every(g: CodeGraph):
+    """Question context of every method of each controller."""
+    return _rag_context(g, _all(g))
+
+
+def _rag_context(g: CodeGraph, asked: DataFrame) -> DataFrame:
+    e = traverse.keyed(g.known)
+    near = traverse.reach(e, asked, 2).unionByName(traverse.reach(e, asked, 2, up=True))
+    return vectors.context(asked.select(F.col("origin").alias("query_id"), F.lit(1).alias("rank"), "node"), near)
 
 
 @query("SELECT conv_id, string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn, -r) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS r FROM conversations) WHERE r <= 4 GROUP BY conv_id", graph=False)

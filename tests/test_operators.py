@@ -1,5 +1,8 @@
 """Operators on small tables with results worked out by hand."""
 
+import itertools
+import random
+
 from pyspark.sql import functions as F
 
 from kelpgraph.functions import naming
@@ -252,3 +255,28 @@ def test_traversals_from_every_method_to_the_default_depth(spark, monkeypatch):
     assert [(r.origin, r.path) for r in queries.Q["data_flow_path_every"](spark, "").collect()] == [("A.z", " > ".join(names))]
     monkeypatch.setattr(queries, "from_tables", graph(back))
     assert {(r.origin, r.node, r.depth) for r in queries.Q["upstream_every"](spark, "").collect()} == {("A.z", x, i) for i, x in enumerate(names) if i}
+
+
+def test_first_of_tree_is_the_budgeted_tree(spark):
+    """Against a walk in depth-first order, with cycles, leaves, ties by name and budgets that end in any place."""
+    rng = random.Random(7)
+    pairs = sorted({(f"n{rng.randrange(14):02}", f"n{rng.randrange(14):02}") for _ in range(60)})
+    children = {}
+    for a, b in pairs:
+        children.setdefault(a, []).append(b)
+
+    def walk(path, depth, fan_out, limit):
+        yield path
+        if path[-1] in path[:-1] or depth == limit:
+            return
+        for child in children.get(path[-1], [])[:fan_out]:
+            yield from walk([*path, child], depth + 1, fan_out, limit)
+
+    roots = spark.createDataFrame([(f"n{i:02}",) for i in range(14)] + [("absent",), ("n00",)], "root string")
+    e = edges(spark, pairs)
+    for depth, fan_out, most in ((6, 3, 25), (10, 100, 40), (2, 2, 1000), (4, 100, 1)):
+        got = traverse.first_of_tree(e, roots, depth, fan_out, most).collect()
+        want = {(p[0], place, tuple(p)) for r in {*(f"n{i:02}" for i in range(14)), "absent"} for place, p in enumerate(itertools.islice(walk([r], 0, fan_out, depth), most), 1)}
+        assert {(r.root, r.place, tuple(r.path)) for r in got} == want and len(got) == len(want)
+        for r in got:
+            assert r.truncated == ("cycle" if r.node in r.path[:-1] else "max_depth" if r.depth == depth else None)
