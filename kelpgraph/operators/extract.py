@@ -70,7 +70,8 @@ def injected_fields(files: DataFrame, rules: dict | None = None) -> DataFrame:
 
 def tokens(files: DataFrame) -> DataFrame:
     """Rows (path, i, t, before, before2, after, brace, paren, nb): depths behind the token, next opening brace from it on."""
-    rows = files.select("path", F.posexplode(F.regexp_extract_all(cleaned(F.col("content")), F.lit(_TOKEN), F.lit(0))).alias("i", "t"))
+    dealt = files.select("path", "content").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")  # texts move, the windows over their tokens need no shuffle
+    rows = dealt.select("path", F.posexplode(F.regexp_extract_all(cleaned(F.col("content")), F.lit(_TOKEN), F.lit(0))).alias("i", "t"))
     w = Window.partitionBy("path").orderBy("i")
     back = Window.partitionBy("path").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
     t = F.col("t")
