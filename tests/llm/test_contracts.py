@@ -411,6 +411,56 @@ def test_mix_of_odd_rows(spark):
     assert have == {k: v for k, v in want.items() if v}
 
 
+def test_mix_with_targets_of_languages_too(spark):
+    """Rates against a solution of the dual by bisection, one multiplier after the other; words against both kinds of targets."""
+    from kelpgraph.llm.op5_mix import balanced, copies, mix, with_keys
+
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(rng.integers(1, 30)), str(rng.choice(["a", "b", "c"], p=[0.7, 0.2, 0.1])), [None, "x", "y:1"][rng.integers(3)]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    also, weights = {"lang": (1, 2, 4)}, (5, 2, 1)
+    cells = {(s, k): 0 for s in "abc" for k in ("x", "y:1", None)}
+    for _, t, s, k in rows:
+        cells[s, k] += len(t.split())
+    every = sum(cells.values())
+
+    def wanted(values, w):
+        sizes = {v: sum(n for k, n in cells.items() if v in k) for v in values}
+        target, free = {}, dict(zip(values, w, strict=True))
+        while True:
+            left = every - sum(target.values())
+            over = [v for v in free if left * free[v] / sum(free.values()) >= 3 * sizes[v]]
+            if not over:
+                return {**target, **{v: left * free[v] / sum(free.values()) for v in free}}
+            v = min(over, key=lambda v: sizes[v] / free[v])
+            target[v] = 3 * sizes[v]
+            del free[v]
+
+    goals = [wanted(("a", "b", "c"), weights), wanted(("x", "y:1", None), also["lang"])]
+    x = [dict.fromkeys(g, 0.0) for g in goals]
+    for _ in range(200):
+        for m in (1, 0):
+            for v, goal in goals[m].items():
+                low, high = -20.0, 20.0
+                for _ in range(60):
+                    mid = (low + high) / 2
+                    have = sum(n * min(3, np.exp(mid + x[1 - m][k[1 - m]])) for k, n in cells.items() if k[m] == v)
+                    low, high = (mid, high) if have < goal else (low, mid)
+                x[m][v] = low
+    want = sorted((n, min(3, np.exp(x[0][k[0]] + x[1][k[1]]))) for k, n in cells.items())
+    got = sorted((r.cell_size, r.rate) for r in balanced(with_keys(docs, ["lang"]), weights, 3, also).collect())
+    assert [n for n, _ in got] == [n for n, _ in want] and np.allclose([r for _, r in got], [r for _, r in want], rtol=1e-3)
+
+    out = {r.doc_id: r for r in mix(docs, weights, 3, also).collect()}
+    assert len(out) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in out.values())
+    for m, goal in enumerate(goals):
+        for v, g in goal.items():
+            assert abs(sum(out[r[0]].taken for r in rows if r[2 + m] == v) - g) <= 3 * 15 + 1e-3 * g
+    assert copies(docs, weights, 3, also).count() == sum(r.copies for r in out.values())
+    assert mix(odd(spark), also={"lang": (1, 1), "target": (1,)}).count() == len(ODD)
+    assert mix(odd(spark).limit(0), also=also).count() == 0
+
+
 # --- 6: personal data -----------------------------------------------------------------
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
