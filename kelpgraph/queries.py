@@ -488,13 +488,21 @@ def _all(g: CodeGraph) -> DataFrame:
     return g.nodes.join(ctl, "class_name").select(key.alias("origin"), key.alias("node")).distinct()
 
 
-@query()
+_EVERY = ", src AS (SELECT DISTINCT concat_ws('.', class_name, name) AS origin FROM cg_node WHERE class_name IN (SELECT name FROM cg_class WHERE layer = 'controller'))"
+
+
+def _whole(sql: str) -> str:
+    """A twin for every method of each controller, each of its steps derived once."""
+    return sql.replace(_FIRST[2:], _EVERY[2:]).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+
+
+@query(_whole(_levels(fixed.DEPTH, False)))
 def downstream_every(g: CodeGraph):
     """What every method of each controller reaches, to the default depth."""
     return traverse.reach(traverse.keyed(g.known), _all(g))
 
 
-@query()
+@query(_whole(_levels(fixed.DEPTH, True)))
 def upstream_every(g: CodeGraph):
     """What reaches every method of each controller, to the default depth."""
     return traverse.reach(traverse.keyed(g.known), _all(g), up=True)
@@ -518,19 +526,20 @@ def _goal(g: CodeGraph) -> str:
     return g.nodes.agg(F.max(key)).first()[0] or ""
 
 
-_P = _FIRST + ", goal AS (SELECT max(concat_ws('.', class_name, name)) AS g FROM cg_node), q0 AS (SELECT origin, origin AS node, [origin] AS path FROM src), v0 AS (SELECT origin, node FROM q0)"
-for _i in range(1, 5):
-    _P += f", q{_i} AS (SELECT origin, d AS node, min(list_append(path, d)) AS path FROM q{_i - 1} JOIN cg_edge ON s = node WHERE node <> (SELECT g FROM goal) AND NOT EXISTS (SELECT 1 FROM v{_i - 1} v WHERE v.origin = q{_i - 1}.origin AND v.node = d) GROUP BY origin, d), v{_i} AS (SELECT * FROM v{_i - 1} UNION SELECT origin, node FROM q{_i})"
-_P += " SELECT origin, array_to_string(min_by(path, len(path)), ' > ') AS path FROM (" + " UNION ALL ".join(f"SELECT origin, path FROM q{i} WHERE node = (SELECT g FROM goal)" for i in range(5)) + ") GROUP BY origin"
+def _paths(depth: int) -> str:
+    out = _FIRST + ", goal AS (SELECT max(concat_ws('.', class_name, name)) AS g FROM cg_node), q0 AS (SELECT origin, origin AS node, [origin] AS path FROM src), v0 AS (SELECT origin, node FROM q0)"
+    for i in range(1, depth + 1):
+        out += f", q{i} AS (SELECT origin, d AS node, min(list_append(path, d)) AS path FROM q{i - 1} JOIN cg_edge ON s = node WHERE node <> (SELECT g FROM goal) AND NOT EXISTS (SELECT 1 FROM v{i - 1} v WHERE v.origin = q{i - 1}.origin AND v.node = d) GROUP BY origin, d), v{i} AS (SELECT * FROM v{i - 1} UNION SELECT origin, node FROM q{i})"
+    return out + " SELECT origin, array_to_string(min_by(path, len(path)), ' > ') AS path FROM (" + " UNION ALL ".join(f"SELECT origin, path FROM q{i} WHERE node = (SELECT g FROM goal)" for i in range(depth + 1)) + ") GROUP BY origin"
 
 
-@query(_P)
+@query(_paths(4))
 def data_flow_path(g: CodeGraph):
     """A shortest path from the first method of each controller to the last method of all."""
     return traverse.shortest_path(traverse.keyed(g.known), _first(g), _goal(g), 4).select("origin", F.array_join("path", " > ").alias("path"))
 
 
-@query()
+@query(_whole(_paths(fixed.DEPTH)))
 def data_flow_path_every(g: CodeGraph):
     """A shortest path from every method of each controller to the last method of all, to the default depth."""
     return traverse.shortest_path(traverse.keyed(g.known), _all(g), _goal(g)).select("origin", F.array_join("path", " > ").alias("path"))
@@ -755,14 +764,17 @@ def _every_query(spark, sf_dir):
     return v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
 
 
-@query(graph=False)
+_VE = "WITH q AS (SELECT vec_id AS query_id, label, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), " + _VQ.split("), ", 1)[1]
+
+
+@query(_VE.replace("{on}", "true"), graph=False)
 def vector_topk_every(spark, sf_dir):
     """V1, V6: the five nearest vectors of every vector whose id is divisible by 20, among all."""
     v, q = _every_query(spark, sf_dir)
     return vectors.top_k(v, q, 5).select("query_id", "vec_id", F.round("d", 4).alias("d"), "rank")
 
 
-@query(graph=False)
+@query(_VE.replace("{on}", "v.label = q.label"), graph=False)
 def vector_topk_filtered_every(spark, sf_dir):
     """The same queries among vectors of the same label only."""
     v, q = _every_query(spark, sf_dir)
@@ -775,13 +787,16 @@ def chunks(g: CodeGraph):
     return vectors.chunks(g.nodes, g.classes, g.calls)
 
 
-@query(f", dn AS (WITH {_levels(2, False)[2:]}), up AS (WITH {_levels(2, True)[2:]}), near AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY depth, node) AS r FROM (SELECT origin, depth, node FROM dn UNION SELECT origin, depth, node FROM up)){_FIRST} SELECT src.origin AS query_id, '# ' || src.origin || coalesce(chr(10) || string_agg('  ' || depth || ' ' || node, chr(10) ORDER BY r), '') AS context, src.origin AS refs FROM src LEFT JOIN near ON near.origin = src.origin AND r <= 30 GROUP BY src.origin")
+_CONTEXT = f", dn AS (WITH {_levels(2, False)[2:]}), up AS (WITH {_levels(2, True)[2:]}), near AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY depth, node) AS r FROM (SELECT origin, depth, node FROM dn UNION SELECT origin, depth, node FROM up)){_FIRST} SELECT src.origin AS query_id, '# ' || src.origin || coalesce(chr(10) || string_agg('  ' || depth || ' ' || node, chr(10) ORDER BY r), '') AS context, src.origin AS refs FROM src LEFT JOIN near ON near.origin = src.origin AND r <= 30 GROUP BY src.origin"
+
+
+@query(_CONTEXT)
 def rag_context(g: CodeGraph):
     """Question context of the first method of each controller, two hops both ways."""
     return _rag_context(g, _first(g))
 
 
-@query()
+@query(_whole(_CONTEXT))
 def rag_context_every(g: CodeGraph):
     """Question context of every method of each controller."""
     return _rag_context(g, _all(g))
