@@ -80,6 +80,13 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where("vec_id % 20 = 0"), 10)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents and every document's proof."""
+    from .op11_merkle import prove_all
+
+    return prove_all(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     from corpus_pipeline import run
@@ -129,7 +136,7 @@ GROUP BY doc_id, item_id HAVING count(*) / any_value(n_item) >= 0.8
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_token_counts, op2_repeats, op3_main_text, op4_quality, op5_mix, op6_pii, op7_language, op8_topk, op9_simhash, op10_decontaminate, pipeline)
+    every = (op1_token_counts, op2_repeats, op3_main_text, op4_quality, op5_mix, op6_pii, op7_language, op8_topk, op9_simhash, op10_decontaminate, op11_merkle, pipeline)
     return {f.__name__: f for f in every}
 
 
