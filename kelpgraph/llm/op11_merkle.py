@@ -226,8 +226,8 @@ class Manifest:
         ranked = numbered(save(last, "op11-subroots").withColumn("__all", F.lit(TOP)), "__all", ["tree"]).drop("__all")
         self.subroots = save(ranked.join(sizes, "tree").withColumnRenamed("pos", "rank"), "op11-ranked")
         trees = self.subroots.count()
-        upper = self.subroots.select(F.lit(TOP).alias("tree"), F.col("rank").alias("pos"), "hash")
-        count = docs.sparkSession.createDataFrame([(TOP, trees)], "tree string, n long")
+        upper = save(self.subroots.select(F.lit(TOP).alias("tree"), F.col("rank").alias("pos"), "hash"), "op11-upper")
+        count = upper.groupBy("tree").agg(F.count("*").alias("n"))
         above = interior(upper, count, step)
         self.nodes = inner.union(above).union(upper.select("tree", F.lit(0).alias("level"), "pos", "hash"))
         self.trees = trees

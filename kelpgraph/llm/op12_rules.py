@@ -105,7 +105,11 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (row, doc_id, the base columns, ratio, kept), one per row of ``docs``; ``row`` has all of its columns."""
+    """Rows (row, doc_id, the base columns, ratio, kept), one per row of ``docs``; ``row`` has all of its columns.
+
+    To be written before it is filtered: Spark would push a filter down below the
+    columns it reads and compute these again inside the lambdas.
+    """
     text = F.make_valid_utf8(F.coalesce(F.col("text"), F.lit("")))
     mine = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     table = ratios(mine, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic"))
@@ -125,9 +129,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     valid UTF-8, U+FFFD stands for what isn't. ``kept`` is false if the base rules
     fail, else whether ratio >= ``THRESHOLD``.
     """
-    return judged(docs.select("doc_id", "text"), labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+    return save(judged(docs.select("doc_id", "text"), labels).select(*columns), "op12-rules")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all of their columns."""
-    return judged(docs, labels).where("kept").select("row.*")
+    return save(judged(docs, labels).select("row", "kept"), "op12-judged").where("kept").select("row.*")
