@@ -94,6 +94,13 @@ def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    from .op13_spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     from corpus_pipeline import run
@@ -143,7 +150,7 @@ GROUP BY doc_id, item_id HAVING count(*) / any_value(n_item) >= 0.8
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_token_counts, op2_repeats, op3_main_text, op4_quality, op5_mix, op6_pii, op7_language, op8_topk, op9_simhash, op10_decontaminate, op11_merkle, op12_rules, pipeline)
+    every = (op1_token_counts, op2_repeats, op3_main_text, op4_quality, op5_mix, op6_pii, op7_language, op8_topk, op9_simhash, op10_decontaminate, op11_merkle, op12_rules, op13_spelling, pipeline)
     return {f.__name__: f for f in every}
 
 
