@@ -91,9 +91,10 @@ def base(docs: DataFrame) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, from the column ``text``."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.withColumn("__w", words(F.col("text")))
-    out = out.withColumns({"__h": F.transform("__w", lambda x: F.xxhash64(x)), "__lines": lines})
-    for apart in (1, 2, 4):  # windows of 2, 4 and 8 words
-        out = out.withColumn("__h", _pairs(F.col("__h"), apart))
+    half = WINDOW // 2
+    starts = F.when(F.size("__w") >= half, F.sequence(F.lit(0), F.size("__w") - half)).otherwise(F.array().cast("array<int>"))
+    out = out.withColumns({"__h": F.transform(starts, lambda i: F.xxhash64(*(F.get("__w", i + j) for j in range(half)))), "__lines": lines})
+    out = out.withColumn("__h", _pairs(F.col("__h"), half))  # of windows
     out = out.withColumns({
         "n_words": F.size("__w").cast("long"),
         "word_chars": F.length(F.array_join("__w", "")).cast("long"),
