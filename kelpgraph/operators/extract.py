@@ -1,34 +1,37 @@
-"""Extraction of classes, methods and call sites from Java sources.
-
-A source becomes a table of tokens (path, i, t); scopes are window functions over
-it. Braces and parentheses are matched by the level they open and close: of one
-file and level, the next row after an opening is its closing. Nothing runs
-outside Spark's own functions, and the widest group is one file.
-
-Read: classes, interfaces, enums and records alike; methods of named classes;
-calls in method bodies, those in lambdas and anonymous classes as calls of the
-method around them. Offsets are in characters. A receiver's type comes from, in
-this order: a local variable or parameter, a field of the file, an upper-case
-first name (a static call), ``new``, the type a method of the class returns; a
-longer chain a.b().c() counts as a call on a. Otherwise it is ``Unknown``.
+"""Extraction of classes, methods and call sites from Java sources.
+
+Sources are dealt by path, cut into pieces by Spark's regular expressions (comments,
+literals, words, white space: every character is in one piece, so that positions
+survive) and followed in order by one small machine a file (``scopes``). The only
+exchange moves the sources; the widest group is one file.
+
+Read: classes, interfaces, enums and records alike; methods of named classes, with
+their code; calls in method bodies, those in lambdas and anonymous classes as calls of
+the method around them. Offsets are in code points from 0, the end exclusive: a
+method's from its first annotation or modifier to its closing brace or semicolon, a
+call's from its receiver to its closing parenthesis. A receiver's type comes from, in
+this order: a local variable or parameter, a field of the file, an upper-case first
+name (a static call), ``new``, a cast, the type a method of the class returns; a longer
+chain a.b().c() counts as a call on a. Otherwise it is ``Unknown``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import fixed, naming
 from ..sources.tables import save
+from . import scopes
 
 _STRING = r'"(?:\\.|[^"\\])*+"|\'(?:\\.|[^\'\\])*+\''
 _COMMENT = r"//[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
-_TOKEN = r'[A-Za-z_$][A-Za-z0-9_$]*|[0-9][A-Za-z0-9_.]*|""|[^\s\w]'
-_IDENT = r"^[A-Za-z_$][A-Za-z0-9_$]*$"
+#: Comments, text blocks, strings and characters, words, numbers, white space, anything else.
+PIECE = (
+    r'//[^\n]*+|/\*[\s\S]*?\*/|"""[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+"""|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|\'[^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+\''
+    r"|[A-Za-z_$][A-Za-z0-9_$]*+|[0-9][A-Za-z0-9_.]*+|\s++|[\s\S]"
+)
 _GENERIC = r"<[A-Za-z0-9_.,?&\s\[\]]*>"
-MODIFIERS = ("public", "private", "protected", "static", "final", "abstract", "synchronized", "native", "default", "strictfp")
-CONTROL = ("if", "for", "while", "switch", "catch", "synchronized", "return", "throw", "new", "else", "do", "try", "case", "assert", "super", "this", "instanceof", "throws", "extends", "implements", "package", "import")
 
 
 def cleaned(content: Column) -> Column:
@@ -68,107 +71,30 @@ def injected_fields(files: DataFrame, rules: dict | None = None) -> DataFrame:
     return code.select("path", F.explode(both).alias("x")).select("path", F.col("x.f").alias("field"), F.col("x.t").alias("type"))
 
 
-def tokens(files: DataFrame) -> DataFrame:
-    """Rows (path, i, t, before, before2, after, brace, paren, nb): depths behind the token, next opening brace from it on."""
-    dealt = files.select("path", "content").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")  # texts move, the windows over their tokens need no shuffle
-    rows = dealt.select("path", F.posexplode(F.regexp_extract_all(cleaned(F.col("content")), F.lit(_TOKEN), F.lit(0))).alias("i", "t"))
-    w = Window.partitionBy("path").orderBy("i")
-    back = Window.partitionBy("path").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
-    t = F.col("t")
-    depth = lambda a, b: F.sum(F.when(t == a, 1).when(t == b, -1).otherwise(0)).over(w)
-    return rows.select(
-        "path", "i", "t", F.lag("t").over(w).alias("before"), F.lag("t", 2).over(w).alias("before2"), F.lead("t").over(w).alias("after"),
-        depth("{", "}").alias("brace"), depth("(", ")").alias("paren"),
-        F.last(F.when(t == "{", F.col("i")), ignorenulls=True).over(back).alias("nb"),
-        F.last(F.when(t.rlike(_IDENT) & (F.coalesce(F.lag("t").over(w), F.lit("")) != "."), F.struct("i", "t")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("chain"),
-    )
-
-
-def _pairs(toks: DataFrame, depth: str, a: str, b: str) -> DataFrame:
-    """Rows (path, open, close) of matching brackets."""
-    rows = toks.where(F.col("t").isin(a, b)).select("path", "i", "t", F.when(F.col("t") == a, F.col(depth)).otherwise(F.col(depth) + 1).alias("level"))
-    w = Window.partitionBy("path", "level").orderBy("i")
-    return rows.withColumn("close", F.lead("i").over(w)).where(F.col("t") == a).select("path", F.col("i").alias("open"), "close", "level")
-
-
-def parse(files: DataFrame) -> dict[str, DataFrame]:
-    """Tables of the sources ``files`` (path, content): classes, methods, variables, calls."""
-    toks = save(tokens(files), "tokens")  # read many times below
-    word = F.col("t").rlike(_IDENT)
-    parens, braces = _pairs(toks, "paren", "(", ")"), _pairs(toks, "brace", "{", "}")
-
-    # Arguments: commas of the same parenthesis and brace depth, counted at their parenthesis.
-    opens = toks.where("t = '('").select("path", F.col("paren").alias("level"), "i", F.col("i").alias("at"), "brace")
-    commas = toks.where("t = ',' and paren > 0").select("path", F.col("paren").alias("level"), "i", F.lit(None).cast("int").alias("at"), "brace")
-    w = Window.partitionBy("path", "level").orderBy("i")
-    home = opens.unionByName(commas).withColumn("home", F.last(F.when(F.col("at").isNotNull(), F.struct("at", "brace")), ignorenulls=True).over(w))
-    n_commas = home.where("at is null and home.brace = brace").groupBy("path", F.col("home.at").alias("open")).agg(F.count("*").alias("commas"))
-
-    named = toks.where(word & (F.col("after") == "(")).select("path", "i", F.col("t").alias("name"), "before", "before2", "brace", "chain", (F.col("i") + 1).alias("open"))
-    named = named.join(parens.select("path", "open", "close"), ["path", "open"]).join(n_commas, ["path", "open"], "left")
-    named = named.withColumn("n_args", F.when(F.col("close") == F.col("open") + 1, 0).otherwise(F.coalesce("commas", F.lit(0)) + 1).cast("int"))
-    behind = toks.select("path", (F.col("i") - 1).alias("close"), F.col("t").alias("then"), "nb")
-    named = named.join(behind, ["path", "close"], "left").where(~F.col("name").isin(*CONTROL))
-    typed = (F.col("before").rlike(_IDENT) & ~F.col("before").isin(*CONTROL, *MODIFIERS)) | (F.col("before") == "]")
-    named = save(named.withColumn("declares", F.coalesce(typed & F.col("then").isin("{", "throws", ";"), F.lit(False))), "named")
-
-    # Classes, and the class that a method's level belongs to: the last opening brace of that level must be a class's.
-    kinds = toks.where(F.col("t").isin("class", "interface", "enum", "record") & F.col("after").rlike(_IDENT) & (F.coalesce("before", F.lit("")) != "."))
-    classes = kinds.select("path", F.col("after").alias("class_name"), F.col("t").alias("kind"), F.col("nb").alias("open")).where("open is not null")
-    classes = classes.join(braces, ["path", "open"], "left").select("path", "class_name", "kind", "open", "close", "level")
-    starts = braces.join(classes.select("path", "open", "class_name"), ["path", "open"], "left").select("path", "level", F.col("open").alias("i"), F.struct("class_name").alias("c"), F.lit(None).cast("int").alias("m"))
-    heads = named.where("declares").select("path", F.col("brace").alias("level"), "i", F.lit(None).cast("struct<class_name:string>").alias("c"), F.col("i").alias("m"))
-    own = starts.unionByName(heads).withColumn("c", F.last("c", ignorenulls=True).over(w)).where("m is not null and c.class_name is not null").select("path", F.col("m").alias("i"), "c.class_name")
-    methods = named.where("declares").join(own, ["path", "i"])
-    body = F.when(F.col("then") != ";", F.col("nb"))
-    methods = methods.select("path", "i", "class_name", "name", F.col("n_args").alias("param_count"), F.when(F.col("before") == "]", "array").otherwise(naming.type_name(F.col("before"))).alias("return_type"), body.alias("open"))
-    methods = methods.join(braces.select("path", "open", F.col("close").alias("end")), ["path", "open"], "left").withColumn("end", F.coalesce("end", "i"))
-    methods = save(methods, "methods")
-
-    # The method around a token: the last head before it whose body ends after it.
-    event = methods.select("path", "i", F.struct(F.col("i").alias("head"), "class_name", "name", "end").alias("m"))
-    around = Window.partitionBy("path").orderBy("i", "first")
-
-    def inside(rows: DataFrame) -> DataFrame:
-        both = event.withColumn("first", F.lit(0)).withColumn("r", F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType)).unionByName(rows.select("path", "i", F.lit(None).cast(event.schema["m"].dataType).alias("m"), F.lit(1).alias("first"), F.struct("*").alias("r")))
-        both = both.withColumn("m", F.last("m", ignorenulls=True).over(around)).where("r is not null")
-        return both.select("r.*", F.when(F.col("m.end") > F.col("i"), F.col("m")).alias("m"))
-
-    # Variables: Type name, then one of = ; : , ) ; those outside methods are fields of the file.
-    declared = toks.where(F.col("t").rlike("^[a-z_]") & F.col("before").rlike("^[A-Z]") & F.col("after").isin("=", ";", ":", ",", ")")).select("path", "i", F.col("t").alias("var"), F.col("before").alias("type"))
-    variables = inside(declared).select("path", "i", "var", "type", F.col("m.head").alias("head"))
-    local = variables.where("head is not null").groupBy("path", "head", F.col("var").alias("root")).agg(F.max_by("type", "i").alias("local_type"))
-    field = variables.where("head is null").groupBy("path", F.col("var").alias("root")).agg(F.max_by("type", "i").alias("field_type"))
-
-    # Calls and their receivers.
-    sites = named.where(~F.col("declares") & (F.coalesce("before", F.lit("")) != "@"))
-    dotted = F.col("before") == "."
-    root = F.when(dotted & F.col("before2").rlike(_IDENT), F.col("chain.t"))
-    sites = sites.select("path", "i", "name", "n_args", "close", "before", "before2", root.alias("root"), F.col("chain.i").alias("root_at"))
-    after_this = toks.select("path", (F.col("i") - 2).alias("root_at"), F.col("t").alias("next_name"))
-    sites = sites.join(after_this, ["path", "root_at"], "left")
-    through_this = (F.col("root") == "this") & (F.col("before2") != "this")
-    sites = sites.withColumn("root", F.when(through_this, F.col("next_name")).otherwise(F.col("root"))).drop("next_name", "root_at")
-    inner = sites.select("path", (F.col("close") + 2).alias("i"), F.col("name").alias("in_name"), F.col("root").alias("in_root"), F.col("before").alias("in_before"))
-    sites = inside(sites.join(inner, ["path", "i"], "left")).where("m is not null and before is distinct from 'new'")
-    sites = sites.withColumn("head", F.col("m.head")).withColumn("root", F.coalesce("root", F.when(dotted & (F.col("before2") == ")"), F.col("in_root"))))
-    returned = methods.groupBy("path", "class_name", F.col("name").alias("in_name")).agg(F.max_by("return_type", "i").alias("returned"))
-    sites = sites.withColumn("class_name", F.col("m.class_name")).join(local, ["path", "head", "root"], "left").join(field, ["path", "root"], "left").join(returned, ["path", "class_name", "in_name"], "left")
-    chained = dotted & (F.col("before2") == ")") & F.col("root").isNull()
-    receiver = F.coalesce(
-        "local_type", "field_type", F.when(F.col("root").rlike("^[A-Z]"), F.col("root")), F.when(dotted & (F.col("before2") == '""'), "String"),
-        F.when(chained & (F.col("in_before") == "new"), F.col("in_name")), F.when(chained & F.col("returned").isNotNull(), F.col("returned")), F.lit("Unknown"),
-    )
-    internal = ~dotted | F.col("before2").isin("this", "super")
-    calls = sites.select(
-        "path", "i", F.col("m.name").alias("caller"), F.col("class_name").alias("caller_class"), F.col("name").alias("callee"),
-        F.when(internal, F.col("class_name")).otherwise(receiver).alias("callee_class"), F.col("n_args").alias("arg_count"), F.col("root").alias("target_field"),
-        F.when(internal, "internal").otherwise("external").alias("type"),
-    )
-
-    # An internal call stays if the class has the name with its arity, or with one arity only.
-    arity = methods.groupBy("path", F.col("class_name").alias("callee_class"), F.col("name").alias("callee")).agg(F.collect_set("param_count").alias("arities"))
-    calls = calls.join(arity, ["path", "callee_class", "callee"], "left")
-    valid = F.array_contains("arities", F.col("arg_count")) | (F.size("arities") == 1)
-    calls = calls.where((F.col("type") == "external") | F.coalesce(valid, F.lit(False))).drop("arities")
-    return {"classes": classes.select("path", "class_name", "kind"), "methods": methods.select("path", "class_name", "name", "param_count", "return_type"), "variables": variables, "calls": calls}
+def pieces(files: DataFrame) -> DataFrame:
+    """Rows (path, i, t): the pieces of every source, a file's in order and in one partition."""
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.where("content is not null and content <> ''").select("path", F.make_valid_utf8("content").alias("content")).repartition(parts, "path")
+    return dealt.select("path", F.posexplode(F.regexp_extract_all("content", F.lit(PIECE), F.lit(0))).alias("i", "t"))
+
+
+def register(spark: SparkSession) -> None:
+    """The SQL table function java_scopes: ``SELECT * FROM java_scopes(TABLE(pieces) PARTITION BY path ORDER BY i)``."""
+    spark.udtf.register("java_scopes", F.udtf(scopes.ScopesOfPath, returnType=scopes.FIELDS))
+
+
+def parse(files: DataFrame, with_code: bool = False) -> dict[str, DataFrame]:
+    """Tables of the sources ``files`` (path, content), one row per path: classes, methods, variables, calls.
+
+    Sources are read once, and what was found is written once, for the four tables
+    to read. ``with_code`` adds the methods' text. Null and empty sources have no
+    rows; bytes that aren't UTF-8 count as one replacement character each run.
+    """
+    found = save(pieces(files).mapInArrow(lambda batches: scopes.follow(batches, with_code), scopes.FIELDS), "scopes")
+    of = lambda kind: found.where(F.col("kind") == kind)
+    return {
+        "classes": of("class").select("path", "class_name", F.col("type").alias("kind")),
+        "methods": of("method").select("path", "class_name", "name", F.col("n").alias("param_count"), F.when(F.col("type") == "array", "array").otherwise(naming.type_name(F.col("type"))).alias("return_type"), "start", "end", "code"),
+        "variables": of("variable").select("path", "i", F.col("name").alias("var"), "type", "head"),
+        "calls": of("call").select("path", "i", "caller", F.col("class_name").alias("caller_class"), F.col("name").alias("callee"), "callee_class", F.col("n").alias("arg_count"), F.col("field").alias("target_field"), "type", "start", "end"),
+    }

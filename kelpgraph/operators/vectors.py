@@ -52,6 +52,12 @@ def chunks(nodes: DataFrame, classes: DataFrame, calls: DataFrame, summarise: Ca
     return out.select(naming.chunk_id(F.col("file_path"), F.col("class_name"), F.col("name")).alias("id"), text.alias("summary"), "file_path", F.col("name").alias("method_name"), "class_name", naming.layer(F.col("file_path")).alias("layer"), F.col("out_degree").alias("call_count"), F.col("in_degree").alias("callers_count")).where(F.lit(failed) | F.col("summary").isNotNull())
 
 
+def with_code(chunks: DataFrame, methods: DataFrame) -> DataFrame:
+    """Chunks with ``raw_code``, the text of their method of least arity in ``methods`` (path, class_name, name, param_count, code); null where there's none."""
+    code = methods.groupBy(F.col("path").alias("file_path"), "class_name", F.col("name").alias("method_name")).agg(F.min_by("code", F.struct("param_count", "start")).alias("raw_code"))
+    return chunks.join(code, ["file_path", "class_name", "method_name"], "left")
+
+
 def to_index(wanted: DataFrame, stored: DataFrame, top: int | None = None) -> DataFrame:
     """Chunks that aren't stored yet, the most called first if only ``top`` are wanted."""
     chosen = wanted if top is None else wanted.orderBy(F.desc("callers_count"), "id").limit(top)

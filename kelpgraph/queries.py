@@ -15,7 +15,7 @@ from .operators import chains, degrees, entries, inference, linking, quality, ta
 from .plans.codegraph import SQL as CG
 from .plans.codegraph import CodeGraph, from_tables
 from .sources import files, sinks
-from .sources.tables import table
+from .sources.tables import save, table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -850,6 +850,60 @@ def extract_calls(g: CodeGraph):
     return _parsed(g)["calls"].select("caller", "caller_class", "callee", "callee_class", "arg_count", "type").distinct()
 
 
+_WRITTEN = (
+    ", wl AS (SELECT DISTINCT caller_class AS k, caller AS m, '    ' || CASE WHEN type = 'internal' THEN '' WHEN callee_class = 'Unknown' THEN 'ghost.' ELSE 'f' || " + _J.format("callee_class") + " || '.' END || callee || '(' || array_to_string(range(1, arg_count + 1), ', ') || ')' AS c, * FROM (SELECT DISTINCT * FROM cg_raw))"
+    ", wt AS (SELECT *, c || '; // a call(1, 2)' || chr(10) AS line FROM wl)"
+    ", wb AS (SELECT k, m, string_agg(line, '' ORDER BY line) AS body FROM wt GROUP BY k, m)"
+    ", wf AS (SELECT class_name AS k, name AS m, min(param_count) AS p FROM cg_method GROUP BY ALL)"
+    ", wm AS (SELECT class_name AS k, name AS m, param_count AS p, coalesce(CASE WHEN param_count = wf.p THEN body END, '') AS body, '  /* void no(); */' || chr(10) || '  ' AS lead,"
+    " 'public void ' || name || '(' || array_to_string(list_transform(range(1, param_count + 1), lambda i: 'int a' || i), ', ') || ') {' || chr(10) AS front FROM cg_method JOIN wf ON wf.k = class_name AND wf.m = name LEFT JOIN wb ON wb.k = class_name AND wb.m = name)"
+    ", wd AS (SELECT caller_class AS k, string_agg('  @Autowired' || chr(10) || '  private ' || d || ' f' || d || ';' || chr(10), '' ORDER BY d) AS fields FROM (SELECT DISTINCT caller_class, " + _J.format("callee_class") + " AS d FROM cg_raw WHERE type = 'external' AND callee_class <> 'Unknown') GROUP BY caller_class)"
+    ", wh AS (SELECT name AS k, file_path, '// ä€𝄞 \"' || chr(10) || 'package com.acme;' || chr(10) || 'import java.util.List;' || chr(10) || CASE WHEN is_mapper THEN '@Mapper' ELSE '@Service' END || chr(10) || 'public class ' || " + _J.format("name") + " || ' {' || chr(10) || coalesce(fields, '') AS head FROM cg_class LEFT JOIN wd ON wd.k = name)"
+    ", wa AS (SELECT *, front || body || '  }' AS code FROM wm)"
+    ", wp AS (SELECT *, sum(length(lead) + length(code) + 1) OVER (PARTITION BY k ORDER BY lead || code || chr(10) ROWS UNBOUNDED PRECEDING) - length(code) - 1 AS before FROM wa)"
+    ", ws AS (SELECT wp.*, file_path, CAST(length(head) + before AS INT) AS first FROM wp JOIN wh USING (k))"
+)
+
+
+def _with_offsets(g: CodeGraph) -> dict[str, DataFrame]:
+    from .operators.extract import parse
+    from .plans.sources_of_graph import write
+
+    written = write(g).select("path", F.concat(F.lit('// ä€𝄞 "\n'), "content").alias("content"))
+    return parse(save(written, "sources"), with_code=True)
+
+
+@query(_WRITTEN + " SELECT file_path AS path, " + _J.format("k") + " AS class_name, m AS name, p AS param_count, 'void' AS return_type, first AS \"start\", CAST(first + length(code) AS INT) AS \"end\", code FROM ws")
+def extract_code(g: CodeGraph):
+    """Every method's code and offsets, behind letters of one to four bytes."""
+    return _with_offsets(g)["methods"]
+
+
+@query(_WRITTEN + ", wo AS (SELECT file_path, wl.*, ws.first, ws.front, ws.p, sum(length(line)) OVER (PARTITION BY wl.k, wl.m ORDER BY line ROWS UNBOUNDED PRECEDING) - length(line) AS before FROM wt wl JOIN ws ON ws.k = wl.k AND ws.m = wl.m AND ws.body <> ''), ok AS (SELECT class_name, name, list(param_count) AS l FROM cg_method GROUP BY ALL) SELECT file_path AS path, caller, " + _J.format("caller_class") + " AS caller_class, callee, arg_count, type, CAST(wo.first + length(front) + before + 4 AS INT) AS \"start\", CAST(wo.first + length(front) + before + length(c) AS INT) AS \"end\" FROM wo LEFT JOIN ok ON class_name = callee_class AND name = callee WHERE type = 'external' OR list_contains(l, arg_count) OR len(l) = 1")
+def extract_call_offsets(g: CodeGraph):
+    """Where every call begins and ends."""
+    return _with_offsets(g)["calls"].select("path", "caller", "caller_class", "callee", "arg_count", "type", "start", "end")
+
+
+@query(_WRITTEN + ", once AS (SELECT k, m, min(p) AS p FROM ws GROUP BY k, m) SELECT file_path || '::' || " + _J.format("k") + " || '::' || m AS id, code AS raw_code FROM ws JOIN once USING (k, m, p)")
+def chunks_with_code(g: CodeGraph):
+    """The chunks of the vector index with the raw code of their methods."""
+    found = _with_offsets(g)["methods"]
+    return vectors.with_code(found.select(F.col("path").alias("file_path"), "class_name", F.col("name").alias("method_name"), naming.chunk_id(F.col("path"), F.col("class_name"), F.col("name")).alias("id")).distinct(), found).select("id", "raw_code")
+
+
+@query(", ar AS (SELECT class_name, name, list(param_count) AS l FROM cg_method GROUP BY ALL) SELECT caller, " + _J.format("caller_class") + " AS caller_class, callee, " + _J.format("callee_class") + " AS callee_class, arg_count, type, count(*) AS n FROM (SELECT DISTINCT * FROM cg_raw) LEFT JOIN ar ON ar.class_name = callee_class AND ar.name = callee WHERE type = 'external' OR list_contains(l, arg_count) OR len(l) = 1 GROUP BY ALL")
+def extract_by_sql(g: CodeGraph):
+    """P2, P15-P19 by the SQL table function, one group a path."""
+    from .operators import extract
+    from .plans.sources_of_graph import write
+
+    spark = g.classes.sparkSession
+    extract.register(spark)
+    extract.pieces(write(g)).createOrReplaceTempView("java_pieces")
+    return spark.sql("SELECT caller, class_name AS caller_class, name AS callee, callee_class, n AS arg_count, type, count(*) AS n FROM java_scopes(TABLE(java_pieces) PARTITION BY path ORDER BY i) WHERE kind = 'call' GROUP BY ALL")
+
+
 @query("SELECT file_path AS path, " + _J.format("name") + " AS class_name, is_mapper, NOT is_mapper AS is_service FROM cg_class")
 def extract_annotations(g: CodeGraph):
     """P7, F1."""
