@@ -14,6 +14,9 @@ table, and the walk ends when none are left.
   meets all of them. An edit lies in the first or in the last half of a word; so
   there is one trie of the words and one of the words reversed, and a word enters each
   at its half, where few others are left. Only the halves of words are in the edge table.
+* A node has a mask of 64 bits, one for the hash of each suffix below it. A state that
+  has its edit goes on only where the bit of the rest of its word is set: it needs that
+  very suffix. It's a filter before the walk; the walk itself decides.
 * A node is known by the hash of its path. Pairs are compared letter by letter at the
   end, so that two paths of one hash cost a comparison and give no false pair.
 """
@@ -57,22 +60,44 @@ def counted(docs: DataFrame, least: int = LEAST_LENGTH, times: int = LEAST_COUNT
 
 
 def halves(words: DataFrame) -> DataFrame:
-    """Rows (id, side, w): every word as it is (side 0) and reversed (side 1), and a number for it."""
+    """Rows (id, side, w, bits): every word as it is (side 0) and reversed (side 1), a number for it, and the mask bit of each of its suffixes."""
     both = words.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("word").alias("w")), F.struct(F.lit(1).alias("side"), F.reverse("word").alias("w")))).alias("x")).select("x.*")
-    return save(both.withColumn("id", F.monotonically_increasing_id()), "op13-halves")
+    numbered = both.select(F.monotonically_increasing_id().alias("id"), "side", "w")
+    return save(numbered.mapInArrow(_with_bits, "id long, side int, w string, bits array<tinyint>"), "op13-halves")
 
 
-_PIECE = pa.schema([("id", pa.int64()), ("depth", pa.int32()), ("node", pa.int64()), ("next", pa.int32()), ("mark", pa.int32())])
+_PIECE = pa.schema([("id", pa.int64()), ("depth", pa.int32()), ("node", pa.int64()), ("next", pa.int32()), ("mark", pa.int32()), ("mask", pa.int64())])
 
 
-def _path_hashes(ids: list[int], sides: list[int], words: list[str]) -> pa.RecordBatch:
+def _hashed(words: list[str]):
+    """Of words put end to end: code points (and a 0), where each word starts, its length, the sums of prefixes, the bit of the suffix at every place 0 to its length."""
     length = np.array([len(w) for w in words])
-    side = np.array(sides)
     codes = np.append(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), 0).astype(np.uint64)
     start = np.cumsum(length) - length
-    powers = np.multiply.accumulate(np.full(int(length.max()) + 1, _BASE, np.uint64))
+    most = int(length.max()) + 1
+    powers = np.multiply.accumulate(np.full(most, _BASE, np.uint64))
+    back = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(most, pow(_BASE, -1, 1 << 64), np.uint64))])
     place = np.arange(len(codes) - 1) - np.repeat(start, length)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes[:-1] * powers[place])])
+    of = np.repeat(np.arange(len(words)), length + 1)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(length + 1) - length - 1, length + 1)
+    rest = (sums[(start + length)[of]] - sums[start[of] + at]) * back[at]
+    bits = ((rest ^ (rest >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)
+    return codes, start, length, sums, bits
+
+
+def _with_bits(batches):
+    for batch in batches:
+        words = batch.column("w").to_pylist()
+        if words:
+            *_, length, _, bits = _hashed(words)
+            ends = np.concatenate([[0], np.cumsum(length + 1)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bits.astype(np.int8)))], ["id", "side", "w", "bits"])
+
+
+def _path_hashes(ids: list[int], sides: list[int], words: list[str]) -> pa.RecordBatch:
+    codes, start, length, sums, bits = _hashed(words)
+    side = np.array(sides)
     begin, enter = (length - 1 + side) // 2, (length + side) // 2
     n = length - begin + 1
     of = np.repeat(np.arange(len(words)), n)
@@ -81,16 +106,17 @@ def _path_hashes(ids: list[int], sides: list[int], words: list[str]) -> pa.Recor
     node = (node ^ (node >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     following = np.where(depth < length[of], codes[start[of] + depth], 0)
     mark = (depth == begin[of]) | (depth == enter[of])
-    columns = (np.array(ids)[of], depth, node.view(np.int64), following, mark)
+    mask = np.uint64(1) << bits[start[of] + of + depth]
+    columns = (np.array(ids)[of], depth, node.view(np.int64), following, mark, mask.view(np.int64))
     return pa.RecordBatch.from_arrays([pa.array(c.astype(t.type.to_pandas_dtype())) for c, t in zip(columns, _PIECE)], schema=_PIECE)
 
 
 def _pieces(batches):
-    """The nodes on the last half of every word's path: (id, depth, node, next, mark).
+    """The nodes on the last half of every word's path: (id, depth, node, next, mark, mask).
 
     node is a hash of the path, next the following code point, 0 at the end. mark: a
     word enters here, or its half begins here, so that the node must stay in the
-    compressed trie. Words of some ``LETTERS`` in all are put into one batch.
+    compressed trie; mask has the bit of the rest of the word. Words of some ``LETTERS`` in all are put into one batch.
     """
     held, letters = [], 0
     for batch in batches:
@@ -105,22 +131,32 @@ def _pieces(batches):
 
 
 class Trie:
-    """The compressed trie of the last halves: ``edges`` (node, label, child, target) and ``entries`` (w, pos, node)."""
+    """The compressed trie of the last halves: ``edges`` (node, label, child, target, mask) and ``entries`` (w, bits, pos, node)."""
 
     def __init__(self, words: DataFrame):
         listed = halves(words)
-        pieces = listed.select("id", "side", "w").mapInArrow(_pieces, "id long, depth int, node long, next int, mark int")
-        nodes = pieces.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b"), F.max("mark").alias("mark"))
-        stay = save(nodes.where("a <> b or a = 0 or mark = 1").select("node"), "op13-nodes")
-        path = pieces.join(stay, "node").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("path"))  # as many as the word has branches
+        pieces = listed.select("id", "side", "w").mapInArrow(_pieces, "id long, depth int, node long, next int, mark int, mask long")
+        nodes = pieces.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("b"), F.max("mark").alias("mark"), F.bit_or("mask").alias("mask"))
+        stay = save(nodes.where("a <> b or a = 0 or mark = 1").select("node", "mask"), "op13-nodes")
+        path = pieces.drop("mask").join(stay, "node").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "mask"))).alias("path"))  # as many as the word has branches
         paths = save(path.join(listed, "id").drop("id"), "op13-paths")
         step = F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.get("path", i - 1).alias("a"), F.get("path", i).alias("b"))))
         each = paths.where("size(path) > 1").select("side", "w", step.alias("s"))
-        edge = each.select("side", F.col("s.a.node").alias("node"), F.col("s.b.node").alias("child"), F.expr("substring(w, s.a.depth + 1, s.b.depth - s.a.depth)").alias("label"), F.when(F.col("s.b.depth") == F.length("w"), F.col("w")).alias("target"))
-        self.edges = save(edge.groupBy("side", "node", "child", "label").agg(F.max("target").alias("target")), "op13-edges")
+        edge = each.select("side", F.col("s.a.node").alias("node"), F.col("s.b.node").alias("child"), F.expr("substring(w, s.a.depth + 1, s.b.depth - s.a.depth)").alias("label"), F.when(F.col("s.b.depth") == F.length("w"), F.col("w")).alias("target"), F.col("s.b.mask").alias("mask"))
+        self.edges = save(edge.groupBy("side", "node", "child", "label").agg(F.max("target").alias("target"), F.bit_or("mask").alias("mask")), "op13-edges")
         enter = F.floor((F.length("w") + F.col("side")) / 2).cast("int")
-        entry = paths.withColumn("enter", enter).select("side", "w", F.filter("path", lambda p: p["depth"] == F.col("enter"))[0].alias("p"))
-        self.entries = entry.select("side", "w", F.col("p.depth").alias("pos"), F.col("p.node").alias("node"))
+        entry = paths.withColumn("enter", enter).select("side", "w", "bits", F.filter("path", lambda p: p["depth"] == F.col("enter"))[0].alias("p"))
+        self.entries = entry.select("side", "w", "bits", F.col("p.depth").alias("pos"), F.col("p.node").alias("node"))
+
+
+def one_edit(a, b) -> F.Column:
+    """Whether two strings differ by exactly one inserted, deleted or replaced code point; long ones are compared by their first difference."""
+    length, other = F.length(a), F.length(b)
+    at = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False)).cast("int")
+    rest = lambda x, i: F.substring(x, i, F.length(x))
+    replaced = (length == other) & (rest(a, at + 1) == rest(b, at + 1))
+    longer, shorter = (length == other + 1) & (rest(a, at + 1) == rest(b, at)), (other == length + 1) & (rest(a, at) == rest(b, at + 1))
+    return F.when(F.abs(length - other) > 1, False).when(other <= 64, F.levenshtein(a, b, 1) == 1).otherwise((at > 0) & (replaced | longer | shorter))
 
 
 def _moves() -> F.Column:
@@ -130,8 +166,9 @@ def _moves() -> F.Column:
 
     def edited(n) -> F.Column:
         """``n`` code points of the word stand against the label."""
-        near = F.levenshtein(F.substring(F.col("w"), pos + 1, n), F.col("label"), 1) == 1
-        return F.when((n <= left) & near, F.array(F.struct((pos + n).alias("pos"), F.lit(1).alias("edits"))))
+        open_ = F.call_function("shiftright", F.col("mask"), F.get("bits", pos + n).cast("int")).bitwiseAND(1) == 1
+        near = one_edit(F.substring(F.col("w"), pos + 1, n), F.col("label"))
+        return F.when((n <= left) & open_ & near, F.array(F.struct((pos + n).alias("pos"), F.lit(1).alias("edits"))))
 
     none = F.array().cast("array<struct<pos:int,edits:int>>")
     every = [F.coalesce(x, none) for x in (exact, *(F.when(F.col("edits") == 0, edited(k + d)) for d in (-1, 0, 1)))]
@@ -143,18 +180,18 @@ def near_pairs(words: DataFrame) -> DataFrame:
     trie = Trie(words)
     states, found, level = trie.entries.withColumn("edits", F.lit(0)), [], 0
     while level == 0 or states.limit(1).count():
-        moved = states.join(trie.edges, ["side", "node"]).select("side", "w", F.col("child").alias("node"), "target", F.explode_outer(_moves()).alias("to"))
-        after = save(moved.where("to is not null").select("side", "w", "node", "target", "to.pos", "to.edits"), f"op13-states{level}")
+        moved = states.join(trie.edges, ["side", "node"]).select("side", "w", F.col("child").alias("node"), "target", F.explode_outer(_moves()).alias("to"), "bits")
+        after = save(moved.where("to is not null").select("side", "w", "bits", "node", "target", "to.pos", "to.edits"), f"op13-states{level}")
         left = F.length("w") - F.col("pos")
         # At the end of the word with one edit; or its last code point alone is left, and is the one deleted.
         found.append(after.where(F.col("target").isNotNull() & (F.col("edits") + left == 1)).select("side", "w", "target"))
-        states, level = after.where((F.col("edits") == 0) | (left > 0)).select("side", "w", "pos", "node", "edits"), level + 1
+        states, level = after.where((F.col("edits") == 0) | (left > 0)).select("side", "w", "bits", "pos", "node", "edits"), level + 1
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
     back = lambda c: F.when(F.col("side") == 1, F.reverse(c)).otherwise(F.col(c))
     pairs = pairs.select(back("w").alias("word"), back("target").alias("near")).distinct()
-    return pairs.where(F.levenshtein("word", "near", 1) == 1)
+    return pairs.where(one_edit(F.col("word"), F.col("near")))
 
 
 def variants(docs: DataFrame, least: int = LEAST_LENGTH, times: int = LEAST_COUNT) -> DataFrame:
