@@ -110,7 +110,7 @@ def tokenize(docs: DataFrame, tokenizer: str = TOKENIZER, eod: int = END_OF_DOCU
     path = f"{shared_dir(spark)}/op1-tokens-{uuid.uuid4().hex}"
     schema = "file long, block long, payload binary, first long, ids array<long>"
     with released_shuffles(spark):
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, schema).write.option("compression", "zstd").parquet(path)
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8("text").alias("text")).mapInArrow(rows, schema).write.option("compression", "zstd").parquet(path)
     both = spark.read.schema(schema).parquet(path)
     return both.where("block >= 0").select("file", "block", "payload"), both.where("block < 0").select("file", "first", "ids")
 

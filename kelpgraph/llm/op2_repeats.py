@@ -139,7 +139,7 @@ def _cut_bodies(depth: int):
             got = {c: [] for c in ("digit", "body", "weight", "doc_id", "dk", "lo", "n", "core_off", "bytes")}
             text, reps = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
-                data = text[i].as_py().encode()
+                data = text[i].as_py()
                 for r in reps[i].as_py():
                     for c in ("digit", "body", "weight", "doc_id", "dk", "lo", "n"):
                         got[c].append(r[c])
@@ -270,7 +270,7 @@ def repeated_spans(docs: DataFrame, depth: int = 200, core: int = 40) -> DataFra
     distinct = save(kept.where("open").groupBy("digit", "body").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "dk", "lo", "n", "core_at")).alias("r")).select("digit", "body", "weight", "r.*"), "op2-distinct")
 
     per_doc = distinct.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("digit", "body", "weight", "doc_id", "dk", "lo", "n", "core_at")).alias("reps"))
-    bodies = save(docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "dk", "text").join(per_doc, ["doc_id", "dk"]).select("text", "reps").mapInArrow(_cut_bodies(depth), BODY), "op2-bodies")
+    bodies = save(docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "dk", "text").join(per_doc, ["doc_id", "dk"]).select(F.col("text").cast("binary").alias("text"), "reps").mapInArrow(_cut_bodies(depth), BODY), "op2-bodies")
 
     cells = bodies.mapInArrow(_cells(depth), CELLS)
     key = ["digit", "cell", "core"]

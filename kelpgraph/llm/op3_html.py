@@ -274,12 +274,13 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null or empty html, and pages without main text, give an empty text. Broken
     markup is read as far as it goes: missing end tags are implied, a cut-off tag
-    ends the page. Other columns are ignored; equal rows give equal rows.
+    ends the page. Bytes that aren't UTF-8 are read as U+FFFD, in the url too. Other
+    columns are ignored; equal rows give equal rows.
     """
 
     def rows(batches):
         for batch in batches:
-            texts = [main_text(h) for h in batch.column(2).to_pylist()]
+            texts = [main_text(h.as_py()) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(rows, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.make_valid_utf8("url").alias("url"), F.make_valid_utf8("html").alias("html")).mapInArrow(rows, "page_id long, url string, text string, n_chars long")

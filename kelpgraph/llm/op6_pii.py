@@ -7,7 +7,8 @@ boosted trees on features of the span's format and of its context; a threshold
 per kind, calibrated on labelled proposals the trees didn't see, decides.
 
 The trees are fitted on base matches (valid or not) and on near misses of the same
-kinds, at most ``FIT_ROWS`` of each, the least by a content hash. Valid base
+kinds, at most ``FIT_ROWS`` of each, the least by a content hash; near misses are
+looked for in about ``NEAR_DOCS`` documents. Valid base
 matches, and ``SEEDS`` made-up ones a kind, are rewritten in the wider formats in
 their own contexts (personal data), spoiled (not personal data), and put behind
 words that say what else they are, such as an order's or a part's number (not
@@ -35,6 +36,8 @@ from .common import save
 
 KINDS = ("email", "ip", "card", "phone")
 FIT_ROWS = 20_000
+#: Documents in which near misses are looked for, about: those of the least hashes.
+NEAR_DOCS = 20_000
 SEEDS = 90
 PRECISION = 0.99
 AROUND = 24
@@ -152,10 +155,6 @@ def with_base(docs: DataFrame) -> DataFrame:
     return docs.withColumns({f"__{kind}": proposals(text, kind, BASE[kind]) for kind in KINDS})
 
 
-def base_spans(kind: str) -> Column:
-    return F.filter(F.col(f"__{kind}"), lambda s: valid(kind, s["hit"]))
-
-
 def _passes(kind: Column, hit: Column) -> Column:
     """What a kind asks of a span in any format: a card's check digit, parts of a dotted address up to 255."""
     dotted = F.regexp_replace(hit, r" ?[\[(](?:\.|dot)[\])] ?", ".")
@@ -193,7 +192,10 @@ def _candidates(docs: DataFrame) -> DataFrame:
         ok = lambda s: valid(kind, s["hit"]) if by == "base" else F.lit(False)
         return lambda s: F.struct(F.lit(kind).alias("kind"), F.lit(by).alias("by"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), ok(s).alias("ok"), *context(s))
 
-    sources = [(F.col(f"__{k}"), k, "base") for k in KINDS] + [(proposals(text, k, p[k]), k, by) for by, p in (("wide", WIDE), ("near", NEAR)) for k in KINDS]
+    share = min(1.0, NEAR_DOCS / max(1, docs.count()))
+    sampled = F.pmod(F.xxhash64("dk"), F.lit(1 << 20)) < int(share * (1 << 20))
+    near = [(F.when(sampled, proposals(text, k, NEAR[k])).otherwise(F.array().cast(_SPAN)), k, "near") for k in KINDS]
+    sources = [(F.col(f"__{k}"), k, "base") for k in KINDS] + [(proposals(text, k, WIDE[k]), k, "wide") for k in KINDS] + near
     listed = keyed.select("doc_id", "dk", "text", F.array(*(F.struct(a.alias("a")) for a, _, _ in sources)).alias("all")).where(F.exists("all", lambda x: F.size(x["a"]) > 0))
     every = once(wide, lambda w: once(F.length(text), lambda n: F.concat(*(F.transform(F.col("all")[i]["a"], tag(w, n, k, by)) for i, (_, k, by) in enumerate(sources)))))
     return listed.select("doc_id", "dk", F.explode(every).alias("c")).select("doc_id", "dk", "c.*")
@@ -288,9 +290,8 @@ def fit(candidates: DataFrame, rows: int = FIT_ROWS) -> tuple[GBTClassificationM
     return model, cut
 
 
-def added_spans(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """Rows (doc_id, dk, extra): the spans (kind, start, end) that the trees add to a document's base ones."""
-    found = save(_candidates(docs), "op6-candidates")
+def _decided(found: DataFrame, rows: int) -> DataFrame:
+    """``accepted`` of the proposals that reach their kind's threshold, beside the base spans."""
     model, cut = fit(found, rows)
     # A kind without a threshold is one whose labels reach the wanted precision at no score.
     bar = F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in cut.items()), F.lit(2.0))
@@ -300,6 +301,26 @@ def added_spans(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     return accepted(kept.unionByName(own))
 
 
+def added_spans(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """Rows (doc_id, dk, extra): the spans (kind, start, end) that the trees add to a document's base ones."""
+    return _decided(save(_candidates(docs), "op6-candidates"), rows)
+
+
+def span_table(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """Rows (doc_id, dk, base, extra) of the documents with a span: base and added ones as (rank, start, end, kind), by kind, then start.
+
+    The patterns run over each text once; all that follows works on what they found.
+    """
+    found = save(_candidates(docs), "op6-candidates")
+    rank = F.coalesce(*(F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)), F.lit(len(KINDS)))
+    own = found.where("by = 'base' and ok").select("doc_id", "dk", "kind", "start", "end", F.lit(True).alias("own"))
+    more = _decided(found, rows).select("doc_id", "dk", F.explode("extra").alias("e")).select("doc_id", "dk", "e.kind", "e.start", "e.end", F.lit(False).alias("own"))
+    span = F.struct(rank.alias("rank"), "start", "end", "kind")
+    both = own.unionByName(more).groupBy("doc_id", "dk")
+    listed = lambda which: F.sort_array(F.collect_set(F.when(which, span)))
+    return save(both.agg(listed(F.col("own")).alias("base"), listed(~F.col("own")).alias("extra")), "op6-spans")
+
+
 def accepted(found: DataFrame) -> DataFrame:
     """Rows (doc_id, dk, extra): of the spans (doc_id, dk, kind, start, end, p, base) the added ones that cross no base span and, the best first, none accepted so far.
 
@@ -322,24 +343,16 @@ def accepted(found: DataFrame) -> DataFrame:
     return single.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("s.kind", "s.start", "s.end")).alias("extra"))
 
 
-def _merged(base: list[Column], extra: Column) -> Column:
-    """Base spans and added ones as (rank, start, end, kind), by kind, then start."""
-    rank = {k: i for i, k in enumerate(KINDS)}
-    row = lambda n, s, k: F.struct(n.alias("rank"), s["start"].alias("start"), s["end"].alias("end"), k.alias("kind"))
-    tag = lambda k: lambda s: row(F.lit(rank[k]), s, F.lit(k))
-    tagged = [F.transform(b, tag(k)) for k, b in zip(KINDS, base)]
-    place = lambda k: F.coalesce(*(F.when(k == x, F.lit(i)) for x, i in rank.items()), F.lit(len(rank)))
-    more = F.transform(F.coalesce(extra, F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda s: row(place(s["kind"]), s, s["kind"]))
-    return F.array_sort(F.concat(*tagged, more))
-
-
 def _listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _with_extra(base: DataFrame, extra: DataFrame) -> DataFrame:
-    mine = extra.select(F.col("doc_id").alias("__id"), F.col("dk").alias("__key"), F.col("extra").alias("__extra"))
-    return base.join(mine, (F.col("__dk") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+def _with_spans(keyed: DataFrame, table: DataFrame) -> DataFrame:
+    """``keyed`` (doc_id, __dk) with __base and __extra, empty where a document has none."""
+    none = F.array().cast("array<struct<rank:int,start:int,end:int,kind:string>>")
+    mine = table.select(F.col("doc_id").alias("__id"), F.col("dk").alias("__key"), F.col("base").alias("__b"), F.col("extra").alias("__e"))
+    both = keyed.join(mine, (F.col("__dk") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    return both.withColumns({"__base": F.coalesce("__b", none), "__extra": F.coalesce("__e", none)})
 
 
 def find_pii(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -349,13 +362,9 @@ def find_pii(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     ones as kind:start:end. Null text counts as empty; other columns are ignored;
     equal rows get equal results.
     """
-    light = with_base(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("__dk")))
-    light = save(light.select("doc_id", "__dk", *(base_spans(k).alias(f"__{k}") for k in KINDS)), "op6-base")
-    base = [F.col(f"__{k}") for k in KINDS]
-    out = _with_extra(light, save(added_spans(docs, rows), "op6-extra"))
-    tag = lambda k: lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    only = F.concat(*(F.transform(b, tag(k)) for k, b in zip(KINDS, base)))
-    return out.select("doc_id", *(F.size(b).cast("long").alias(f"n_{k}") for k, b in zip(KINDS, base)), F.sha2(_listed(only), 256).alias("base_sha256"), _listed(_merged(base, F.col("__extra"))).alias("spans"))
+    out = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("__dk")), span_table(docs, rows))
+    count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", *map(count, KINDS), F.sha2(_listed(F.col("__base")), 256).alias("base_sha256"), _listed(F.sort_array(F.concat("__base", "__extra"))).alias("spans"))
 
 
 def redact(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -365,10 +374,9 @@ def redact(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     replacement of their union. Null texts stay null; other columns, of whatever
     name, stay as they are.
     """
-    keyed = with_base(docs.withColumn("__dk", F.xxhash64("doc_id", "text")))
-    out = _with_extra(keyed, save(added_spans(docs.select("doc_id", "text"), rows), "op6-extra"))
-    found = _merged([base_spans(k) for k in KINDS], F.col("__extra"))
-    byplace = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    out = _with_spans(docs.withColumn("__dk", F.xxhash64("doc_id", "text")), span_table(docs.select("doc_id", "text"), rows))
+    found = F.concat("__base", "__extra")
+    byplace = F.sort_array(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     wide, cut = cutter(F.col("text"))
 
     def piece(wide, s, top):
@@ -382,7 +390,7 @@ def redact(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
         return F.concat(pieces, cut(wide, F.array_max(ends), F.length("text")))
 
     clean = once(wide, lambda w: once(byplace, lambda spans: rewritten(w, spans)))
-    none = sum((F.size(base_spans(k)) for k in KINDS), F.coalesce(F.size("__extra"), F.lit(0))) == 0
-    out = out.withColumn("__clean", F.when(F.col("text").isNull() | none, F.col("text")).otherwise(clean))
+    none = F.size("__base") + F.size("__extra")
+    out = out.withColumn("__clean", F.when(F.col("text").isNull() | (none == 0), F.col("text")).otherwise(clean))
     columns = [F.col("__clean").alias("text") if c == "text" else F.length("__clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*columns)

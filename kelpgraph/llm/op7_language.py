@@ -130,7 +130,7 @@ def belonging(passages: list[bytes], langs: list[str], names: list[str]) -> tupl
 
 def sample(docs: DataFrame) -> list:
     """At most PER_LANGUAGE passages of each language (fewer if languages are very many), chosen by hash."""
-    known = docs.select(F.col("doc_id"), "lang", F.coalesce("text", F.lit("")).alias("text")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).where(F.col("text").rlike(r"\p{L}"))
+    known = docs.select(F.col("doc_id"), "lang", F.make_valid_utf8(F.coalesce("text", F.lit(""))).alias("text")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).where(F.col("text").rlike(r"\p{L}"))
     counts = known.groupBy("lang").count()
     most = max(2, min(PER_LANGUAGE, IN_ALL // max(1, counts.count())))
     order = F.xxhash64("doc_id", "text")
@@ -151,7 +151,7 @@ def score(docs: DataFrame, names: list[str], matrix: np.ndarray, known: tuple[np
 
     def rows(batches):
         for batch in batches:
-            texts = batch.column(place).to_pylist()
+            texts = [None if t is None else t.decode(errors="replace") for t in batch.column(place).cast(pa.binary()).to_pylist()]
             pred, sure, near = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             todo = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t)) and names]
             total, over = np.zeros((len(texts), len(names))), np.zeros((len(texts), len(names)))
@@ -191,14 +191,14 @@ def _pieces(texts: list[str], todo: list[int], most: int = HELD * PASSAGE // 2):
         yield piece, np.array(own)
 
 
-def learn(docs: DataFrame) -> tuple[list[str], np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """What ``fit`` and ``belonging`` give."""
+def learn(docs: DataFrame, belongs: bool = True) -> tuple[list[str], np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """What ``fit`` and, if asked for, ``belonging`` give."""
     known = sample(docs)
     if not known:
         return [], np.zeros((WIDTH, 0), np.float32), (np.zeros((WIDTH, 0), np.float32), np.zeros((len(SIZES), 0)))
     passages, langs = [_normal(r["passage"]) for r in known], [r["lang"] for r in known]
     names, matrix = fit(passages, langs)
-    return names, matrix, belonging(passages, langs, names)
+    return names, matrix, belonging(passages, langs, names) if belongs else None
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -206,11 +206,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
     lang and doc_id serve only to choose what is learned from; null or letterless
     texts, and all texts where no language can be learned, are ``und`` with score
-    0. Other columns are ignored; equal texts get equal predictions; an empty
+    0. Bytes that aren't UTF-8 are read as U+FFFD. Other columns are ignored; equal texts get equal predictions; an empty
     table has no rows.
     """
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return score(ready, *learn(docs)[:2]).select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return score(ready, *learn(docs, False)[:2]).select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

@@ -217,8 +217,9 @@ def near_duplicates(docs: DataFrame, size: int = 4) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 4) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component its least row stays.
 
-    The least row has the least doc_id (nulls last), then the least content key;
-    of equal rows one stays.
+    The least row has the least doc_id (nulls last), then the least content key. Of
+    rows that share doc_id and text the one of the least hash of all columns stays
+    (of equal rows any), in whatever order they come.
     """
     own = save(components(docs, size), "op9-rows")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dk")
@@ -228,5 +229,7 @@ def keep_one(docs: DataFrame, size: int = 4) -> DataFrame:
     mine = first.select(F.col("doc_id").alias("__id"), F.col("dk").alias("__first"))
     kept = keyed.join(mine, (keyed["__dk"] == mine["__first"]) & keyed["doc_id"].eqNullSafe(mine["__id"]), "left_semi")
     if own.groupBy("doc_id", "dk").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "__dk"])
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        order = F.struct(F.sha2(F.to_json(row), 256), F.xxhash64(row))
+        kept = kept.groupBy("doc_id", "__dk").agg(F.min_by(row, order).alias("__row")).select("__row.*")
     return kept.drop("__dk")
