@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import linking
-from ..sources import files as file_ops
 from ..sources import sinks
 from ..sources.tables import shared_dir
 
@@ -20,16 +19,19 @@ def stream_hashes(spark: SparkSession, path: str, pattern: str, key: str, conten
     what is there and stops. ``state`` is the folder of the table's versions and of
     the stream's checkpoint: a later run, or one after a crash, with the same folder
     goes on from there (without it every run starts anew). Of the rows of one key the
-    one of the latest batch counts. Each batch writes a new version, then says that
-    it counts; a batch that is repeated after that finds itself done.
+    one of the latest batch counts, of those in one batch the one of the greatest
+    hash. Each batch writes a version of its own, and versions are never changed: the
+    latest is the one of the greatest number that was written to its end, so that a
+    crash at any time leaves the state before or behind the batch. A batch that is
+    repeated finds itself done.
     """
     base = state or f"{shared_dir(spark)}/hashes-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
-    stored = "number long"
 
     def latest() -> int:
-        found = file_ops.load_or_empty(spark, f"{base}/current", stored).first()
-        return -1 if found is None else found["number"]
+        found = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/v*/_SUCCESS")
+        done = found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(found)
+        return max((int(f.getPath().getParent().getName()[1:]) for f in done or ()), default=-1)
 
     def version(number: int) -> DataFrame:
         return spark.read.parquet(f"{base}/v{number}")
@@ -38,10 +40,9 @@ def stream_hashes(spark: SparkSession, path: str, pattern: str, key: str, conten
         before = latest()
         if before >= number:
             return
-        new = batch.select(key, F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("sha256"))
+        new = batch.select(key, F.sha2(F.coalesce(F.col(content), F.lit("")), 256).alias("sha256")).groupBy(key).agg(F.max("sha256").alias("sha256"))
         now = sinks.upsert(version(before), new, [key]) if before >= 0 else new
-        now.write.mode("overwrite").parquet(f"{base}/v{number}")
-        spark.createDataFrame([(number,)], stored).write.mode("overwrite").parquet(f"{base}/current")
+        now.write.mode("overwrite").parquet(f"{base}/v{number}")  # overwrites only what was left unfinished
 
     stream = spark.readStream.schema(schema).parquet(pattern).writeStream.foreachBatch(upsert)
     stream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
