@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import queries as base
 from .functions import fixed, naming
-from .operators import chains, degrees, entries, inference, linking, quality, traverse, trees, vectors
+from .operators import chains, degrees, entries, inference, lexical, linking, quality, traverse, trees, vectors
+from .operators.taxonomy import layered
 from .plans import codegraph
 from .plans.codegraph import SPARSE_SQL, CodeGraph, from_tables, sparse
 from .queries import _CATEGORY, _DIAGNOSED, _INFER, _J, _LAYERED, _LT, _METRICS, _T, CG, SQL, Q, _chains_of, _first, _levels, _order_chains, query
@@ -329,6 +330,70 @@ def rag_search(spark, sf_dir):
     return vectors.context(found, near)
 
 
+# --- questions as text ---------------------------------------------------------------------------
+def _terms_sql(text: str) -> str:
+    """The same parts of identifiers as ``lexical.terms``."""
+    spaced = f"regexp_replace(regexp_replace(coalesce({text}, ''), '(\\p{{Ll}}|\\p{{N}})(\\p{{Lu}})', '\\1 \\2', 'g'), '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1 \\2', 'g')"
+    return f"list_transform(regexp_extract_all({spaced}, '\\p{{L}}+|\\p{{N}}+'), lambda x: lower(x))"
+
+
+def _ranked_sql(k: int, on: str = "") -> str:
+    """Every document scored for every question: txt (id, text), ask (query_id, text)."""
+    return f"""tf AS (SELECT id, t, count(*) AS tf FROM (SELECT id, unnest({_terms_sql('text')}) AS t FROM txt) GROUP BY ALL),
+li AS (SELECT t, ln(((SELECT count(*) FROM txt) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM tf GROUP BY t),
+aq AS (SELECT DISTINCT query_id, unnest({_terms_sql('text')}) AS t FROM ask),
+sc AS (SELECT query_id, tf.id, round(sum(idf * tf / (tf + 1.2)), 6) AS score FROM aq JOIN tf ON tf.t = aq.t JOIN li ON li.t = aq.t {on} GROUP BY query_id, tf.id),
+ra AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM sc QUALIFY rank <= {k})"""
+
+
+_TURNS = "WITH txt AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role <> 'user'), ask AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user' AND conv_id % 20 = 0), "
+
+
+def _turns(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    talk = table(spark, sf_dir, "conversations")
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    return talk.where("role <> 'user'").select(key.alias("id"), "text"), talk.where("role = 'user' and conv_id % 20 = 0").select(key.alias("query_id"), "text")
+
+
+@query(_TURNS + _ranked_sql(10) + " SELECT * FROM ra", graph=False)
+def question_search(spark, sf_dir):
+    """The ten best answers, among all turns that aren't a user's, for the users' turns of every conversation whose id is divisible by 20."""
+    texts, asked = _turns(spark, sf_dir)
+    return lexical.TextIndex(texts).search(asked, 10)
+
+
+_PART_ASK = "ask AS (SELECT p_partkey AS query_id, 'Where is the ' || p_name || ' of ' || p_brand || ' used?' AS text FROM part WHERE p_partkey % 20 = 0)"
+_METHOD_TEXT = ", txt AS (SELECT class_name || '.' || name AS id, 'Method ' || name || ' of ' || class_name AS text FROM cg_node)"
+
+
+def _method_texts(g: CodeGraph) -> DataFrame:
+    summary = F.concat(F.lit("Method "), "name", F.lit(" of "), "class_name")
+    return g.nodes.select(naming.method_key(F.col("class_name"), F.col("name")).alias("id"), summary.alias("text")).distinct()
+
+
+def _part_questions(spark, sf_dir) -> DataFrame:
+    asked = F.concat(F.lit("Where is the "), "p_name", F.lit(" of "), "p_brand", F.lit(" used?"))
+    return table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), asked.alias("text"))
+
+
+@query(f"WITH {CG}{_METHOD_TEXT}, {_PART_ASK}, {_ranked_sql(5)} SELECT * FROM ra", graph=False)
+def question_methods(spark, sf_dir):
+    """V6, V8: questions about every part whose key is divisible by 20; the five methods whose identifiers answer them best."""
+    return lexical.TextIndex(_method_texts(from_tables(spark, sf_dir))).search(_part_questions(spark, sf_dir), 5)
+
+
+_LAYER_ASK = "ly AS (SELECT DISTINCT class_name || '.' || n.name AS id, layer FROM cg_node n JOIN cg_layered l ON l.name = class_name), ask AS (SELECT DISTINCT layer AS query_id, layer || ' ring bolt gear' AS text FROM ly)"
+
+
+@query(f"{_LAYERED}{_METHOD_TEXT}, {_LAYER_ASK}, {_ranked_sql(30, 'JOIN ly ON ly.id = tf.id AND ly.layer = query_id')} SELECT query_id AS layer, id, score, rank FROM ra")
+def describe_layers(g: CodeGraph):
+    """Per layer the thirty methods of that layer that a question about it recalls."""
+    home = layered(g.classes).select(F.col("name").alias("class_name"), F.col("layer").alias("group"))
+    groups = g.nodes.join(home, "class_name").select(naming.method_key(F.col("class_name"), F.col("name")).alias("id"), "group").distinct()
+    asked = groups.select(F.col("group").alias("query_id"), "group", F.concat("group", F.lit(" ring bolt gear")).alias("text")).distinct()
+    return lexical.TextIndex(_method_texts(g)).search(asked, 30, groups).withColumnRenamed("query_id", "layer")
+
+
 # --- extraction --------------------------------------------------------------------------------
 _PAIRS = ", pr AS (SELECT DISTINCT " + _J.format("caller_class") + " AS c, " + _J.format("callee_class") + " AS d FROM cg_raw WHERE callee_class <> 'Unknown')"
 
