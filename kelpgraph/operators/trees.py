@@ -1,7 +1,10 @@
 """Trees, diagrams and documents as flat rows and texts.
 
-A diagram is one text by its format: it is made in one task, and its size is that of
-the part of the graph it draws. Trees as rows have no such limit.
+A diagram drawn as one text is made in one task, and its size is that of the part of
+the graph it draws. The functions whose names end in ``_lines`` give the same document
+as rows with a place and a line, for ``sinks.write_ordered``, whatever its size; so
+nested JSON needs no nested value either: a node's opening and closing lines stand
+before and behind those of what is in it.
 """
 
 from __future__ import annotations
@@ -78,14 +81,23 @@ def mermaid_calls(tree: DataFrame) -> DataFrame:
     return edge.withColumn("line", line).groupBy("root").agg(F.concat(F.lit("graph TD\n"), _lines("line", ["a", "b", "type"])).alias("text"))
 
 
-def layer_docs(classes: DataFrame, nodes: DataFrame, preview: int = 8) -> DataFrame:
-    """A Markdown text per layer: its classes with at most ``preview`` methods each, and how many more."""
+def _layer_lines(classes: DataFrame, nodes: DataFrame, preview: int) -> DataFrame:
+    """Rows (layer, priority, class_name, line) of the classes of every layer."""
     per = nodes.groupBy("class_name").agg(F.array_sort(F.collect_set("name")).alias("m"))
     more = F.when(F.size("m") > preview, F.concat(F.lit(" (+"), (F.size("m") - preview).cast("string"), F.lit(")"))).otherwise("")
     known = layered(classes).select("layer", "priority", F.col("name").alias("class_name")).join(per, "class_name", "left")
     line = F.concat(F.lit("- "), "class_name", F.lit(": "), F.coalesce(F.array_join(F.slice("m", 1, preview), ", "), F.lit("")), F.coalesce(more, F.lit("")))
-    docs = known.withColumn("line", line).groupBy("layer", "priority").agg(F.count("*").alias("n"), _lines("line", ["class_name"]).alias("body"))
-    return docs.select("layer", "priority", F.concat(F.lit("## "), "layer", F.lit(" ("), F.col("n").cast("string"), F.lit(")\n"), "body").alias("text"))
+    return known.withColumn("line", line)
+
+
+def _layer_head() -> F.Column:
+    return F.concat(F.lit("## "), "layer", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+
+
+def layer_docs(classes: DataFrame, nodes: DataFrame, preview: int = 8) -> DataFrame:
+    """A Markdown text per layer: its classes with at most ``preview`` methods each, and how many more."""
+    docs = _layer_lines(classes, nodes, preview).groupBy("layer", "priority").agg(F.count("*").alias("n"), _lines("line", ["class_name"]).alias("body"))
+    return docs.select("layer", "priority", F.concat(_layer_head(), F.lit("\n"), "body").alias("text"))
 
 
 def architecture_doc(classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -93,6 +105,41 @@ def architecture_doc(classes: DataFrame, nodes: DataFrame) -> DataFrame:
     return layer_docs(classes, nodes).agg(F.concat(F.lit("# Architecture\n"), _lines("text", ["priority", "layer"])).alias("text"))
 
 
+def architecture_lines(classes: DataFrame, nodes: DataFrame, preview: int = 8) -> DataFrame:
+    """The lines of ``architecture_doc``: rows (a, b, c, line), to be ordered by a, b and c."""
+    body = _layer_lines(classes, nodes, preview).select(F.col("priority").alias("a"), F.col("layer").alias("b"), F.concat(F.lit("-"), "class_name").alias("c"), "line")
+    heads = layered(classes).groupBy("layer", "priority").agg(F.count("*").alias("n")).select(F.col("priority").alias("a"), F.col("layer").alias("b"), F.lit("").alias("c"), _layer_head().alias("line"))
+    title = classes.sparkSession.range(1).select(F.lit(-1).alias("a"), F.lit("").alias("b"), F.lit("").alias("c"), F.lit("# Architecture").alias("line"))
+    return title.unionByName(heads).unionByName(body)
+
+
+_LAST = "\uffff"  # behind every name
+
+
+def document_lines(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Packages, classes and their methods as one nested JSON array, however deep: rows (key, line), to be ordered by key.
+
+    A node is {"name", "kind", "children"}; methods have no children. Children of one
+    node are in the order of their names, at their classes' first file.
+    """
+    p = F.col("p")
+    paths = classes.select("name", package_path(F.col("file_path")).alias("p")).where(F.size("p") > 0)
+    inner = paths.select(F.size(p).alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.slice(p, F.lit(1), i))).alias("p"))
+    inner = inner.groupBy("p").agg(F.max(F.when(F.size("p") == F.col("n"), "class").otherwise("package")).alias("kind"))
+    methods = paths.join(nodes.select(F.col("class_name").alias("name"), F.col("name").alias("m")), "name").select(F.array_append(p, F.col("m")).alias("p"), F.lit("method").alias("kind")).distinct()
+    methods = methods.join(inner.select("p"), "p", "left_anti")
+    every = inner.unionByName(methods).withColumn("parent", F.slice(p, F.lit(1), F.size(p) - 1))
+    first = every.groupBy("parent").agg(F.min("p").alias("first"))  # the others come behind a comma
+    told = every.join(first, "parent")
+    comma = F.when(p == F.col("first"), "").otherwise(",")
+    node = F.to_json(F.struct(F.element_at(p, -1).alias("name"), "kind"))
+    opening = F.when(F.col("kind") == "method", node).otherwise(F.concat(F.expr("substring(to_json(struct(element_at(p, -1) AS name, kind)), 1, length(to_json(struct(element_at(p, -1) AS name, kind))) - 1)"), F.lit(',"children":[')))
+    rows = told.select(p.alias("key"), F.concat(comma, opening).alias("line"))
+    rows = rows.unionByName(inner.select(F.array_append(p, F.lit(_LAST)).alias("key"), F.lit("]}").alias("line")))
+    ends = classes.sparkSession.range(1).select(F.explode(F.array(F.struct(F.array().cast("array<string>").alias("key"), F.lit("[").alias("line")), F.struct(F.array(F.lit(_LAST)).alias("key"), F.lit("]").alias("line")))).alias("x"))
+    return rows.unionByName(ends.select("x.*"))
+
+
 def search_classes(classes: DataFrame, nodes: DataFrame, query: str) -> DataFrame:
     """Classes whose name, or the name of a method, contains the query; case is ignored."""
     q = query.lower()
@@ -110,8 +157,8 @@ def plantuml_calls(tree: DataFrame) -> DataFrame:
     return rows.groupBy("root").agg(F.concat(F.lit("@startuml\n"), _lines("line", ["path"]), F.lit("\n@enduml")).alias("text"))
 
 
-def plantuml_packages(classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One text: packages inside one another, classes with the number of their methods."""
+def package_lines(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Packages inside one another, classes with the number of their methods: rows (key, line), to be ordered by both."""
     per = nodes.groupBy("class_name").agg(F.count_distinct("name").alias("n"))
     p, pad = F.col("p"), lambda n: F.repeat(F.lit("  "), n)
     named = classes.select("name", package_path(F.col("file_path")).alias("p")).where(F.size("p") > 0).join(per.withColumnRenamed("class_name", "name"), "name", "left")
@@ -119,7 +166,12 @@ def plantuml_packages(classes: DataFrame, nodes: DataFrame) -> DataFrame:
     inner = named.select(F.explode(F.transform(F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: i < F.size(p)), lambda i: F.slice(p, F.lit(1), i))).alias("p")).distinct()
     opened = inner.select(p.alias("key"), F.concat(pad(F.size(p) - 1), F.lit('package "'), F.element_at(p, -1), F.lit('" {')).alias("line"))
     closed = inner.select(F.array_append(p, F.lit("\uffff")).alias("key"), F.concat(pad(F.size(p) - 1), F.lit("}")).alias("line"))
-    rows = opened.unionByName(leaf).unionByName(closed)
+    return opened.unionByName(leaf).unionByName(closed)
+
+
+def plantuml_packages(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same as one text."""
+    rows = package_lines(classes, nodes)
     return rows.agg(F.concat(F.lit("@startuml\nskinparam packageStyle folder\n"), _lines("line", ["key"]), F.lit("\n@enduml")).alias("text"))
 
 

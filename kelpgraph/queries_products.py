@@ -394,6 +394,33 @@ def describe_layers(g: CodeGraph):
     return lexical.TextIndex(_method_texts(g)).search(asked, 30, groups).withColumnRenamed("query_id", "layer")
 
 
+# --- documents as ordered files ------------------------------------------------------------------
+def _filed(lines: DataFrame, order: list[str]) -> DataFrame:
+    """The lines of the part files that an ordered document was written to."""
+    from .sources.sinks import read_ordered, write_ordered
+
+    spark = lines.sparkSession
+    path = f"{shared_dir(spark)}/document-{uuid.uuid4().hex}"
+    write_ordered(lines, path, order)
+    return read_ordered(spark, path)
+
+
+@query(SQL["architecture_doc"].removeprefix(f"WITH {CG}").replace(" SELECT '# Architecture'", ", whole AS (SELECT '# Architecture'") + "), part AS (SELECT string_split(text, chr(10)) AS s FROM whole) SELECT unnest(range(1, len(s) + 1)) AS n, unnest(s) AS line FROM part")
+def architecture_files(g: CodeGraph):
+    """The architecture document written as ordered files; their lines are those of the one text."""
+    return _filed(trees.architecture_lines(g.classes, g.nodes), ["a", "b", "c"])
+
+
+@query(""", pk AS (SELECT name, ['com', 'acme', 'd' || (b % 5)] AS d, layer, 'B' || b AS leaf FROM cg_class), pp AS (SELECT name, CASE WHEN layer = 'misc' THEN list_concat(d, ['misc', leaf]) ELSE [layer, leaf] END AS p FROM pk),
+inn AS (SELECT p[1:i] AS p, CASE WHEN bool_or(i < len(p)) THEN 'package' ELSE 'class' END AS kind FROM (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM pp) GROUP BY p[1:i]),
+ev AS (SELECT * FROM inn UNION SELECT list_append(p, m.name), 'method' FROM pp JOIN cg_node m ON m.class_name = pp.name WHERE list_append(p, m.name) NOT IN (SELECT p FROM inn)),
+dl AS (SELECT p AS key, CASE WHEN p = min(p) OVER (PARTITION BY p[1:len(p) - 1]) THEN '' ELSE ',' END || '{"name":"' || p[-1] || '","kind":"' || kind || CASE WHEN kind = 'method' THEN '"}' ELSE '","children":[' END AS line FROM ev
+UNION ALL SELECT list_append(p, chr(65535)), ']}' FROM inn UNION ALL SELECT CAST([] AS VARCHAR[]), '[' UNION ALL SELECT [chr(65535)], ']') SELECT row_number() OVER (ORDER BY key) AS n, line FROM dl""")
+def tree_document(g: CodeGraph):
+    """Packages, classes and methods as nested JSON of any depth, written as ordered files."""
+    return _filed(trees.document_lines(g.classes, g.nodes), ["key"])
+
+
 # --- extraction --------------------------------------------------------------------------------
 _PAIRS = ", pr AS (SELECT DISTINCT " + _J.format("caller_class") + " AS c, " + _J.format("callee_class") + " AS d FROM cg_raw WHERE callee_class <> 'Unknown')"
 

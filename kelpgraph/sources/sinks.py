@@ -1,9 +1,10 @@
-"""Upserts and deletes of the graph's tables."""
+"""Upserts and deletes of the graph's tables, and ordered text files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -37,3 +38,20 @@ def belongs_to(methods: DataFrame, classes: DataFrame) -> DataFrame:
     """K7: rows (name, class_name, file_path) for methods whose class is defined."""
     c = classes.select(F.col("name").alias("class_name"), "file_path")
     return methods.select("name", "class_name").distinct().join(c, "class_name").select("name", "class_name", "file_path")
+
+
+def write_ordered(lines: DataFrame, path: str, order: list[str], text: str = "line") -> None:
+    """A document of any size as text files: its lines in the order of ``order`` are those of the part files, in the order of their names.
+
+    Lines are dealt by ranges of their place and sorted where they lie; no task has
+    the whole document. A line may hold line breaks.
+    """
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select(text).write.mode("overwrite").text(path)
+
+
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (n, line): the lines that ``write_ordered`` wrote, numbered from 1."""
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("part"), F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("i", "line"))
+    counts = files.groupBy("part").agg(F.count("*").alias("c"))
+    before = counts.withColumn("before", F.sum("c").over(Window.orderBy("part")) - F.col("c"))  # one row a file
+    return files.join(before, "part").select((F.col("before") + F.col("i") + 1).alias("n"), "line")
