@@ -2,11 +2,13 @@
 
 All words of the corpus are counted, then every word looks for the words one edit
 away by walking a trie that is a distributed table of edges. A state is (word,
-position, node, edits). Each level joins all states with the edges of their nodes:
-without an edit so far, an edge may be taken exactly, or with one code point
-inserted, deleted or replaced on it; with one edit, exactly. States at a terminal node
-at the end of their word with one edit are neighbours. A level writes its states as a
-table, and the walk ends when none are left.
+position, node, edits). The states without an edit are the nodes of a word's own path.
+They are joined with all edges of their nodes, on each of which one code point may be
+inserted or replaced; then, level by level, the states with an edit are joined with the
+edge that goes on with their next code point. States at a terminal node at the end of
+their word are neighbours. A level writes its states as a table, and the walk ends when
+none are left. A pair is walked once, from the shorter word, or from the one that has
+the lesser code point where they differ, and then told both ways.
 
 * The trie is compressed: chains without a branch are one edge with a longer label, so
   the number of levels is that of branches, not of letters.
@@ -131,7 +133,7 @@ def _pieces(batches):
 
 
 class Trie:
-    """The compressed trie of the last halves: ``edges`` (node, label, child, target, mask) and ``entries`` (w, bits, pos, node)."""
+    """The compressed trie of the last halves: ``edges`` (side, node, label, child, target, mask) and ``states`` (side, w, bits, pos, node), those without an edit."""
 
     def __init__(self, words: DataFrame):
         listed = halves(words)
@@ -145,8 +147,8 @@ class Trie:
         edge = each.select("side", F.col("s.a.node").alias("node"), F.col("s.b.node").alias("child"), F.expr("substring(w, s.a.depth + 1, s.b.depth - s.a.depth)").alias("label"), F.when(F.col("s.b.depth") == F.length("w"), F.col("w")).alias("target"), F.col("s.b.mask").alias("mask"))
         self.edges = save(edge.groupBy("side", "node", "child", "label").agg(F.max("target").alias("target"), F.bit_or("mask").alias("mask")), "op13-edges")
         enter = F.floor((F.length("w") + F.col("side")) / 2).cast("int")
-        entry = paths.withColumn("enter", enter).select("side", "w", "bits", F.filter("path", lambda p: p["depth"] == F.col("enter"))[0].alias("p"))
-        self.entries = entry.select("side", "w", "bits", F.col("p.depth").alias("pos"), F.col("p.node").alias("node"))
+        own = paths.withColumn("enter", enter).select("side", "w", "bits", F.explode(F.filter("path", lambda p: p["depth"] >= F.col("enter"))).alias("p"))
+        self.states = own.select("side", "w", "bits", F.col("p.depth").alias("pos"), F.col("p.node").alias("node"))
 
 
 def one_edit(a, b) -> F.Column:
@@ -159,39 +161,41 @@ def one_edit(a, b) -> F.Column:
     return F.when(F.abs(length - other) > 1, False).when(other <= 64, F.levenshtein(a, b, 1) == 1).otherwise((at > 0) & (replaced | longer | shorter))
 
 
-def _moves() -> F.Column:
-    """The states that the edge (label, child, target) leads to: an array of (pos, edits)."""
+def _edited() -> F.Column:
+    """The positions at which a word comes out of the edge (label, child, mask) after one edit on it: an array, often empty."""
     k, pos, left = F.length("label"), F.col("pos"), F.length("w") - F.col("pos")
-    exact = F.when(F.expr("substring(w, pos + 1, length(label)) = label"), F.array(F.struct((pos + k).alias("pos"), F.col("edits").alias("edits"))))
 
-    def edited(n) -> F.Column:
+    def to(n, also) -> F.Column:
         """``n`` code points of the word stand against the label."""
+        part = F.substring(F.col("w"), pos + 1, n)
         open_ = F.call_function("shiftright", F.col("mask"), F.get("bits", pos + n).cast("int")).bitwiseAND(1) == 1
-        near = one_edit(F.substring(F.col("w"), pos + 1, n), F.col("label"))
-        return F.when((n <= left) & open_ & near, F.array(F.struct((pos + n).alias("pos"), F.lit(1).alias("edits"))))
+        return F.when((n <= left) & open_ & also(part) & one_edit(part, F.col("label")), F.array(pos + n))
 
-    none = F.array().cast("array<struct<pos:int,edits:int>>")
-    every = [F.coalesce(x, none) for x in (exact, *(F.when(F.col("edits") == 0, edited(k + d)) for d in (-1, 0, 1)))]
-    return F.concat(*every)
+    none = F.array().cast("array<int>")
+    replaced, inserted = to(k, lambda part: part < F.col("label")), to(k - 1, lambda part: F.lit(True))
+    return F.concat(F.coalesce(replaced, none), F.coalesce(inserted, none))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """Rows (word, near) of all words of ``words`` (word) that differ by exactly one inserted, deleted or replaced code point, both ways."""
     trie = Trie(words)
-    states, found, level = trie.entries.withColumn("edits", F.lit(0)), [], 0
+    moved = trie.states.join(trie.edges, ["side", "node"]).select("side", "w", F.col("child").alias("node"), "target", F.explode_outer(_edited()).alias("pos"))
+    states, found, level = save(moved.where("pos is not null"), "op13-states0"), [], 0
+    following = trie.edges.select("side", "node", F.substring("label", 1, 1).alias("head"), "label", "child", F.col("target").alias("next"))
+    rest = lambda: F.substring(F.col("w"), F.col("pos") + 1, F.length("w"))
     while level == 0 or states.limit(1).count():
-        moved = states.join(trie.edges, ["side", "node"]).select("side", "w", F.col("child").alias("node"), "target", F.explode_outer(_moves()).alias("to"), "bits")
-        after = save(moved.where("to is not null").select("side", "w", "bits", "node", "target", "to.pos", "to.edits"), f"op13-states{level}")
-        left = F.length("w") - F.col("pos")
-        # At the end of the word with one edit; or its last code point alone is left, and is the one deleted.
-        found.append(after.where(F.col("target").isNotNull() & (F.col("edits") + left == 1)).select("side", "w", "target"))
-        states, level = after.where((F.col("edits") == 0) | (left > 0)).select("side", "w", "bits", "pos", "node", "edits"), level + 1
+        found.append(states.where("target is not null and pos = length(w)").select("side", "w", "target"))
+        going = states.where("pos < length(w)").withColumn("head", F.substring(rest(), 1, 1))
+        step = going.join(following, ["side", "node", "head"]).where(rest().startswith(F.col("label")))
+        level += 1
+        states = save(step.select("side", "w", F.col("child").alias("node"), F.col("next").alias("target"), (F.col("pos") + F.length("label")).alias("pos")), f"op13-states{level}")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
     back = lambda c: F.when(F.col("side") == 1, F.reverse(c)).otherwise(F.col(c))
-    pairs = pairs.select(back("w").alias("word"), back("target").alias("near")).distinct()
-    return pairs.where(one_edit(F.col("word"), F.col("near")))
+    both = pairs.select(back("w").alias("a"), back("target").alias("b")).where(one_edit(F.col("a"), F.col("b")))
+    told = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"))))
+    return both.select(told.alias("x")).select("x.*").distinct()
 
 
 def variants(docs: DataFrame, least: int = LEAST_LENGTH, times: int = LEAST_COUNT) -> DataFrame:
