@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from . import queries as base
 from .functions import fixed, naming
-from .operators import chains, degrees, entries, inference, lexical, linking, quality, traverse, trees, vectors
-from .operators.taxonomy import layered
+from .operators import chains, degrees, entries, inference, lexical, linking, quality, rag, traverse, trees, vectors
 from .plans import codegraph
 from .plans.codegraph import SPARSE_SQL, CodeGraph, from_tables, sparse
 from .queries import _CATEGORY, _DIAGNOSED, _INFER, _J, _LAYERED, _LT, _METRICS, _T, CG, SQL, Q, _chains_of, _first, _levels, _order_chains, query
@@ -366,11 +365,6 @@ _PART_ASK = "ask AS (SELECT p_partkey AS query_id, 'Where is the ' || p_name ||
 _METHOD_TEXT = ", txt AS (SELECT class_name || '.' || name AS id, 'Method ' || name || ' of ' || class_name AS text FROM cg_node)"
 
 
-def _method_texts(g: CodeGraph) -> DataFrame:
-    summary = F.concat(F.lit("Method "), "name", F.lit(" of "), "class_name")
-    return g.nodes.select(naming.method_key(F.col("class_name"), F.col("name")).alias("id"), summary.alias("text")).distinct()
-
-
 def _part_questions(spark, sf_dir) -> DataFrame:
     asked = F.concat(F.lit("Where is the "), "p_name", F.lit(" of "), "p_brand", F.lit(" used?"))
     return table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), asked.alias("text"))
@@ -379,19 +373,28 @@ def _part_questions(spark, sf_dir) -> DataFrame:
 @query(f"WITH {CG}{_METHOD_TEXT}, {_PART_ASK}, {_ranked_sql(5)} SELECT * FROM ra", graph=False)
 def question_methods(spark, sf_dir):
     """V6, V8: questions about every part whose key is divisible by 20; the five methods whose identifiers answer them best."""
-    return lexical.TextIndex(_method_texts(from_tables(spark, sf_dir))).search(_part_questions(spark, sf_dir), 5)
+    return rag.recall(from_tables(spark, sf_dir), _part_questions(spark, sf_dir), 5)
 
 
 _LAYER_ASK = "ly AS (SELECT DISTINCT class_name || '.' || n.name AS id, layer FROM cg_node n JOIN cg_layered l ON l.name = class_name), ask AS (SELECT DISTINCT layer AS query_id, layer || ' ring bolt gear' AS text FROM ly)"
 
 
-@query(f"{_LAYERED}{_METHOD_TEXT}, {_LAYER_ASK}, {_ranked_sql(30, 'JOIN ly ON ly.id = tf.id AND ly.layer = query_id')} SELECT query_id AS layer, id, score, rank FROM ra")
+@query(f"{_LAYERED}{_METHOD_TEXT}, {_LAYER_ASK}, {_ranked_sql(30, 'JOIN ly ON ly.id = tf.id AND ly.layer = query_id')} SELECT query_id AS layer, string_agg('- ' || id || ': ' || text, chr(10) ORDER BY rank) AS samples FROM ra JOIN (SELECT DISTINCT * FROM txt) USING (id) GROUP BY query_id")
 def describe_layers(g: CodeGraph):
     """Per layer the thirty methods of that layer that a question about it recalls."""
-    home = layered(g.classes).select(F.col("name").alias("class_name"), F.col("layer").alias("group"))
-    groups = g.nodes.join(home, "class_name").select(naming.method_key(F.col("class_name"), F.col("name")).alias("id"), "group").distinct()
-    asked = groups.select(F.col("group").alias("query_id"), "group", F.concat("group", F.lit(" ring bolt gear")).alias("text")).distinct()
-    return lexical.TextIndex(_method_texts(g)).search(asked, 30, groups).withColumnRenamed("query_id", "layer")
+    return rag.describe(g)
+
+
+@query(base._whole(_levels(6, False)).replace("SELECT origin, node, depth, e[2] AS type, e[1] AS via FROM r6", "SELECT origin, CAST(row_number() OVER (PARTITION BY origin ORDER BY depth, node) AS INT) AS n, '[' || depth || '] ' || e[1] || ' -> ' || node || ' (' || e[2] || ')' AS line FROM r6"))
+def trace_entries(g: CodeGraph):
+    """V9: the trace of every method of the controllers, six calls deep."""
+    return rag.trace(g, base._all(g))
+
+
+@query(f"WITH {CG}{_METHOD_TEXT}, {_PART_ASK}, {_ranked_sql(2)}, hit AS (SELECT query_id, id AS node, rank FROM ra), dn AS (WITH {base._levels(2, False).replace(base._FIRST, ', src AS (SELECT DISTINCT node AS origin FROM hit)')[2:]}), up AS (WITH {base._levels(2, True).replace(base._FIRST, ', src AS (SELECT DISTINCT node AS origin FROM hit)')[2:]}), z AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY depth, node) AS r FROM (SELECT origin, depth, node FROM dn UNION SELECT origin, depth, node FROM up)), body AS (SELECT origin, string_agg('  ' || depth || ' ' || node, chr(10) ORDER BY r) AS body FROM z WHERE r <= 30 GROUP BY 1) SELECT query_id, string_agg('# ' || node || coalesce(chr(10) || body, ''), chr(10) ORDER BY rank) AS context, array_to_string(list_sort(list(DISTINCT node)), ',') AS refs FROM hit LEFT JOIN body ON origin = node GROUP BY query_id", graph=False)
+def question_answers(spark, sf_dir):
+    """V8: questions about parts; the two methods each recalls best, with what lies two calls around these."""
+    return rag.answer(from_tables(spark, sf_dir), _part_questions(spark, sf_dir), 2)
 
 
 # --- documents as ordered files ------------------------------------------------------------------
