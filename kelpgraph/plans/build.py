@@ -31,17 +31,18 @@ def switched_on(name: str, default: bool = False) -> bool:
     return default if value is None else value.strip().lower() in ("1", "true", "yes", "on")
 
 
-#: The stored tables of a graph; methods and raw_calls keep the path they were read from.
+#: The stored tables of a graph; methods, raw_calls and code keep the path they were read from.
 STORED = {
     "classes": "name string, file_path string, layer string, is_mapper boolean, is_service boolean",
     "methods": "name string, class_name string, param_count int, file_path string",
     "raw_calls": "caller string, caller_class string, callee string, callee_class string, arg_count int, type string, file_path string",
+    "code": "name string, class_name string, param_count int, return_type string, start int, end int, code string, file_path string",
 }
 
 
 def tables_of(sources: DataFrame, rules: dict | None = None) -> dict[str, DataFrame]:
-    """classes, methods and raw_calls of sources (path, content); every row depends on its own file alone."""
-    parsed = extract.parse(sources)
+    """classes, methods, raw_calls and code of sources (path, content); every row depends on its own file alone."""
+    parsed = extract.parse(sources, with_code=True)
     flags = extract.annotated_classes(sources, rules)
     found = parsed["classes"].join(flags, ["path", "class_name"], "left")
     no, path = F.lit(False), F.col("path").alias("file_path")
@@ -49,6 +50,7 @@ def tables_of(sources: DataFrame, rules: dict | None = None) -> dict[str, DataFr
         "classes": found.select(F.col("class_name").alias("name"), path, naming.layer(F.col("path")).alias("layer"), F.coalesce("is_mapper", no).alias("is_mapper"), F.coalesce("is_service", no).alias("is_service")).distinct(),
         "methods": parsed["methods"].select("name", "class_name", "param_count", path).distinct(),
         "raw_calls": parsed["calls"].select("caller", "caller_class", "callee", "callee_class", "arg_count", "type", path),
+        "code": parsed["methods"].select("name", "class_name", "param_count", "return_type", "start", "end", "code", path),
     }
 
 
@@ -69,7 +71,7 @@ def build(spark: SparkSession, source_dir: str, out_dir: str, incremental: bool
 def build_from(sources: DataFrame, out_dir: str, incremental: bool = False, infer: bool = True, rules: dict | None = None) -> DataFrame:
     """Write the graph of ``sources`` (path, content, sha256) below ``out_dir``; returns the changed paths.
 
-    Its tables are classes, methods, raw_calls, calls and inferred.
+    Its tables are classes, methods, raw_calls, code (the methods' text and offsets), calls and inferred.
 
     An incremental run parses the files that are new or changed, keeps the rows of the
     unchanged ones, drops those of removed files, and links anew only the callers that

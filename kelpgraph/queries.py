@@ -586,10 +586,10 @@ def mermaid_call_chain_every(g: CodeGraph):
     return trees.mermaid_calls(_first_of_trees(g))
 
 
-@query(_FIRST + " SELECT origin AS node, (SELECT count(*) FROM cg_edge WHERE s = origin) AS downstream, (SELECT count(*) FROM cg_edge WHERE d = origin) AS upstream FROM src")
+@query(_EVERY + " SELECT origin AS node, (SELECT count(*) FROM cg_edge WHERE s = origin) AS downstream, (SELECT count(*) FROM cg_edge WHERE d = origin) AS upstream FROM src")
 def focus_neighbours(g: CodeGraph):
     """G12, G13."""
-    return traverse.neighbours(traverse.keyed(g.known), _first(g).select("node"))
+    return traverse.neighbours(traverse.keyed(g.known), _all(g).select("node"))
 
 
 # --- chains ------------------------------------------------------------------

@@ -112,22 +112,22 @@ def package_nodes(g: CodeGraph):
     return trees.package_nodes(g.classes, g.nodes)
 
 
-@query(f", x AS (WITH {_levels(2, False)[2:]}) SELECT origin AS start_method, node AS end_method, depth FROM x")
+@query(base._whole(f", x AS (WITH {_levels(fixed.DEPTH, False)[2:]}) SELECT origin AS start_method, node AS end_method, depth FROM x"))
 def call_paths(g: CodeGraph):
-    """From the first method of each controller, two calls deep."""
-    return trees.call_paths(traverse.reach(traverse.keyed(g.known), _first(g), 2))
+    """From every method of each controller, to the default depth."""
+    return trees.call_paths(traverse.reach(traverse.keyed(g.known), base._all(g), fixed.DEPTH))
 
 
-@query(f", x AS (WITH {_levels(2, False)[2:]}) SELECT origin, via AS source, node AS target, type, type <> 'internal' AS dashed FROM x")
+@query(base._whole(f", x AS (WITH {_levels(2, False)[2:]}) SELECT origin, via AS source, node AS target, type, type <> 'internal' AS dashed FROM x"))
 def focus_view_edges(g: CodeGraph):
-    """The edges of a drawing around the first method of each controller."""
-    return traverse.view(traverse.reach(traverse.keyed(g.known), _first(g), 2), g.classes)[1]
+    """The edges of a drawing around every method of each controller."""
+    return traverse.view(traverse.reach(traverse.keyed(g.known), base._all(g), 2), g.classes)[1]
 
 
-@query(_LAYERED + f", x AS (WITH {_levels(2, True)[2:]}), e AS (SELECT origin, node, min(depth) AS depth FROM (SELECT origin, node, depth FROM x UNION ALL SELECT origin, origin, 0 FROM x) GROUP BY 1, 2) SELECT origin, node, CAST(depth AS INT) AS depth, coalesce(layer, 'other') AS layer FROM e LEFT JOIN cg_layered ON name = regexp_replace(node, '\\.[^.]*$', '')")
+@query(_LAYERED + base._whole(f", x AS (WITH {_levels(2, True)[2:]})") + f", e AS (SELECT origin, node, min(depth) AS depth FROM (SELECT origin, node, depth FROM x UNION ALL SELECT origin, origin, 0 FROM x) GROUP BY 1, 2) SELECT origin, node, CAST(depth AS INT) AS depth, coalesce(layer, 'other') AS layer FROM e LEFT JOIN cg_layered ON name = regexp_replace(node, '\\.[^.]*$', '')")
 def focus_view_nodes(g: CodeGraph):
-    """The nodes of the drawing of what calls the first method of each controller."""
-    return traverse.view(traverse.reach(traverse.keyed(g.known), _first(g), 2, up=True), g.classes, up=True)[0]
+    """The nodes of the drawing of what calls every method of each controller."""
+    return traverse.view(traverse.reach(traverse.keyed(g.known), base._all(g), 2, up=True), g.classes, up=True)[0]
 
 
 @query(_T + """ SELECT root, '@startuml' || chr(10) || string_agg(CASE WHEN depth > 0 THEN regexp_replace(path[-2], '[^A-Za-z0-9_]', '_', 'g') || ' --> ' || regexp_replace(node, '[^A-Za-z0-9_]', '_', 'g') || chr(10) ELSE '' END
@@ -498,3 +498,7 @@ Q |= {
         base.link_modes, base.calls_table, graph_integrity, base.structure_diagnostics, base.layer_violations,
     )
 }
+
+# The whole jobs also under the plain names.
+for _name in ("downstream", "upstream", "data_flow_path", "vector_topk", "vector_topk_filtered", "rag_context"):
+    Q[_name], SQL[_name] = Q[f"{_name}_every"], SQL[f"{_name}_every"]
