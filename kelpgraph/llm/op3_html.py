@@ -13,6 +13,11 @@ is left out as long as the density rule finds the text elsewhere. A page whose
 text all lies below marked elements had a layout that was named after one of its
 parts, and the mark of the element around that text is dropped.
 
+Reader comments need no class name to be known: a heading that only names or counts
+them takes what follows it in its element, up to the next heading of its rank; two or
+more like elements at the end of their parent that each begin with a line such as a
+person's name or a time are posts; and text behind a page's only article is none of it.
+
 Every scan is linear in the page. Texts pass through the tasks page by page; a
 page is bounded by its own size.
 """
@@ -62,6 +67,18 @@ MARKED = frozenset(
 #: Class names that begin so speak of what a layout has or lacks, not of what the element is.
 MODIFIERS = frozenset("has with no not without".split())
 
+HEADINGS = frozenset("h2 h3 h4 h5 h6 legend summary".split())
+#: A heading that says nothing but that comments follow, or how many. Words for comments in the languages of the corpus.
+_COMMENTS = re.compile(
+    r"(?:\d+ |all |reader |readers' |user |leave an? |add an? |post an? |join the |alle |todos los |tous les |les )*"
+    r"(?:comments?|repl(?:y|ies)|responses?|discussion|kommentare?|antworten|leserkommentare|diskussion|commentaires?|réponses?|réactions|comentarios?|respuestas?|opiniones)"
+    r"(?: (?:below|from readers|of readers|des lecteurs|de los lectores|der leser))?(?: ?[(\[]?\d+[)\]]?)?[:.!]?",
+    re.I,
+)
+#: A line that begins a post: up to four capitalised words, or a time or date, with nothing of a sentence.
+_NAMED = re.compile(r"(?:[^\W\d_a-zß-ÿ][\w'’.-]*+,? ?){1,4}(?:(?:wrote|says|said|schrieb|a écrit|escribió|dice)\b.{0,20})?:?")
+_WHEN = re.compile(r"\d{1,2}:\d{2}|\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}|\d+ (?:minutes?|hours?|days?|weeks?|months?|years?) ago")
+
 #: Possessive throughout; a quote opens a value only after an equals sign.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*+)(?P<rest>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)(?P<shut>>|\Z)|(?P<text>[^<]+|<)", re.S)
 _ATTR = re.compile(r"([A-Za-z_:-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -92,6 +109,9 @@ class Block(NamedTuple):
     linked: int
     article: int
     mark: int
+    tag: str = ""
+    box: int = 0  # the element it stands in (of a paragraph or heading, the one around that) and the one around it; 0 is the page
+    outer: int = 0
 
 
 class _Blocks:
@@ -99,7 +119,9 @@ class _Blocks:
 
     def __init__(self) -> None:
         self.found: list[Block] = []
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, outside, article, mark
+        self.open: list[tuple[str, bool, int, int, int]] = []  # tag, outside, article, mark, number
+        self.tags = [""]  # of every element
+        self.ends: dict[int, int] = {}  # the number of blocks when an element ended
         self.count: Counter[str] = Counter()
         self.around = [0]  # the mark around each mark
         self.wrapper: set[int] = set()  # marks that an article or main element lies in
@@ -109,18 +131,22 @@ class _Blocks:
         self.articles = 0
 
     def state(self) -> tuple[bool, int, int]:
-        return self.open[-1][1:] if self.open else (False, 0, 0)
+        return self.open[-1][1:4] if self.open else (False, 0, 0)
 
     def end_block(self) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split()) if self.parts else ""
         if text:
             outside, article, mark = self.state()
-            self.found.append(Block(text, outside, self.linked, article, mark))
+            tag = self.open[-1][0] if self.open else ""
+            at = [0, 0, *(x[4] for x in self.open[-3:])]
+            box, outer = (at[-2], at[-3]) if tag == "p" or tag in HEADINGS or tag == "h1" else (at[-1], at[-2])
+            self.found.append(Block(text, outside, self.linked, article, mark, tag, box, outer))
         self.parts, self.linked = [], 0
 
     def close_to(self, depth: int) -> None:
         for x in self.open[depth:]:
             self.count[x[0]] -= 1
+            self.ends[x[4]] = len(self.found)
         del self.open[depth:]
 
     def start(self, tag: str, rest: str) -> None:
@@ -147,7 +173,8 @@ class _Blocks:
             if marked:
                 self.around.append(mark)
                 mark = len(self.around) - 1
-            self.open.append((tag, outside or apart, article, mark))
+            self.open.append((tag, outside or apart, article, mark, len(self.tags)))
+            self.tags.append(tag)
             self.count[tag] += 1
 
     def imply(self, tag: str) -> None:
@@ -197,7 +224,7 @@ def parse(page: str) -> _Blocks:
 
 def first_pass(block: Block) -> bool | None:
     """The label of a block by its own text, marks aside; None is undecided."""
-    text, outside, linked, article, _ = block
+    text, outside, linked, article = block[:4]
     words = _WORD.findall(text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if outside or linked > LINKS_HIGH * len(text):
@@ -234,11 +261,54 @@ def held_marks(page: _Blocks, label: list[bool | None]) -> list[bool]:
     return [b.mark > 0 and b.mark not in dropped for b in page.found]
 
 
+def comments(page: _Blocks, label: list[bool | None]) -> list[bool]:
+    """Which blocks are reader comments by a heading, by their likeness or by their place; ``label`` is of the first pass."""
+    found, out = page.found, [False] * len(page.found)
+    good = [x is True for x in label]
+    begun = good.index(True) if any(good) else len(found)
+    until, rank = 0, ""
+    for i, b in enumerate(found):
+        if i < until and not (b.tag in HEADINGS and b.tag <= rank):
+            out[i] = True
+            continue
+        until = 0
+        if i > begun and b.tag in HEADINGS and len(b.text) < LENGTH_LOW and _COMMENTS.fullmatch(b.text):
+            out[i], until, rank = True, page.ends.get(b.box, len(found)), b.tag
+    # Posts: runs of neighbouring elements of one parent, to its end.
+    runs: dict[int, list[list[int]]] = {}
+    for i, b in enumerate(found):
+        if b.box and page.tags[b.box] in ("div", "li", "section", "dd", "blockquote"):
+            boxes = runs.setdefault(b.outer, [])
+            if not boxes or found[boxes[-1][0]].box != b.box:
+                boxes.append([])
+            boxes[-1].append(i)
+    for outer, boxes in runs.items():
+        posts = []
+        for box in reversed(boxes):
+            name = found[box[0]]
+            spoken = any(label[i] is not False and len(found[i].text) > len(name.text) for i in box[1:])
+            told = len(name.text) <= 60 and name.tag not in HEADINGS and (_NAMED.fullmatch(name.text) or _WHEN.search(name.text))
+            if not (len(box) > 1 and told and spoken and page.tags[name.box] == page.tags[found[boxes[-1][0]].box]):
+                break
+            posts.append(box)
+        if len(posts) > 1 and posts[0][-1] + 1 == page.ends.get(outer, len(found)) and posts[-1][0] > begun:
+            for i in range(posts[-1][0], posts[0][-1] + 1):
+                out[i] = True
+    inside = [i for i, b in enumerate(found) if b.article and good[i] and not out[i]]
+    if page.articles == 1 and inside:
+        last = max(i for i, b in enumerate(found) if b.article)
+        behind = [i for i in range(last + 1, len(found)) if good[i]]
+        size = lambda at: sum(len(found[i].text) for i in at)
+        if size(inside) >= LENGTH_HIGH and 4 * size(inside) >= size(behind):
+            out[last + 1 :] = [True] * (len(found) - last - 1)
+    return out
+
+
 def classify(page: _Blocks) -> list[bool]:
     """Which blocks are main text: the two passes."""
     found = page.found
     label = [first_pass(b) for b in found]
-    marked = held_marks(page, label)
+    marked = [a or b for a, b in zip(held_marks(page, label), comments(page, label))]
     label = [False if m else x for m, x in zip(marked, label)]
     # For each block its nearest decided neighbours on either side, as (distance, label).
     before: list[tuple[int, bool] | None] = [None] * len(found)

@@ -196,6 +196,39 @@ def test_a_megabyte_of_broken_markup(unit):
     assert time.time() - began < 15
 
 
+_ARTICLE = "<p>The house of the man is in the middle of the town and it was built for a king who had not been there.</p><p>It was the best of all the houses in the town, and the people of the town were proud of it.</p>"
+_SAID = "<div><b>Ann</b><p>I do not know that this is the case, and it is not the first of the texts that I have read on it.</p></div><div><b>Bob Smith</b><p>That is what I said to you in the comments of the other article, and it was not read by you.</p></div>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><article>{_ARTICLE}</article><section><h2>Comments</h2>{_SAID}</section><footer>x</footer>",
+    f"<body><article>{_ARTICLE}<h3>2 comments</h3>{_SAID}</article>",
+    f"<body><article>{_ARTICLE}{_SAID}</article>",
+    f"<body><div>{_ARTICLE}<div><h3>Kommentare (2)</h3><ul><li>Ann: Das ist nicht der Fall, und es ist auch nicht der erste der Texte, die ich dazu gelesen habe.</li></ul></div></div>",
+    f"<body><article>{_ARTICLE}</article>{_SAID}",
+    f"<body><main><article>{_ARTICLE}</article><div>{_SAID}</div></main></body>",
+    f"<body><article>{_ARTICLE}<section><h4>Leave a reply</h4>{_SAID}</section></article>",
+])
+def test_comments_without_class_names(page):
+    from kelpgraph.llm.op3_html import main_text
+
+    assert main_text(page) == re.sub("<[^>]+>", " ", _ARTICLE).replace("  ", " ").strip()
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><article><h1>Comments</h1>{_ARTICLE}</article>",
+    f"<body><article>{_ARTICLE}<h2>Comments on the plan of the town</h2>{_ARTICLE}</article>",
+    f"<body><article>{_ARTICLE}<div><b>Step one of the plan</b>{_ARTICLE}</div><div><b>Step two of it</b>{_ARTICLE}</div></article>",
+    f"<body><article>{_ARTICLE}<section><h3>Ann</h3>{_ARTICLE}</section><section><h3>Bob</h3>{_ARTICLE}</section></article>",
+    f"<body><article><p>News of the day</p></article><div>{_ARTICLE}</div>",
+])
+def test_what_only_looks_like_comments_stays(page):
+    from kelpgraph.llm.op3_html import main_text
+
+    want = re.sub("<[^>]+>", " ", page.split("<body>")[1])
+    assert main_text(page).replace("News of the day ", "") == " ".join(want.split()).replace("News of the day ", "")
+
+
 def test_main_text_query(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in queries.queries()["op3_main_text"](spark, SF).collect()}
