@@ -169,7 +169,7 @@ def _edited() -> F.Column:
         """``n`` code points of the word stand against the label."""
         part = F.substring(F.col("w"), pos + 1, n)
         open_ = F.call_function("shiftright", F.col("mask"), F.get("bits", pos + n).cast("int")).bitwiseAND(1) == 1
-        return F.when((n <= left) & open_ & also(part) & one_edit(part, F.col("label")), F.array(pos + n))
+        return F.when((n <= left) & open_ & also(part) & ((k == 1) | one_edit(part, F.col("label"))), F.array(pos + n))
 
     none = F.array().cast("array<int>")
     replaced, inserted = to(k, lambda part: part < F.col("label")), to(k - 1, lambda part: F.lit(True))
@@ -180,15 +180,17 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """Rows (word, near) of all words of ``words`` (word) that differ by exactly one inserted, deleted or replaced code point, both ways."""
     trie = Trie(words)
     moved = trie.states.join(trie.edges, ["side", "node"]).select("side", "w", F.col("child").alias("node"), "target", F.explode_outer(_edited()).alias("pos"))
-    states, found, level = save(moved.where("pos is not null"), "op13-states0"), [], 0
+    states, found, level = moved.where("pos is not null"), [], 0
     following = trie.edges.select("side", "node", F.substring("label", 1, 1).alias("head"), "label", "child", F.col("target").alias("next"))
-    rest = lambda: F.substring(F.col("w"), F.col("pos") + 1, F.length("w"))
+    ended, rest = F.col("pos") == F.length("w"), F.substring(F.col("w"), F.col("pos") + 1, F.length("w"))
     while level == 0 or states.limit(1).count():
-        found.append(states.where("target is not null and pos = length(w)").select("side", "w", "target"))
-        going = states.where("pos < length(w)").withColumn("head", F.substring(rest(), 1, 1))
-        step = going.join(following, ["side", "node", "head"]).where(rest().startswith(F.col("label")))
-        level += 1
-        states = save(step.select("side", "w", F.col("child").alias("node"), F.col("next").alias("target"), (F.col("pos") + F.length("label")).alias("pos")), f"op13-states{level}")
+        # States at the end of their word have no next code point, and so no edge; they stay if they are neighbours.
+        step = states.withColumn("head", F.substring(rest, 1, 1)).join(following, ["side", "node", "head"], "left")
+        step = step.where(F.when(ended, F.col("target").isNotNull()).otherwise(rest.startswith(F.col("label"))))
+        on = lambda c, then: F.when(ended, F.col(c)).otherwise(then).alias(c)
+        after = save(step.select("side", "w", on("node", F.col("child")), on("target", F.col("next")), on("pos", F.col("pos") + F.length("label")), ended.alias("done")), f"op13-states{level}")
+        found.append(after.where("done").select("side", "w", "target"))
+        states, level = after.where("not done").drop("done"), level + 1
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
