@@ -516,9 +516,9 @@ def reachable_methods(g: CodeGraph):
 
 
 _R = _ENTRY + ", x0 AS (SELECT concat_ws('.', class_name, name) AS node FROM entry)"
-for _i in range(1, 5):
+for _i in range(1, fixed.DEPTH + 1):
     _R += f", x{_i} AS (SELECT node FROM x{_i - 1} UNION SELECT d FROM cg_edge JOIN x{_i - 1} ON s = node)"
-SQL["reachable_methods"] = f"WITH {CG}{_R} SELECT node FROM x4"
+SQL["reachable_methods"] = f"WITH {CG}{_R} SELECT node FROM x{fixed.DEPTH}"
 
 
 def _goal(g: CodeGraph) -> str:
@@ -644,7 +644,7 @@ _METRICS = f"""{_R.replace('WITH', '')}{_CATEGORY}{_IN}{_CHAIN}, bad AS ({_BAD})
 crit AS (SELECT DISTINCT ac || '.' || am AS node FROM hop h WHERE name IN (SELECT name FROM judged)),
 cyc AS (SELECT DISTINCT a.caller_class, a.callee_class FROM cg_known a JOIN cg_known b ON a.caller_class = b.callee_class AND a.callee_class = b.caller_class WHERE a.caller_class < a.callee_class),
 iso AS (SELECT * FROM cg_node n WHERE NOT EXISTS (SELECT 1 FROM cg_calls c WHERE c.caller = n.name AND c.caller_class = n.class_name) AND NOT EXISTS (SELECT 1 FROM cg_known c WHERE c.callee = n.name AND c.callee_class = n.class_name)),
-c AS (SELECT (SELECT count(*) FROM cg_calls) AS calls, (SELECT count(*) FROM cg_node) AS methods, (SELECT count(*) FROM cg_unknown) AS unk, (SELECT count(*) FROM x4) AS reached, (SELECT count(*) FROM crit) AS crit, (SELECT count(*) FROM per) AS chains)
+c AS (SELECT (SELECT count(*) FROM cg_calls) AS calls, (SELECT count(*) FROM cg_node) AS methods, (SELECT count(*) FROM cg_unknown) AS unk, (SELECT count(*) FROM x10) AS reached, (SELECT count(*) FROM crit) AS crit, (SELECT count(*) FROM per) AS chains)
 SELECT metric, round(coalesce(value, 0)::DOUBLE, 6) AS value FROM (
 SELECT 'broken_chain_rate' AS metric, unk / calls AS value FROM c UNION ALL
 SELECT 'business_broken_chain_rate', (SELECT count(*) FROM cat WHERE category <> 'jdk_core') / calls FROM c UNION ALL
@@ -653,7 +653,7 @@ SELECT 'key_chain_hit_rate', (SELECT count(*) FROM per WHERE "full") / chains FR
 SELECT 'critical_chain_retention', (SELECT sum(ok) / sum(hops) FROM per) UNION ALL
 SELECT 'critical_hop_dropout', 1 - (SELECT sum(ok) / sum(hops) FROM per) UNION ALL
 SELECT 'util_unknown_ratio', (SELECT count(*) FROM cg_unknown WHERE regexp_matches(lower(caller_class), 'util|helper|common')) / unk FROM c UNION ALL
-SELECT 'critical_chain_coverage', (SELECT count(*) FROM crit WHERE node IN (SELECT node FROM x4)) / crit FROM c UNION ALL
+SELECT 'critical_chain_coverage', (SELECT count(*) FROM crit WHERE node IN (SELECT node FROM x10)) / crit FROM c UNION ALL
 SELECT 'critical_chain_reach_share', crit / reached FROM c UNION ALL
 SELECT 'critical_definition_presence', (SELECT count(*) FROM crit WHERE node IN (SELECT class_name || '.' || name FROM cg_node)) / crit FROM c UNION ALL
 SELECT 'entry_confidence_proxy', (SELECT count(*) FILTER (entry_confidence = 'high') / count(*) FROM entry) UNION ALL
