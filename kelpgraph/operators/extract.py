@@ -26,10 +26,10 @@ from . import scopes
 
 _STRING = r'"(?:\\.|[^"\\])*+"|\'(?:\\.|[^\'\\])*+\''
 _COMMENT = r"//[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
-#: Comments, text blocks, strings and characters, words, numbers, white space, anything else.
+#: Runs of white space and comments, text blocks, strings and characters, words, numbers, anything else.
 PIECE = (
-    r'//[^\n]*+|/\*[\s\S]*?\*/|"""[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+"""|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|\'[^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+\''
-    r"|[A-Za-z_$][A-Za-z0-9_$]*+|[0-9][A-Za-z0-9_.]*+|\s++|[\s\S]"
+    r'(?:\s++|//[^\n]*+|/\*[\s\S]*?\*/){1,64}+|"""[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+"""|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|\'[^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+\''
+    r"|[A-Za-z_$][A-Za-z0-9_$]*+|[0-9][A-Za-z0-9_.]*+|[\s\S]"
 )
 _GENERIC = r"<[A-Za-z0-9_.,?&\s\[\]]*>"
 
@@ -90,7 +90,8 @@ def parse(files: DataFrame, with_code: bool = False) -> dict[str, DataFrame]:
     to read. ``with_code`` adds the methods' text. Null and empty sources have no
     rows; bytes that aren't UTF-8 count as one replacement character each run.
     """
-    found = save(pieces(files).mapInArrow(lambda batches: scopes.follow(batches, with_code), scopes.FIELDS), "scopes")
+    told = pieces(files).select(F.when(F.col("i") == 0, F.col("path")).alias("path"), "i", "t")  # a file's name goes to the task once
+    found = save(told.mapInArrow(lambda batches: scopes.follow(batches, with_code), scopes.FIELDS), "scopes")
     of = lambda kind: found.where(F.col("kind") == kind)
     return {
         "classes": of("class").select("path", "class_name", F.col("type").alias("kind")),

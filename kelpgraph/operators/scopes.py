@@ -224,7 +224,7 @@ class Scopes:
 
 
 def follow(batches, with_code: bool):
-    """Rows of ``FIELDS`` from Arrow batches of (path, i, t); a file may go over any number of them."""
+    """Rows of ``FIELDS`` from Arrow batches of (path, i, t); a file may go over any number of them, and its first row says the path."""
     import pyarrow as pa
 
     types = {"string": pa.string(), "int": pa.int32()}
@@ -232,11 +232,12 @@ def follow(batches, with_code: bool):
     machine = None
     for batch in batches:
         rows = []
-        for path, i, t in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        paths = batch.column(0)
+        for k, (i, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
             if i == 0:
                 if machine is not None:
                     rows.extend(machine.found())
-                machine = Scopes(path, with_code)
+                machine = Scopes(paths[k].as_py(), with_code)
             machine.feed(t)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), schema)], schema=schema)
