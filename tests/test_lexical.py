@@ -61,3 +61,20 @@ def test_empty_tables(spark):
     asked = spark.createDataFrame([(1, "a")], "query_id long, text string")
     assert lexical.TextIndex(rows.limit(0)).search(asked, 3).count() == 0
     assert lexical.TextIndex(rows).search(asked.limit(0), 3).count() == 0
+
+
+def test_many_cells(spark, monkeypatch):
+    """Postings and questions over several cells: no row a candidate is written, and the answers stay."""
+    monkeypatch.setattr(lexical, "CELL_POSTINGS", 300)
+    monkeypatch.setattr(lexical, "CELL_TERMS", 40)
+    g = random.Random(4)
+    rows = [(f"ä{i}" if i % 9 == 0 else f"k{i}", "the " + " ".join(f"w{chr(97 + min(25, int(g.expovariate(1 / 6))))}" for _ in range(g.randint(1, 9)))) for i in range(400)]
+    rows += [(f"same{i}", "the twin text") for i in range(40)]
+    asked = [(i, f"the wa w{chr(97 + i % 26)}{' twin' if i % 3 == 0 else ''}") for i in range(50)]
+    saved = []
+    real = lexical.save
+    monkeypatch.setattr(lexical, "save", lambda df, name: saved.append(real(df, name)) or saved[-1])
+    got = lexical.TextIndex(spark.createDataFrame(rows, "id string, text string")).search(spark.createDataFrame(asked, "query_id long, text string"), 6)
+    assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in got.collect()) == brute(rows, asked, 6)
+    postings = sum(len(set(parts(t))) for _, t in rows)
+    assert max(df.count() for df in saved) <= max(postings, 50 * 6 * 10)
