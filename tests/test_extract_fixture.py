@@ -100,3 +100,28 @@ def test_broken_and_empty_sources(spark):
     assert out["methods"].where("path = '9'").count() == 1 and out["classes"].where("path in ('1', '2', '3', '6')").count() == 0
     bad = spark.sql("SELECT 'x' AS path, cast(concat(cast('class A { void m() { a.b(); } } // ' AS binary), unhex('FF')) AS string) AS content")
     assert extract.parse(bad)["calls"].count() == 1
+
+
+def test_a_large_file_is_held_in_little_memory():
+    """A file of 40 000 calls: its rows come in parts, and a token costs some dozen bytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    calls = 40_000
+    each = ["    ", "f", ".", "go", "(", "1", ",", " ", "2", ")", ";", "\n"]
+    text = ["class", " ", "Big", " ", "{", "void", " ", "run", "(", ")", "{"] + each * calls + ["}", "}"]
+
+    def batches():
+        for at in range(0, len(text), 1000):
+            part = text[at : at + 1000]
+            yield pa.RecordBatch.from_arrays([pa.array(["Big.java"] * len(part)), pa.array(range(at, at + len(part)), pa.int32()), pa.array(part)], names=["path", "i", "t"])
+
+    tracemalloc.start()
+    rows, parts = 0, 0
+    for b in scopes.follow(batches(), True):
+        rows, parts = rows + len(b), parts + 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == calls + 2 and parts > 5
+    assert peak < 60 * len(text)
