@@ -19,12 +19,12 @@ from .taxonomy import layered
 
 def _lines(column: str, order: list[str]):
     """The lines of a group in order, joined."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(column).alias("line")))), lambda x: x["line"]), "\n")
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(column).alias("line")))), lambda x: x["line"]), "\n")
 
 
 def layer_tree(classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows (layer, priority, class_name, methods, n_methods) of classes in a layer; methods comma-joined in order."""
-    per = nodes.groupBy("class_name").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("methods"), F.count_distinct("name").alias("n_methods"))
+    per = nodes.groupBy("class_name").agg(F.sort_array(F.collect_set("name")).alias("m")).select("class_name", F.array_join("m", ",").alias("methods"), F.size("m").cast("long").alias("n_methods"))
     known = layered(classes).where("layer <> 'other'").select("layer", "priority", F.col("name").alias("class_name"))
     return known.join(per, "class_name", "left").select("layer", "priority", "class_name", F.coalesce("methods", F.lit("")).alias("methods"), F.coalesce("n_methods", F.lit(0)).alias("n_methods"))
 
@@ -51,7 +51,7 @@ def package_tree(classes: DataFrame) -> DataFrame:
 
 def mermaid_layers(classes: DataFrame) -> DataFrame:
     """One text; a subgraph per layer, and between neighbouring layers an edge from first class to first class."""
-    per = layered(classes).where("layer <> 'other'").groupBy("layer", "priority").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    per = layered(classes).where("layer <> 'other'").groupBy("layer", "priority").agg(F.sort_array(F.collect_list("name")).alias("names"))
     ident = lambda x: F.regexp_replace(x, r"[^A-Za-z0-9_]", "_")
     body = F.concat(F.lit("  subgraph "), "layer", F.lit("\n"), F.array_join(F.transform("names", lambda x: F.concat(F.lit("    "), ident(x), F.lit('["'), x, F.lit('"]'))), "\n"), F.lit("\n  end"))
     first = ident(F.get("names", 0))
@@ -65,12 +65,12 @@ def plantuml_layers(classes: DataFrame) -> DataFrame:
     rows = layered(classes).where("layer <> 'other'").select("layer", "priority", "name")
     order = rows.select("layer", "priority").distinct().withColumn("n", F.row_number().over(Window.orderBy("priority", "layer")))
     placed = rows.join(order, ["layer", "priority"])
-    box = placed.groupBy("n", "layer").agg(F.array_join(F.transform(F.array_sort(F.collect_list("name")), lambda x: F.concat(F.lit("  class "), F.regexp_replace(x, r"[^A-Za-z0-9_]", "_"))), "\n").alias("c"))
+    box = placed.groupBy("n", "layer").agg(F.array_join(F.transform(F.sort_array(F.collect_list("name")), lambda x: F.concat(F.lit("  class "), F.regexp_replace(x, r"[^A-Za-z0-9_]", "_"))), "\n").alias("c"))
     a, b = placed.select("n", F.col("name").alias("a")), placed.select((F.col("n") - 1).alias("n"), F.col("name").alias("b"))
     line = F.concat(F.regexp_replace("a", r"[^A-Za-z0-9_]", "_"), F.lit(" --> "), F.regexp_replace("b", r"[^A-Za-z0-9_]", "_"))
     lines = box.select(F.lit(0).alias("k"), F.col("n").alias("x"), F.lit("").alias("y"), F.concat(F.lit('package "'), "layer", F.lit('" {\n'), "c", F.lit("\n}")).alias("line"))
     lines = lines.unionByName(a.join(b, "n").select(F.lit(1).alias("k"), F.col("n").alias("x"), line.alias("y"), line.alias("line")))
-    return lines.agg(F.concat(F.lit("@startuml\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "x", "y", "line"))), lambda s: s["line"]), "\n"), F.lit("\n@enduml")).alias("text"))
+    return lines.agg(F.concat(F.lit("@startuml\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "x", "y", "line"))), lambda s: s["line"]), "\n"), F.lit("\n@enduml")).alias("text"))
 
 
 def mermaid_calls(tree: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def mermaid_calls(tree: DataFrame) -> DataFrame:
 
 def _layer_lines(classes: DataFrame, nodes: DataFrame, preview: int) -> DataFrame:
     """Rows (layer, priority, class_name, line) of the classes of every layer."""
-    per = nodes.groupBy("class_name").agg(F.array_sort(F.collect_set("name")).alias("m"))
+    per = nodes.groupBy("class_name").agg(F.sort_array(F.collect_set("name")).alias("m"))
     more = F.when(F.size("m") > preview, F.concat(F.lit(" (+"), (F.size("m") - preview).cast("string"), F.lit(")"))).otherwise("")
     known = layered(classes).select("layer", "priority", F.col("name").alias("class_name")).join(per, "class_name", "left")
     line = F.concat(F.lit("- "), "class_name", F.lit(": "), F.coalesce(F.array_join(F.slice("m", 1, preview), ", "), F.lit("")), F.coalesce(more, F.lit("")))
