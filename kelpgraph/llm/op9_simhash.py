@@ -16,8 +16,8 @@ all bits) is split by the bits in which its own members differ most, until each
 
 from __future__ import annotations
 
-import math
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -30,8 +30,9 @@ from .common import save
 from .components import connected_components
 
 RADIUS = 2
-BALL = 1 + 64 + 64 * 63 // 2
-VARIANTS = 2_000_000
+#: Variants that a task holds at once, and bits that it spells out at once.
+VARIANTS = 500_000
+SPELL_BITS = 8
 #: Fingerprints of one group, and bits by which a larger one is split at once.
 GROUP = 20_000
 SPLIT_BITS = 4
@@ -74,37 +75,54 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     return keyed.mapInArrow(rows, "doc_id long, dk long, fp long")
 
 
-def _variants(current: np.ndarray, left: np.ndarray, free: list[int]):
-    """All values that ``current`` reaches with at most ``left`` flips among ``free`` bits, and their origins."""
-    one = np.uint64(1) << np.array(free, np.uint64)
-    a, b = np.triu_indices(len(free), 1)
-    masks = (np.zeros(1, np.uint64), np.concatenate([np.zeros(1, np.uint64), one]), np.concatenate([np.zeros(1, np.uint64), one, one[a] ^ one[b]]))
-    for flips, mask in enumerate(masks):
-        at = np.flatnonzero(left == flips)
-        yield (current[at, None] ^ mask).ravel(), np.repeat(at, len(mask))
-
-
-def _collide(current: np.ndarray, left: np.ndarray, free: list[int], limit: int):
-    """Pairs of rows with a common variant; bits are fixed one by one until the variants fit ``limit``."""
-    n = len(free)
-    count = int(((left >= 1) * n + (left == 2) * (n * (n - 1) // 2) + 1).sum())
-    if count > limit and n:
-        bit = np.uint64(free[0])
-        for value in (0, 1):
-            rest = left - (((current >> bit) & np.uint64(1)) != value)
-            own = np.flatnonzero(rest >= 0)
-            if len(own) > 1:
-                fixed = (current[own] & ~(np.uint64(1) << bit)) | (np.uint64(value) << bit)
-                for a, b in _collide(fixed, rest[own], free[1:], limit):
-                    yield own[a], own[b]
+def _flips(bits: list[int]) -> tuple[np.ndarray, ...]:
+    """The masks of at most 0, 1 and 2 flips among ``bits``."""
+    one = np.uint64(1) << np.array(bits, np.uint64)
+    a, b = np.triu_indices(len(bits), 1)
+    none = np.zeros(1, np.uint64)
+    return none, np.concatenate([none, one]), np.concatenate([none, one, one[a] ^ one[b]])
+
+
+def _shared(current: np.ndarray, fixed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose value in the bits ``fixed`` another row has too, in order of that value, and where each value begins."""
+    key = current & np.uint64(fixed)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.concatenate([np.ones(1, bool), key[1:] != key[:-1]])
+    lone = new & np.append(new[1:], True)
+    return order[~lone], np.flatnonzero(new[~lone])
+
+
+def _collide(current: np.ndarray, left: np.ndarray, origin: np.ndarray, fixed: int, free: list[int], limit: int):
+    """Pairs of origins with a common variant: all values that ``current`` reaches with at most ``left`` flips of ``free`` bits.
+
+    Bits are spelled out ``SPELL_BITS`` at a time, of about ``limit`` variants at once;
+    those whose value so far no other has are dropped.
+    """
+    own, starts = _shared(current, fixed)
+    if not len(own):
         return
-    parts = list(_variants(current, left, free))
-    value, origin = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(value)
-    value, origin = value[order], origin[order]
-    same = np.flatnonzero(value[1:] == value[:-1])
-    if len(same):
-        yield origin[same], origin[same + 1]
+    current, left, origin = current[own], left[own], origin[own]
+    if not free:
+        same = np.setdiff1d(np.arange(1, len(own)), starts)
+        yield origin[same - 1], origin[same]
+        return
+    bits, rest = free[:SPELL_BITS], free[SPELL_BITS:]
+    flips = _flips(bits)
+    fixed |= sum(1 << i for i in bits)
+    spelled = np.cumsum(np.array([len(f) for f in flips])[left])
+    ends = np.append(starts[1:], len(own))
+    at = 0
+    while at < len(own):
+        room = (spelled[at - 1] if at else 0) + limit
+        end = int(ends[max(np.searchsorted(ends, np.searchsorted(spelled, room, "right"), "right") - 1, np.searchsorted(ends, at, "right"))])
+        parts = []
+        for n, mask in enumerate(flips):
+            rows = at + np.flatnonzero(left[at:end] == n)
+            after = (n - np.bitwise_count(mask)).astype(np.int8)
+            parts.append(((current[rows, None] ^ mask).ravel(), np.tile(after, len(rows)), np.repeat(origin[rows], len(mask))))
+        yield from _collide(*(np.concatenate(x) for x in zip(*parts)), fixed, rest, limit)
+        at = end
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -119,37 +137,64 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarr
             return label
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, blocks: int | None = None) -> DataFrame:
     """Edges (u, v) that join the distinct fingerprints ``fps`` (fp) as all pairs within four bits would.
 
+    Of ``blocks`` blocks of bits all but four make a key; by default as few as keep groups
+    at a fifth of ``GROUP`` on average (four, so one group, for a small table).
     A group of fingerprints with a common variant gives a tree of links, never all
     its pairs, and every link was verified to differ in at most four bits or to be
     the sum of such links.
     """
-    ones = fps.agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{i}") for i in range(64))).first()
-    n = ones["n"]
-    depth = min(24, max(0, math.ceil(math.log2(max(1, n) * BALL / VARIANTS))))
-    even = sorted(range(64), key=lambda i: (abs(2 * (ones[f"b{i}"] or 0) - n), i))
-    chosen = even[:depth]
+    n, even = _even(fps)
+    blocks = blocks or next(b for b in range(2 * RADIUS, 65) if n >> 64 * (b - 2 * RADIUS) // b <= GROUP // 5)
+    dealt = [sum(1 << i for i in even[k::blocks]) for k in range(blocks)]
+    masks = [sum(chosen) for chosen in combinations(dealt, blocks - 2 * RADIUS)]
+    sent = fps.select("fp", F.explode(F.array(*(F.lit(_signed(m)).cast("long") for m in masks))).alias("mask"))
+    sent = sent.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+    size = sent.groupBy("mask", "value").agg(F.count("*").alias("n")).where((F.col("n") > GROUP) & (F.col("mask") != -1))
+    large = save(size.select("mask", "value"), "op9-hot")
+    parts: list[DataFrame] = []
+    if count := large.count():
+        near = F.broadcast if count <= 100_000 else (lambda table: table)
+        hot = save(sent.join(near(large), ["mask", "value"], "left_semi").select("fp").distinct(), "op9-family")
+        sent = sent.join(near(large), ["mask", "value"], "left_anti")
+        parts = [part.withColumn("part", F.col("value")) for part in _split(_balls(hot))]
+    # Small groups share a call.
+    parts.append(sent.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(max(128, n // GROUP)))))
 
     def group(frame: pd.DataFrame) -> pd.DataFrame:
         fp = frame["fp"].to_numpy(np.int64).view(np.uint64)
-        mask, value = (np.uint64(int(frame[c].iloc[0]) % (1 << 64)) for c in ("mask", "value"))
-        current = (fp & ~mask) | value
-        left = RADIUS - np.bitwise_count(fp ^ current).astype(np.int64)
+        mask = int(frame["mask"].iloc[0]) % (1 << 64)
+        current = (fp & ~np.uint64(mask)) | frame["value"].to_numpy(np.int64).view(np.uint64)
+        left = (RADIUS - np.bitwise_count(fp ^ current)).astype(np.int8)
         label = np.arange(len(fp))
-        for a, b in _collide(current, left, [i for i in even if not int(mask) >> i & 1], VARIANTS):
+        for a, b in _collide(current, left, np.arange(len(fp)), mask, [i for i in even if not mask >> i & 1], VARIANTS):
             near = np.bitwise_count(fp[a] ^ fp[b]) <= 2 * RADIUS
             label = _forest(len(fp), a[near], b[near], label)
         own = np.flatnonzero(label != np.arange(len(fp)))
         return pd.DataFrame({"u": fp[own].view(np.int64), "v": fp[label[own]].view(np.int64)})
 
+    found = [part.groupBy("mask", "part").applyInPandas(group, "u long, v long") for part in parts]
+    return reduce(DataFrame.union, found)
+
+
+def _even(fps: DataFrame) -> tuple[int, list[int]]:
+    """The number of ``fps`` (fp), and the 64 bits, those first that split them most evenly."""
+    ones = fps.agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{i}") for i in range(64))).first()
+    n = ones["n"]
+    return n, sorted(range(64), key=lambda i: (abs(2 * (ones[f"b{i}"] or 0) - n), i))
+
+
+def _balls(fps: DataFrame) -> DataFrame:
+    """Rows (fp, mask, value): the values of the variants of ``fps`` (fp) in as many of their most even bits as keep groups below ``GROUP`` on average."""
+    n, even = _even(fps)
+    depth = next(d for d in range(25) if d == 24 or n * (1 + d + d * (d - 1) // 2) <= GROUP // 2 << d)
+    chosen = even[:depth]
     flips = [0] + [1 << i for i in chosen] + [1 << i | 1 << j for k, i in enumerate(chosen) for j in chosen[:k]]
     kept = F.lit(_signed(sum(1 << i for i in chosen))).cast("long")
     sent = fps.select("fp", F.explode(F.array(*(F.lit(_signed(x)).cast("long") for x in flips))).alias("flip"))
-    sent = sent.select("fp", kept.alias("mask"), F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(kept).alias("value"))
-    found = [part.groupBy("mask", "value").applyInPandas(group, "u long, v long") for part in _split(sent)]
-    return reduce(DataFrame.union, found)
+    return sent.select("fp", kept.alias("mask"), F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(kept).alias("value"))
 
 
 def _signed(x: int) -> int:
